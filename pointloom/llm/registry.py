@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from pointloom.llm import chat, sharding, urls
+from pointloom.llm import chat, decontam, jaccard, media, packing, sharding, urls
 
 QUERIES = {
+    "op2_packing": packing.op2_packing,
     "op3_sharding": sharding.op3_sharding,
     "op6_chat_format": chat.op6_chat_format,
+    "op7_decontaminate": decontam.op7_decontaminate,
     "op8_url_filter": urls.op8_url_filter,
+    "op9_media": media.op9_media,
+    "op10_jaccard": jaccard.op10_jaccard,
 }
 
 ORACLES = {
     "op6_chat_format": chat.OP6_SQL,
+    "op7_decontaminate": decontam.OP7_SQL,
 }
