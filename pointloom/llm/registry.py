@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pointloom.llm import chat, decontam, jaccard, media, packing, sharding, urls
+from pointloom.llm import chat, decontam, jaccard, media, packing, sharding, suffixes, urls
 
 QUERIES = {
     "op2_packing": packing.op2_packing,
     "op3_sharding": sharding.op3_sharding,
+    "op5_suffix_dedup": suffixes.op5_suffix_dedup,
     "op6_chat_format": chat.op6_chat_format,
     "op7_decontaminate": decontam.op7_decontaminate,
     "op8_url_filter": urls.op8_url_filter,
