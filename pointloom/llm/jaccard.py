@@ -31,7 +31,8 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import zstandard
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointloom.llm import blobs
@@ -44,16 +45,16 @@ NUMERATOR, DENOMINATOR = 3, 4
 CHUNK = 2 << 20
 #: Bands grow by this factor.
 GROWTH = 1.25
-#: Cost of an empty segment in signatures.
+#: Cost of an unselective segment in signatures.
 PENALTY = 20.0
-#: Spare segments, as a share of those needed.
-SPARE = 0.1
+#: Spare segments of bands of larger sets, as shares of the largest difference.
+SPARE = (0.6,)
+#: Sets of more tokens have no segments of allocation 2: those cannot be skipped.
+SMALL = 30
 #: A signature of more sets is frequent.
-FREQUENT = 16
+FREQUENT = 6
 #: Signatures that a bucket holds, about.
 BUCKET = 1_500_000
-#: Cells of the histogram bound.
-CELLS = 256
 #: Bytes that separate words.
 INSIDE = np.ones(256, bool)
 INSIDE[[32, 9, 10, 11, 12, 13]] = False
@@ -67,16 +68,18 @@ class Scheme:
         self.least = -(-NUMERATOR * low // DENOMINATOR)
         self.apart = 2 * high * (DENOMINATOR - NUMERATOR) // (DENOMINATOR + NUMERATOR)
         best = None
-        for deletions in range((self.apart + 2) // 2 + 1):
-            spare = math.ceil(SPARE * self.apart) if not deletions and self.apart > 4 else 0
-            exact = max(0, self.apart + 1 + spare - 2 * deletions)
-            segments = exact + deletions
-            each = self.least / segments
-            cost = exact + deletions * (1 + high / segments) + PENALTY * segments * math.exp(-each)
-            if best is None or cost < best[0]:
-                best = (cost, exact, deletions, spare)
-            if deletions > 64:
-                break
+        for deletions in range((self.apart + 2) // 2 + 1 if high <= SMALL else 1):
+            for spare in [math.ceil(share * self.apart) for share in SPARE] if high > SMALL else [0]:
+                exact = max(0, self.apart + 1 + spare - 2 * deletions)
+                segments = exact + deletions
+                each = self.least / segments
+                # of the band's smallest sets: segments of at most one token that no spare one makes up
+                # for, and segments of allocation 2 that a deletion leaves so
+                few = math.exp(-each) * (1 + each)
+                bare = max(0.0, exact * few - spare) + deletions * (few + math.exp(-each) * each * each / 2)
+                cost = exact + deletions * (1 + high / segments) + PENALTY * bare
+                if best is None or cost < best[0]:
+                    best = (cost, exact, deletions, spare)
         _, self.exact, self.deletions, self.spare = best
         self.segments = self.exact + self.deletions
 
@@ -134,6 +137,29 @@ def token_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return tokens, row, np.bincount(row, minlength=len(counts))
 
 
+def _bits(n: np.ndarray) -> np.ndarray:
+    """Of sets of ``n`` tokens, the histograms have two to the power of this many cells."""
+    return np.maximum(np.frexp(n.astype(float))[1] - 2, 2)
+
+
+def _histograms(tokens: np.ndarray, row: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """Compressed counts of each set's tokens by their upper bits, at most 255 in a cell."""
+    bits = _bits(n)
+    sizes = 1 << bits
+    base = np.cumsum(sizes) - sizes
+    at = base[row] + (tokens >> (64 - bits[row]).astype(tn.U)).astype(np.int64)
+    table = np.minimum(np.bincount(at, minlength=int(sizes.sum())), 255).astype(np.uint8).tobytes()
+    tool = zstandard.ZstdCompressor(level=1)
+    return [tool.compress(table[a : a + k]) for a, k in zip(base.tolist(), sizes.tolist(), strict=True)]
+
+
+def _apart(x: bytes, y: bytes, tool) -> int:
+    """Sum of differences of two histograms, the finer folded to the coarser: never above the sets' difference."""
+    x, y = (np.frombuffer(tool.decompress(v), np.uint8).astype(np.int32) for v in (x, y))
+    least = min(len(x), len(y))
+    return int(np.abs(x.reshape(least, -1).sum(1) - y.reshape(least, -1).sum(1)).sum())
+
+
 def describe(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``n``, 128-bit ``print_a``/``print_b`` and the histogram ``cells`` of each set."""
 
@@ -146,10 +172,8 @@ def describe(docs: DataFrame) -> DataFrame:
                 total = np.zeros(rows, tn.U)
                 np.add.at(total, row, tn.mix(tokens ^ tn.U(salt)))
                 prints.append(total.view(np.int64))
-            cell = (tokens >> tn.U(56)).astype(np.int64)
-            table = np.bincount(row * CELLS + cell, minlength=rows * CELLS).reshape(rows, CELLS)
-            table = np.minimum(table, 255).astype(np.uint8)
-            columns = [batch.column("doc_id"), pa.array(n, pa.int64()), *map(pa.array, prints), pa.array([r.tobytes() for r in table], pa.binary())]
+            cells = _histograms(tokens, row, n)
+            columns = [batch.column("doc_id"), pa.array(n, pa.int64()), *map(pa.array, prints), pa.array(cells, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "print_a", "print_b", "cells"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, print_a long, print_b long, cells binary")
@@ -214,72 +238,120 @@ def _indexed(docs: DataFrame, buckets: int) -> DataFrame:
             order = np.argsort(doc[owner], kind="stable")
             sign, owner, scheme, empties = sign[order], owner[order], scheme[order], empties[order]
             bytes6 = sign.view(np.uint8).reshape(-1, 8)[:, :6]
-            columns = [doc[owner], n[owner].astype(np.int32), scheme.astype(np.int16), np.minimum(empties, 65535).astype(np.uint16), *(np.ascontiguousarray(bytes6[:, 2 * k : 2 * k + 2]).view(np.uint16).ravel() for k in range(3))]
+            columns = [doc[owner], n[owner].astype(np.int32), scheme.astype(np.int16), empties.astype(np.uint32), *(np.ascontiguousarray(bytes6[:, 2 * k : 2 * k + 2]).view(np.uint16).ravel() for k in range(3))]
             got = list(blobs.dealt(blobs.bucket_of(sign, buckets), columns, (0,)))
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in got], pa.int32()), pa.array([v for _, v in got], pa.binary())], names=["bucket", "blob"])
 
     return docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(run, "bucket int, blob binary")
 
 
-PAIRS = "kind int, a long, b long, scheme int, empties int, sign long"
-
-
-def _meet(parts: list[bytes], bucket: int) -> pa.RecordBatch:
-    """Of one bucket: pairs and links to the smallest key (kind 0), members of frequent signatures (1)."""
-    doc, n, scheme, empties, *low = blobs.joined(parts)
-    sign = low[0].astype(np.int64) | low[1].astype(np.int64) << 16 | low[2].astype(np.int64) << 32
-    order = np.lexsort((doc, sign))
-    order = order[np.concatenate(([True], (sign[order][1:] != sign[order][:-1]) | (doc[order][1:] != doc[order][:-1])))] if len(order) else order
-    sign, doc, n, scheme, empties = sign[order], doc[order], n[order], scheme[order], empties[order]
-    cuts = tn.runs(sign)
-    size = np.diff(cuts)
-    a_parts, b_parts = [], []
-    inside = lambda i, j: NUMERATOR * np.maximum(n[i], n[j]).astype(np.int64) <= DENOMINATOR * np.minimum(n[i], n[j]).astype(np.int64)
-    for count in np.unique(size[(size > 1) & (size <= FREQUENT)]).tolist():
-        first = cuts[:-1][size == count]
-        i, j = np.triu_indices(count, 1)
-        left, right = (first[:, None] + i).ravel(), (first[:, None] + j).ravel()
-        good = inside(left, right)
-        a_parts.append(doc[left[good]])
-        b_parts.append(doc[right[good]])
-    large = np.flatnonzero(size > FREQUENT)
-    members = np.concatenate([np.arange(cuts[k], cuts[k + 1]) for k in large]) if len(large) else np.zeros(0, np.int64)
-    heads = np.repeat(cuts[:-1][large], size[large])
-    good = (members != heads) & inside(members, heads) if len(members) else np.zeros(0, bool)
-    a_parts.append(doc[heads[good]])
-    b_parts.append(doc[members[good]])
-    a, b = np.concatenate(a_parts), np.concatenate(b_parts)
-    if len(a):
-        order = np.lexsort((b, a))
-        a, b = a[order], b[order]
-        keep = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
-        a, b = a[keep], b[keep]
-    k = len(a)
-    columns = [
-        np.concatenate((np.zeros(k, np.int32), np.ones(len(members), np.int32))),
-        np.concatenate((a, doc[members])),
-        np.concatenate((b, n[members].astype(np.int64))),
-        np.concatenate((np.zeros(k, np.int32), scheme[members].astype(np.int32))),
-        np.concatenate((np.zeros(k, np.int32), empties[members].astype(np.int32))),
-        np.concatenate((np.zeros(k, np.int64), sign[members] | (bucket & 0x7FFF) << 48)),
-    ]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["kind", "a", "b", "scheme", "empties", "sign"])
-
-
-def _by_bucket(meet):
-    """Gather the rows of each bucket of a partition sorted by bucket."""
+MET = "kind int, bucket int, blob binary"
+PAIRS = "kind int, a long, b long, scheme int, sign long"
+
+
+def _meet(second: int):
+    """Of one bucket: pairs and links to the smallest key (kind 0), members of frequent signatures (1).
+
+    Both are dealt on to ``second`` buckets of the first key.
+    """
+
+    def work(parts: list[bytes], bucket: int) -> pa.RecordBatch:
+        doc, n, scheme, empties, *low = blobs.joined(parts)
+        sign = low[0].astype(np.int64) | low[1].astype(np.int64) << 16 | low[2].astype(np.int64) << 32
+        order = np.lexsort((doc, sign))
+        keep = np.ones(len(order), bool)
+        keep[1:] = (sign[order][1:] != sign[order][:-1]) | (doc[order][1:] != doc[order][:-1])
+        sign, doc, n, scheme, empties = (c[order[keep]] for c in (sign, doc, n, scheme, empties))
+        cuts = tn.runs(sign)
+        size = np.diff(cuts)
+
+        def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            return NUMERATOR * np.maximum(n[i], n[j]).astype(np.int64) <= DENOMINATOR * np.minimum(n[i], n[j]).astype(np.int64)
+
+        a_parts, b_parts = [], []
+        for count in np.unique(size[(size > 1) & (size <= FREQUENT)]).tolist():
+            first = cuts[:-1][size == count]
+            i, j = np.triu_indices(count, 1)
+            left, right = (first[:, None] + i).ravel(), (first[:, None] + j).ravel()
+            good = near(left, right)
+            a_parts.append(doc[left[good]])
+            b_parts.append(doc[right[good]])
+        large = np.flatnonzero(size > FREQUENT)
+        members = np.concatenate([np.arange(cuts[k], cuts[k + 1]) for k in large]) if len(large) else np.zeros(0, np.int64)
+        heads = np.repeat(cuts[:-1][large], size[large])
+        good = (members != heads) & near(members, heads)
+        a_parts.append(doc[heads[good]])
+        b_parts.append(doc[members[good]])
+        a, b = _distinct(np.concatenate(a_parts), np.concatenate(b_parts))
+        out = [(0, k, v) for k, v in blobs.dealt(_seat(a, second), [a, b], (0,))]
+        # the signature is told from others of the same 48 bits by its bucket, whose bits come above
+        rows = [doc[members], n[members], scheme[members], empties[members], sign[members] | (bucket & 0x7FFF) << 48, np.repeat(size[large], size[large]).astype(np.int32)]
+        order = np.argsort(rows[0], kind="stable")
+        rows = [r[order] for r in rows]
+        out += [(1, k, v) for k, v in blobs.dealt(_seat(rows[0], second), rows, (0,))]
+        return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.binary())], names=["kind", "bucket", "blob"])
+
+    return work
+
+
+def _seat(key: np.ndarray, buckets: int) -> np.ndarray:
+    return blobs.bucket_of(tn.mix(key.view(tn.U)), buckets)
+
+
+def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    keep = np.ones(len(a), bool)
+    keep[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return a[keep], b[keep]
+
+
+def _narrow(spares: np.ndarray):
+    """Distinct pairs, and members of frequent signatures that their sets may not skip.
+
+    Of its frequent signatures a set skips the most frequent ones (ties by the
+    signature; empty segments go before all), as far as its spare segments go.
+    """
+
+    def work(parts: list[tuple[int, bytes]], _: int) -> pa.RecordBatch:
+        none = np.zeros(0, np.int64)
+        pairs, rest = ([v for k, v in parts if k == kind] for kind in (0, 1))
+        a, b = _distinct(*blobs.joined(pairs)) if pairs else (none, none)
+        doc = n = scheme = sign = none
+        if rest:
+            doc, n, scheme, empties, sign, often = blobs.joined(rest)
+            order = np.lexsort((sign, often, scheme, doc))
+            doc, n, scheme, empties, sign = (c[order] for c in (doc, n, scheme, empties, sign))
+            last = np.ones(len(doc), bool)
+            last[:-1] = (doc[1:] != doc[:-1]) | (scheme[1:] != scheme[:-1])
+            ends = np.flatnonzero(last)
+            after = np.repeat(ends, np.diff(ends, prepend=-1)) - np.arange(len(doc)) + empties.astype(np.int64)
+            keep = (scheme < 0) | (after >= spares[np.abs(scheme)])
+            doc, n, scheme, sign = (c[keep] for c in (doc, n, scheme, sign))
+        k, m = len(a), len(doc)
+        columns = [np.repeat(np.array([0, 1], np.int32), [k, m]), np.concatenate((a, doc)), np.concatenate((b, n.astype(np.int64))), np.concatenate((np.zeros(k, np.int32), np.abs(scheme).astype(np.int32))), np.concatenate((np.zeros(k, np.int64), sign))]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["kind", "a", "b", "scheme", "sign"])
+
+    return work
+
+
+def _by_bucket(work, kinds: bool = False):
+    """Gather the values of each bucket of a partition sorted by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, parts = None, []
         for batch in batches:
-            for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob").to_pylist(), strict=True):
+            values = batch.column("blob").to_pylist()
+            if kinds:
+                values = list(zip(batch.column("kind").to_pylist(), values, strict=True))
+            for bucket, value in zip(batch.column("bucket").to_pylist(), values, strict=True):
                 if bucket != at and parts:
-                    yield meet(parts, at)
+                    yield work(parts, at)
                     parts = []
                 at = bucket
-                parts.append(blob)
+                parts.append(value)
         if parts:
-            yield meet(parts, at)
+            yield work(parts, at)
 
     return run
 
@@ -287,8 +359,11 @@ def _by_bucket(meet):
 def candidates(docs: DataFrame, total: int) -> DataFrame:
     """Rows of :data:`PAIRS` for all sets; ``total`` is the number of tokens of all sets."""
     buckets = max(8, -(-total // BUCKET))
-    table = _indexed(docs, buckets).repartition(min(buckets, 1 << 16), "bucket").sortWithinPartitions("bucket")
-    return table.mapInArrow(_by_bucket(_meet), PAIRS)
+    second = max(8, buckets // 4)
+    spares = np.array([0, *(s.spare for s in schemes()[0] if s.low <= max(total, 1))], np.int64)
+    gather = lambda df, n: df.repartition(min(n, 1 << 16), "bucket").sortWithinPartitions("bucket")
+    met = gather(_indexed(docs, buckets), buckets).mapInArrow(_by_bucket(_meet(second)), MET)
+    return gather(met, second).mapInArrow(_by_bucket(_narrow(spares), True), PAIRS)
 
 
 def _bounded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -298,15 +373,13 @@ def _bounded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ca", "cb", ((F.col("pa") == F.col("qa")) & (F.col("pb") == F.col("qb"))).alias("same"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 4096):
-                batch = whole.slice(at, 4096)
-                ca, cb = (tn.packed(batch.column(c))[0].reshape(-1, CELLS).astype(np.int16) for c in ("ca", "cb"))
-                na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
-                apart = np.abs(ca - cb).sum(axis=1, dtype=np.int64)
-                same = batch.column("same").to_numpy(zero_copy_only=False)
-                good = ~same & (apart * (NUMERATOR + DENOMINATOR) <= (na + nb) * (DENOMINATOR - NUMERATOR))
-                yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(good)) for c in ("a", "b")], names=["a", "b"])
+        tool = zstandard.ZstdDecompressor()
+        for batch in batches:
+            na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
+            most = (na + nb) * (DENOMINATOR - NUMERATOR) // (NUMERATOR + DENOMINATOR)
+            values = zip(batch.column("same").to_pylist(), batch.column("ca").to_pylist(), batch.column("cb").to_pylist(), most.tolist(), strict=True)
+            good = pa.array([not same and _apart(x, y, tool) <= limit for same, x, y, limit in values], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(good) for c in ("a", "b")], names=["a", "b"])
 
     return both.mapInArrow(run, "a long, b long")
 
@@ -358,21 +431,10 @@ def components(links: DataFrame, owner: str = "components", most: int = 60) -> D
 
 
 def _unsettled(members: DataFrame, known: DataFrame) -> DataFrame:
-    """Pairs of sets of one frequent signature that are in different components, after skipping.
-
-    Of its frequent signatures a set skips the last ones in the order of the
-    signature (empty segments come after all), as far as spare segments go.
-    """
-    table, _ = schemes()
-    spark = members.sparkSession
-    bands = spark.createDataFrame([(k + 1, s.spare) for k, s in enumerate(table) if s.low < 1 << 21], "scheme int, spare int")
-    last = Window.partitionBy("a", "scheme").orderBy(F.desc("sign"))
-    kept = members.join(F.broadcast(bands), "scheme", "left").withColumn("after", F.row_number().over(last) - 1 + F.col("empties"))
-    kept = kept.where((F.col("scheme") < 0) | (F.col("after") >= F.coalesce("spare", F.lit(0))))
-    kept = kept.select("a", F.col("b").alias("n"), "sign", "scheme").join(known, F.col("a") == F.col("doc_id"), "left").select("a", "n", "sign", "scheme", F.coalesce("component_id", "a").alias("c"))
-    key = [F.abs("scheme").alias("scheme"), "sign"]
-    mixed = kept.groupBy(*key).agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("scheme", "sign")
-    rows = kept.withColumn("scheme", F.abs("scheme")).join(mixed, ["scheme", "sign"])
+    """Pairs of sets of one frequent signature that are in different components."""
+    kept = members.select("a", F.col("b").alias("n"), "sign", "scheme").join(known, F.col("a") == F.col("doc_id"), "left").select("a", "n", "sign", "scheme", F.coalesce("component_id", "a").alias("c"))
+    mixed = kept.groupBy("scheme", "sign").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("scheme", "sign")
+    rows = kept.join(mixed, ["scheme", "sign"])
     x = rows.select("scheme", "sign", "a", F.col("n").alias("na"), F.col("c").alias("ka"))
     y = rows.select("scheme", "sign", F.col("a").alias("b"), F.col("n").alias("nb"), F.col("c").alias("kb"))
     pair = x.join(y, ["scheme", "sign"]).where((F.col("a") < F.col("b")) & (F.col("ka") != F.col("kb")) & (NUMERATOR * F.greatest("na", "nb") <= DENOMINATOR * F.least("na", "nb")))
