@@ -9,11 +9,15 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _made: dict[str, list[str]] = {}
 _local: list[str] = []
+_owner: ContextVar[str] = ContextVar("owner", default="")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,20 +48,30 @@ def _clean() -> None:
 atexit.register(_clean)
 
 
-def cut(df: DataFrame, owner: str = "") -> DataFrame:
+@contextmanager
+def owned(name: str) -> Iterator[None]:
+    """Tables that ``cut`` writes within belong to ``name``."""
+    token = _owner.set(name)
+    try:
+        yield
+    finally:
+        _owner.reset(token)
+
+
+def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     Parquet is several times smaller than a row checkpoint and survives lost
-    executors alike.  ``owner`` groups tables for :func:`release`.
+    executors alike.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _made.setdefault(owner, []).append(path)
+    _made.setdefault(_owner.get(), []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession, owner: str) -> None:
-    """Delete the tables that ``cut`` wrote for ``owner``."""
+    """Delete the tables written within ``owned(owner)``; nothing may read them any more."""
     for path in _made.pop(owner, []):
         _remove(spark, path)
