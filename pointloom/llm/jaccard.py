@@ -406,20 +406,20 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return two.mapInArrow(run, "a long, b long")
 
 
-def components(links: DataFrame, owner: str = "components", most: int = 60) -> DataFrame:
+def components(links: DataFrame, most: int = 60) -> DataFrame:
     """(doc_id, component_id) of every key that has a link; the smallest key names a component.
 
     Alternates large-star and small-star steps until the links are stars; each
     round is written to the shared folder.
     """
-    edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), owner)
+    edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     for _ in range(most):
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        following = cut(small, owner)
+        following = cut(small)
         measure = lambda e: e.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)).alias("h")).first()
         done = measure(edges) == measure(following)
         edges = following

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pointloom.llm import chat, decontam, jaccard, media, packing, sharding, suffixes, urls
+from pointloom.llm import chat, decontam, jaccard, licences, media, packing, quality, sharding, suffixes, urls
 
 QUERIES = {
+    "op1_licences": licences.op1_licences,
     "op2_packing": packing.op2_packing,
     "op3_sharding": sharding.op3_sharding,
+    "op4_quality": quality.op4_quality,
     "op5_suffix_dedup": suffixes.op5_suffix_dedup,
     "op6_chat_format": chat.op6_chat_format,
     "op7_decontaminate": decontam.op7_decontaminate,

@@ -33,6 +33,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pointloom.llm import blobs
 from pointloom.llm import textnum as tn
@@ -319,9 +320,9 @@ def _meet(records: DataFrame, buckets: int, doc_buckets: int, crowd: int) -> Dat
 
 def _with_records(docs: DataFrame, records: DataFrame, doc_buckets: int) -> DataFrame:
     """Documents after the records of their bucket, in partitions by bucket."""
-    spread = docs.select(F.lit(9).alias("kind"), F.expr("cast(null as int)").alias("bucket"), F.expr("cast(null as binary)").alias("blob"), "key", "sub", "text")
-    spread = spread.withColumn("bucket", _sql_bucket(doc_buckets))
-    marked = records.select("kind", "bucket", "blob", F.lit(FIRST_KEY).alias("key"), F.lit(0).cast("short").alias("sub"), F.lit(None).cast("string").alias("text"))
+    more = [f for f in docs.schema if f.name not in ("key", "sub", "text")]
+    spread = docs.select(F.lit(9).alias("kind"), _sql_bucket(doc_buckets).alias("bucket"), F.lit(None).cast("binary").alias("blob"), "key", "sub", "text", *(f.name for f in more))
+    marked = records.select("kind", "bucket", "blob", F.lit(FIRST_KEY).alias("key"), F.lit(0).cast("short").alias("sub"), F.lit(None).cast("string").alias("text"), *(F.lit(None).cast(f.dataType).alias(f.name) for f in more))
     return spread.unionByName(marked).repartition(min(doc_buckets, 1 << 16), "bucket").sortWithinPartitions("bucket", "kind")
 
 
@@ -336,12 +337,14 @@ def _sql_bucket(doc_buckets: int):
     return bucket("key")
 
 
-def _streamed(work, schema: pa.Schema):
+def _streamed(work):
     """Call ``work(records by kind, batch of documents)`` for the documents of each bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held, loaded = None, [], None
         for batch in batches:
+            if not batch.num_rows:
+                continue
             bucket = batch.column("bucket").to_numpy()
             cuts = tn.runs(bucket)
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
@@ -359,7 +362,6 @@ def _streamed(work, schema: pa.Schema):
                     for piece in tn.sliced(iter([part.slice(records)]), "text", CHUNK):
                         yield from work(loaded, piece)
 
-    del schema
     return run
 
 
@@ -533,23 +535,24 @@ def _keep(loaded: dict, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     total = np.concatenate(([0], np.cumsum(gone)))
     kept, left = data[~gone].tobytes(), offsets - total[offsets]
     texts = [kept[a:b].decode("utf-8", "ignore") for a, b in zip(left[:-1].tolist(), left[1:].tolist(), strict=True)]
-    columns = [batch.column("key"), batch.column("sub"), pa.array(texts, pa.string()), pa.array(np.diff(total[offsets]))]
-    yield pa.RecordBatch.from_arrays(columns, names=["key", "sub", "text", "n_removed"])
+    columns = [batch.column("rest"), pa.array(texts, pa.string())]
+    yield pa.RecordBatch.from_arrays(columns, names=["rest", "text"])
 
 
-def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``key`` (null: the least), ``sub`` and ``text``.
+def keyed(docs: DataFrame, key: str, text: str, whole: bool = False) -> DataFrame:
+    """``key`` (null: the least), ``sub`` and ``text``; with ``whole`` the other columns as ``rest``.
 
     Rows equal in key and text are one document and have one result; different
     texts of one key are numbered by their hash in ``sub``.
     """
-    base = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(FIRST_KEY)).alias("key"), F.col(text).alias("text"))
+    base = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(FIRST_KEY)).alias("key"), F.col(text).alias("text"), *([F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text)).alias("rest")] if whole else []))
     if not base.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
-        return base.select("key", F.lit(0).cast("short").alias("sub"), "text")
+        return base.withColumn("sub", F.lit(0).cast("short"))
     hashed = base.withColumn("h", F.xxhash64("text"))
     order = Window.partitionBy("key").orderBy("h")
     subs = hashed.select("key", "h").distinct().withColumn("sub", (F.row_number().over(order) - 1).cast("short"))
-    return hashed.join(subs, ["key", "h"]).select("key", "sub", "text")
+    # a null text has the hash of no columns, which is not null
+    return hashed.join(subs, ["key", "h"]).drop("h")
 
 
 def _gone_records(docs: DataFrame, crowd: int, slab: int) -> tuple[DataFrame, int]:
@@ -559,7 +562,7 @@ def _gone_records(docs: DataFrame, crowd: int, slab: int) -> tuple[DataFrame, in
     onward = met.where(F.col("kind").isin(SORT, SPLIT))
     gone = met.where(F.col("kind") == GONE)
     if onward.limit(1).count():
-        parts = _with_records(docs, onward, doc_buckets).mapInArrow(_streamed(_cut_out(buckets, doc_buckets), None), TEXTS)
+        parts = _with_records(docs, onward, doc_buckets).mapInArrow(_streamed(_cut_out(buckets, doc_buckets)), TEXTS)
         split = met.where(F.col("kind") == SPLIT).limit(1).count() > 0
         if split:  # read twice
             parts = cut(parts)
@@ -580,18 +583,20 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", crowd: int
     """
     base = keyed(docs, key, text)
     gone, doc_buckets = _gone_records(base, crowd, slab)
-    out = _with_records(base, gone, doc_buckets).mapInArrow(_streamed(_measure, None), RESULT)
+    out = _with_records(base, gone, doc_buckets).mapInArrow(_streamed(_measure), RESULT)
     return out.select(F.when(F.col("key") != FIRST_KEY, F.col("key")).alias(key), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", crowd: int = CROWD, slab: int = SLAB) -> DataFrame:
-    """(key, sub, text, n_removed) of every document with repeated strings cut out.
+    """All documents with repeated strings cut out of ``text``; columns as they came.
 
-    Bytes of characters that a removed run cuts apart go too, so texts stay UTF-8.
+    Bytes of characters that a removed run cuts apart go too, so texts stay
+    UTF-8.  Null text becomes empty.
     """
-    base = keyed(docs, key, text)
-    gone, doc_buckets = _gone_records(base, crowd, slab)
-    return _with_records(base, gone, doc_buckets).mapInArrow(_streamed(_keep, None), "key long, sub short, text string, n_removed long")
+    base = keyed(docs, key, text, True)
+    gone, doc_buckets = _gone_records(base.select("key", "sub", "text"), crowd, slab)
+    kept = _with_records(base, gone, doc_buckets).mapInArrow(_streamed(_keep), T.StructType([base.schema["rest"], T.StructField("text", T.StringType())]))
+    return kept.select(*(F.col("text").alias(c) if c == text else F.col(f"rest.`{c}`").alias(c) for c in docs.columns))
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
