@@ -1,6 +1,323 @@
-"""Registered queries and their SQL."""
+"""Registered queries and their SQL, by inventory id."""
 
 from __future__ import annotations
 
+import math
+
+from pyspark.sql import functions as F
+
+from pointloom import points as pt
+from pointloom.operators import bins, clusters, geometry, ranging, rowops, spatial, stats
+from pointloom.points import Vec
+from pointloom.scratch import cut
+
+TABLE = ranging.RangeTable(
+    (ranging.Ion("A", "Alpha", (1, 0, 0)), ranging.Ion("B", "Beta", (0, 1, 0)), ranging.Ion("C", "Gamma", (0, 0, 1))),
+    (ranging.Range(1, 10, 0), ranging.Range(20, 35, 1), ranging.Range(50, 60, 0), ranging.Range(80, 95, 2)),
+).checked()
+OFF = ranging.RangeTable(TABLE.ions, (*TABLE.ranges[:3], ranging.Range(80, 95, 2, False)))
+CENTRE, AXIS, NORMAL = Vec(20, 25, 25), Vec(0, 30, 0), Vec(1, 2, -1)
+LOW, HIGH = Vec(0, 0, 0), Vec(50, 52, 50)
+SHAPE = (10, 10, 10)
+
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+RANGE_ID = "CASE WHEN value BETWEEN 1 AND 10 THEN 0 WHEN value BETWEEN 20 AND 35 THEN 1 WHEN value BETWEEN 50 AND 60 THEN 2 WHEN value BETWEEN 80 AND 95 THEN 3 END"
+ION = "CASE WHEN value BETWEEN 1 AND 10 THEN 'A' WHEN value BETWEEN 20 AND 35 THEN 'B' WHEN value BETWEEN 50 AND 60 THEN 'A' WHEN value BETWEEN 80 AND 95 THEN 'C' END"
+WITH_E = f"WITH p AS ({pt.EVENTS_SQL}), r AS (SELECT *, {ION} AS ion, {RANGE_ID} AS range_id FROM p)"
+WITH_L = f"WITH p AS ({pt.LINEITEM_SQL}), r AS (SELECT *, {ION} AS ion, {RANGE_ID} AS range_id FROM p)"
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def rounded(df, *names: str):
+    """Doubles to six places; a negative zero becomes zero."""
+    return df.withColumns({n: F.round(F.col(n), 6) + F.lit(0.0) for n in names})
+
+
+def events(spark, d):
+    return pt.event_points(spark, d)
+
+
+def lines(spark, d):
+    return pt.lineitem_points(spark, d)
+
+
+def xyz(df):
+    return rounded(df.select("point_id", "x", "y", "z"), "x", "y", "z")
+
+
+XYZ = "SELECT point_id, round({x}, 6) + 0.0 AS x, round({y}, 6) + 0.0 AS y, round({z}, 6) + 0.0 AS z FROM p"
+
+# --- ranging -----------------------------------------------------------------
+
+query("j1_ranging", f"{WITH_E} SELECT point_id, range_id, ion FROM r")(lambda s, d: ranging.ranged(events(s, d), TABLE).select("point_id", "range_id", "ion"))
+query(
+    "j1_a6_composition",
+    f"{WITH_L}, c AS (SELECT coalesce(ion, 'unranged') AS ion, count(*) AS n FROM r GROUP BY 1) SELECT ion, n, round(n / sum(n) OVER (), 6) AS fraction, CASE WHEN ion <> 'unranged' THEN round(n / sum(CASE WHEN ion <> 'unranged' THEN n END) OVER (), 6) END AS ranged_fraction FROM c",
+)(lambda s, d: rounded(ranging.composition(lines(s, d), TABLE), "fraction", "ranged_fraction"))
+query("f12_range_filter", f"{WITH_E} SELECT point_id, range_id FROM r WHERE range_id IN (0, 1, 2)")(lambda s, d: ranging.keep_ranged(events(s, d), OFF).select("point_id", "range_id"))
+query("f12_keep_unranged", f"{WITH_E} SELECT point_id, range_id FROM r WHERE range_id IN (0, 1, 2) OR range_id IS NULL")(lambda s, d: ranging.keep_ranged(events(s, d), OFF, False).select("point_id", "range_id"))
+query("f13_keep_ranged", f"{WITH_L} SELECT range_id, count(*) AS n FROM r WHERE range_id IS NOT NULL GROUP BY 1")(lambda s, d: ranging.keep_ranged(lines(s, d), TABLE).groupBy("range_id").agg(F.count("*").alias("n")))
+query("f14_f16_keep_ions", f"{WITH_E} SELECT point_id, ion FROM r WHERE ion IN ('A', 'C')")(lambda s, d: ranging.keep_ions(events(s, d), TABLE, ["A", "C"]).select("point_id", "ion"))
+query("f15_keep_range", f"{WITH_E} SELECT point_id FROM r WHERE value BETWEEN 20 AND 35")(lambda s, d: ranging.keep_range(events(s, d), TABLE, 1).select("point_id"))
+_background = ", ".join(f"({k}, {2 * 3.0 * (r.high**0.5 - r.low**0.5)!r})" for k, r in enumerate(TABLE.ranges))
+query(
+    "a7_background_corrected",
+    f"{WITH_L} SELECT range_id, count(*) AS n, round(greatest(count(*) - any_value(b.v), 0), 6) AS corrected FROM r JOIN (VALUES {_background}) b(k, v) ON range_id = k GROUP BY 1",
+)(lambda s, d: rounded(ranging.background_corrected(ranging.ranged(lines(s, d), TABLE).where("range_id is not null").groupBy("range_id").agg(F.count("*").alias("n")), TABLE, 3.0).drop("background"), "corrected"))
+
+# --- maps ---------------------------------------------------------------------
+
+query("p1_translate", f"{WITH_E} " + XYZ.format(x="x - 20.0", y="y - 25.0", z="z - 25.0"))(lambda s, d: xyz(rowops.translate(events(s, d), CENTRE)))
+query("p2_scale", f"{WITH_E} " + XYZ.format(x="(x - 20.0) * 1.5 + 20.0", y="(y - 25.0) * 1.5 + 25.0", z="(z - 25.0) * 1.5 + 25.0"))(lambda s, d: xyz(rowops.scale(events(s, d), 1.5, CENTRE)))
+query("p3_scale_axes", f"{WITH_E} " + XYZ.format(x="(x - 20.0) * 2.0 + 20.0", y="(y - 25.0) * 0.5 + 25.0", z="(z - 25.0) * 3.0 + 25.0"))(lambda s, d: xyz(rowops.scale(events(s, d), Vec(2, 0.5, 3), CENTRE)))
+_m = rowops.rotation(Vec(0, 0, 1), -30)
+_turn = {a: " + ".join(f"({c} - {o!r}) * ({k!r})" for c, o, k in zip("xyz", map(float, CENTRE), row, strict=True)) + f" + {float(o0)!r}" for a, row, o0 in zip("xyz", _m, CENTRE, strict=True)}
+query("p4_rotate", f"{WITH_E} " + XYZ.format(**_turn))(lambda s, d: xyz(rowops.rotate(events(s, d), Vec(0, 0, 1), 30, CENTRE)))
+query("p5_translate_value", f"{WITH_E} SELECT point_id, round(value + 2.5, 6) AS value FROM p")(lambda s, d: rounded(rowops.translate_value(events(s, d), 2.5).select("point_id", "value"), "value"))
+query("p6_value_shuffle", None)(lambda s, d: rowops.shuffle_values(events(s, d), 7))
+query("p7_white_noise", None)(lambda s, d: rowops.noise(events(s, d), 0.5, 7))
+query("p8_gaussian_noise", None)(lambda s, d: rowops.noise(events(s, d), 0.5, 7, True))
+query("p9_bounds_centre", f"{WITH_L} SELECT round((min(x) + max(x)) / 2, 6) AS x, round((min(y) + max(y)) / 2, 6) AS y, round((min(z) + max(z)) / 2, 6) AS z FROM p")(
+    lambda s, d: rounded(lines(s, d).agg(*(((F.min(a) + F.max(a)) / 2).alias(a) for a in "xyz")), "x", "y", "z")
+)
+query("p10_a40_centroid", f"{WITH_L} SELECT round(avg(x), 6) AS x, round(avg(y), 6) AS y, round(avg(z), 6) AS z FROM p")(lambda s, d: rounded(rowops.centroid(lines(s, d)), "x", "y", "z"))
+query("p10_stream_centroid", f"{WITH_L}, g AS (SELECT ion, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM r GROUP BY 1) SELECT round(avg(x), 6) AS x, round(avg(y), 6) AS y, round(avg(z), 6) AS z FROM g")(
+    lambda s, d: rounded(rowops.stream_centroid(ranging.ranged(lines(s, d), TABLE), "ion"), "x", "y", "z")
+)
+query("p11_colour_bucket", f"{WITH_L} SELECT CAST(floor(least(greatest((value - 5) / 85.0, 0.0), 1.0) * 31) AS INT) AS bucket, count(*) AS n FROM p GROUP BY 1")(lambda s, d: rowops.colour_bucket(lines(s, d), 32, 5, 90).groupBy("bucket").agg(F.count("*").alias("n")))
+query(
+    "p12_colour_map",
+    f"{WITH_E}, t AS (SELECT point_id, least(greatest(value / 100.0, 0.0), 1.0) AS t FROM p) SELECT point_id, round(least(t * 3, 1.0), 6) AS r, round(least(greatest(t * 3 - 1, 0.0), 1.0), 6) AS g, round(greatest(t * 3 - 2, 0.0), 6) AS b FROM t",
+)(lambda s, d: rounded(rowops.colour(events(s, d), "hot", 0, 100).select("point_id", "r", "g", "b"), "r", "g", "b"))
+
+# --- predicates and samples -----------------------------------------------------
+
+SPHERE = "(x - 20.0) * (x - 20.0) + (y - 25.0) * (y - 25.0) + (z - 25.0) * (z - 25.0)"
+query("f1_clip_sphere", f"{WITH_E} SELECT point_id FROM p WHERE {SPHERE} < 225.0")(lambda s, d: rowops.clip(events(s, d), rowops.in_sphere(CENTRE, 15)).select("point_id"))
+query("f1_clip_sphere_out", f"{WITH_L} SELECT count(*) AS n FROM p WHERE NOT ({SPHERE} < 225.0)")(lambda s, d: rowops.clip(lines(s, d), rowops.in_sphere(CENTRE, 15), True).agg(F.count("*").alias("n")))
+query("f2_clip_plane", f"{WITH_E} SELECT point_id FROM p WHERE (x - 20.0) * 1.0 + (y - 25.0) * 2.0 + (z - 25.0) * -1.0 > 0")(lambda s, d: rowops.clip(events(s, d), rowops.in_front(CENTRE, NORMAL)).select("point_id"))
+query("f3_clip_cylinder", f"{WITH_E} SELECT point_id FROM p WHERE abs(y - 25.0) < 15 AND {SPHERE} - (y - 25.0) * (y - 25.0) < 100.0")(lambda s, d: rowops.clip(events(s, d), rowops.in_cylinder(CENTRE, AXIS, 10)).select("point_id"))
+query("f4_clip_box", f"{WITH_E} SELECT point_id FROM p WHERE x > 10 AND x < 30 AND y > 5 AND y < 45 AND z > 20 AND z < 30")(lambda s, d: rowops.clip(events(s, d), rowops.in_box(CENTRE, Vec(10, 20, 5))).select("point_id"))
+query("f6_crop_value", f"{WITH_E} SELECT point_id FROM p WHERE value >= 10 AND value < 40")(lambda s, d: rowops.crop_value(events(s, d), 10, 40).select("point_id"))
+query("f7_sample_fraction", None)(lambda s, d: rowops.sample_fraction(events(s, d), 0.1, 3))
+query("f8_sample_count", None)(lambda s, d: rowops.sample_count(events(s, d), 1000, 3))
+query("f9_sample_per_ion", f"{WITH_E} SELECT coalesce(ion, 'unranged') AS ion, least(count(*), 100) AS n FROM r GROUP BY 1")(
+    lambda s, d: rowops.sample_count(ranging.ranged(events(s, d), TABLE).withColumn("ion", F.coalesce("ion", F.lit("unranged"))), 100, 3, by="ion").groupBy("ion").agg(F.count("*").alias("n"))
+)
+query("p13_throttle", None)(lambda s, d: rowops.throttle(events(s, d), 2000, 3))
+
+# --- histograms and profiles ------------------------------------------------------
+
+HIST = "SELECT CAST(b.bin AS INT) AS bin, round({lo} + b.bin * {w}, 6) AS x, count(p.value) AS n FROM range({k}) b(bin) LEFT JOIN p ON floor((value - {lo}) / {w}) = b.bin GROUP BY b.bin"
+query("a1_spectrum", f"{WITH_L} " + HIST.format(lo="0.0", w="0.5", k=240))(lambda s, d: rounded(bins.spectrum(lines(s, d), 0, 120, 0.5), "x"))
+query(
+    "a2_spectrum_area",
+    f"{WITH_L}, h AS ({HIST.format(lo='0.0', w='0.5', k=240)}) SELECT bin, round(n / (sum(n) OVER () * 0.5), 6) AS y FROM h",
+)(lambda s, d: rounded(bins.normalise(bins.spectrum(lines(s, d), 0, 120, 0.5), "area", width=0.5).select("bin", "y"), "y"))
+query(
+    "a2_spectrum_max_in",
+    f"{WITH_L}, h AS ({HIST.format(lo='0.0', w='0.5', k=240)}) SELECT bin, round(n / max(CASE WHEN x >= 10 AND x < 50 THEN n END) OVER (), 6) AS y FROM h",
+)(lambda s, d: rounded(bins.normalise(bins.spectrum(lines(s, d), 0, 120, 0.5), "max_in", 10, 50).select("bin", "y"), "y"))
+query("a5_background_curve", f"{WITH_L}, h AS ({HIST.format(lo='0.0', w='0.5', k=240)}) SELECT bin, round(CASE WHEN x > 0 THEN 1.5 / (2 * sqrt(x)) ELSE 0 END, 6) AS background, round(greatest(n - CASE WHEN x > 0 THEN 1.5 / (2 * sqrt(x)) ELSE 0 END, 0), 6) AS corrected FROM h")(
+    lambda s, d: rounded(bins.spectrum(lines(s, d), 0, 120, 0.5).withColumn("background", stats.background_curve(3.0, 0.5)).select("bin", "background", F.greatest(F.col("n") - F.col("background"), F.lit(0.0)).alias("corrected")), "background", "corrected")
+)
+AXIAL = "CASE WHEN abs(y - 25.0) < 15 AND (x - 20.0) * (x - 20.0) + (z - 25.0) * (z - 25.0) < 100.0 THEN CAST(floor((y - 25.0 + 15.0) / 30.0 * 20) AS INT) END"
+query(
+    "a13_a16_axial_profile",
+    f"{WITH_L}, b AS (SELECT {AXIAL} AS bin, coalesce(ion, 'unranged') AS ion FROM r), c AS (SELECT bin, ion, count(*) AS n FROM b WHERE bin IS NOT NULL GROUP BY 1, 2), t AS (SELECT *, sum(n) OVER (PARTITION BY bin) AS total FROM c) SELECT bin, ion, n, CAST(total AS BIGINT) AS total, round(n / total, 6) AS fraction FROM t WHERE total >= 10",
+)(lambda s, d: rounded(bins.profile(ranging.ranged(lines(s, d), TABLE).withColumn("ion", F.coalesce("ion", F.lit("unranged"))), bins.axial_bin(CENTRE, AXIS, 10, 20), 20, "ion", 10), "fraction"))
+query("a14_radial_profile", f"{WITH_L} SELECT CAST(floor(((x - 20.0) * (x - 20.0) + (z - 25.0) * (z - 25.0)) / 100.0 * 16) AS INT) AS bin, count(*) AS n FROM p WHERE abs(y - 25.0) < 15 AND (x - 20.0) * (x - 20.0) + (z - 25.0) * (z - 25.0) < 100.0 GROUP BY 1")(
+    # the axis is a coordinate axis, so the distance from it needs no subtraction here
+    lambda s, d: lines(s, d).where((F.abs(F.col("y") - 25.0) < 15)).withColumn("o", (F.col("x") - 20.0) * (F.col("x") - 20.0) + (F.col("z") - 25.0) * (F.col("z") - 25.0)).where("o < 100").groupBy(F.floor(F.col("o") / 100.0 * 16).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+)
+query(
+    "a15_a17_sphere_profile",
+    f"{WITH_L}, b AS (SELECT CAST(floor(sqrt({SPHERE}) / 18.0 * 12) AS INT) AS bin FROM p WHERE sqrt({SPHERE}) < 18.0) SELECT bin, count(*) AS n, round(count(*) / ((CAST(bin AS DOUBLE) * bin * 3 + bin * 3 + 1) * {4 / 3 * math.pi * 1.5**3!r}), 6) AS density FROM b GROUP BY 1",
+)(lambda s, d: rounded(bins.profile(lines(s, d), bins.sphere_bin(CENTRE, 18, 12), 12).withColumn("density", F.col("n") / bins.bin_volume("sphere", 12, 18)).select("bin", "n", "density"), "density"))
+query(
+    "a19_w1_error_bars",
+    f"{WITH_L}, h AS ({HIST.format(lo='0.0', w='2.0', k=60)}), k AS (SELECT h.bin, o.n FROM h, range(4) f(j), h o WHERE o.bin = least(greatest(h.bin - 2 + f.j, 0), 59)) SELECT bin, round(avg(n), 6) AS mean, round(stddev_pop(n), 6) AS err FROM k GROUP BY 1",
+)(lambda s, d: rounded(bins.moving_deviation(bins.spectrum(lines(s, d), 0, 120, 2.0), 4).select("bin", "mean", "err"), "mean", "err"))
+query("a8_a11_bounds_volume", f"{WITH_L} SELECT round(min(x), 6) AS low_x, round(max(x), 6) AS high_x, round((max(x) - min(x)) * (max(y) - min(y)) * (max(z) - min(z)), 4) AS volume, round(count(*) / ((max(x) - min(x)) * (max(y) - min(y)) * (max(z) - min(z))), 6) AS density FROM p")(
+    lambda s, d: lines(s, d).agg(*(f(a).alias(f"{n}_{a}") for a in "xyz" for n, f in (("low", F.min), ("high", F.max))), F.count("*").alias("n")).withColumn("v", (F.col("high_x") - F.col("low_x")) * (F.col("high_y") - F.col("low_y")) * (F.col("high_z") - F.col("low_z"))).select(F.round("low_x", 6).alias("low_x"), F.round("high_x", 6).alias("high_x"), F.round("v", 4).alias("volume"), F.round(F.col("n") / F.col("v"), 6).alias("density"))
+)
+query("a41_mean_deviation", f"{WITH_L} SELECT round(avg(value), 6) AS mean, round(stddev_samp(value) * (1 + 1 / (4.0 * count(value))), 6) AS sd, count(value) AS n FROM p")(lambda s, d: rounded(stats.mean_deviation(lines(s, d), "value"), "mean", "sd"))
+query("a44_weighted_mean", f"{WITH_L} SELECT round(sum(x * value) / sum(value), 6) AS mean FROM p")(lambda s, d: rounded(stats.weighted_mean(lines(s, d), "x", "value"), "mean"))
+query("a49_a50_plot_bounds", f"{WITH_L}, h AS ({HIST.format(lo='0.0', w='0.5', k=240)}) SELECT round(min(x), 6) AS low_x, round(max(x), 6) AS high_x, min(n) AS low_n, max(n) AS high_n, min(CASE WHEN n <> 0 THEN n END) AS least FROM h")(
+    lambda s, d: bins.spectrum(lines(s, d), 0, 120, 0.5).agg(F.round(F.min("x"), 6).alias("low_x"), F.round(F.max("x"), 6).alias("high_x"), F.min("n").alias("low_n"), F.max("n").alias("high_n"), F.min(F.when(F.col("n") != 0, F.col("n"))).alias("least"))
+)
+query("k8_plot_grid", f"{WITH_L} SELECT round(floor(value / 10.0) * 10.0, 6) AS x, count(*) FILTER (WHERE ion = 'A') AS a, count(*) FILTER (WHERE ion = 'B') AS b FROM r GROUP BY 1")(
+    lambda s, d: rounded(ranging.ranged(lines(s, d), TABLE).withColumn("x", F.floor(F.col("value") / 10.0) * 10.0).groupBy("x").pivot("ion", ["A", "B"]).agg(F.count("*").alias("n")).select(F.col("x").cast("double"), F.coalesce("A", F.lit(0)).alias("a"), F.coalesce("B", F.lit(0)).alias("b")), "x")
+)
+
+# --- voxels -----------------------------------------------------------------------
+
+CELL = "CAST(least(floor({c} / {size} * 10), 9) AS INT)"
+CELLS = ", ".join(f"{CELL.format(c=c, size=size)} AS i{c}" for c, size in zip("xyz", ("50.0", "52.0", "50.0"), strict=True))
+GRID = f"g AS (SELECT {CELLS}, CAST(count(*) AS DOUBLE) AS v FROM p WHERE x >= 0 AND y >= 0 AND z >= 0 GROUP BY 1, 2, 3)"
+grid = lambda s, d: bins.voxels(events(s, d), SHAPE, (LOW, HIGH))
+query("a20_voxel_counts", f"{WITH_E}, {GRID} SELECT * FROM g")(grid)
+query("a21_voxel_density", f"{WITH_E}, {GRID} SELECT ix, iy, iz, round(v / 130.0, 6) AS v FROM g")(lambda s, d: rounded(grid(s, d).withColumn("v", F.col("v") / 130.0), "v"))
+query("a22_voxel_fraction", f"{WITH_E} SELECT {CELLS}, round(sum(CASE WHEN ion = 'A' THEN 1.0 ELSE 0.0 END) / count(*), 6) AS v FROM r GROUP BY 1, 2, 3")(lambda s, d: rounded(bins.voxel_ratio(ranging.ranged(events(s, d), TABLE), SHAPE, (LOW, HIGH), F.col("ion") == "A"), "v"))
+query("a23_voxel_ratio", f"{WITH_E}, n AS (SELECT {CELLS}, sum(CASE WHEN ion = 'A' THEN 1.0 ELSE 0.0 END) AS a, sum(CASE WHEN ion = 'B' THEN 1.0 ELSE 0.0 END) AS b FROM r GROUP BY 1, 2, 3) SELECT ix, iy, iz, round(CASE WHEN b = 0 THEN a ELSE a / b END, 6) AS v FROM n")(
+    lambda s, d: rounded(bins.voxel_ratio(ranging.ranged(events(s, d), TABLE), SHAPE, (LOW, HIGH), F.col("ion") == "A", F.col("ion") == "B"), "v")
+)
+query("a24_voxel_summary", f"{WITH_E}, {GRID} SELECT CASE WHEN count(*) = 1000 THEN min(v) ELSE least(min(v), 0.0) END AS low, max(v) AS high, sum(v) AS total, CAST(sum(CASE WHEN v >= 10 THEN 1 ELSE 0 END) AS BIGINT) AS n_over FROM g")(lambda s, d: bins.voxel_summary(grid(s, d), 10, 1000))
+_soft = " UNION ALL ".join(
+    "SELECT " + ", ".join(f"CAST(b{a} + {k} AS INT) AS i{a}" for a, k in zip("xyz", bits, strict=True)) + ", " + " * ".join(f"f{a}" if k else f"(1 - f{a})" for a, k in zip("xyz", bits, strict=True)) + " AS w FROM u" for bits in [(i, j, k) for i in (0, 1) for j in (0, 1) for k in (0, 1)]
+)
+query("a25_soft_voxels", f"{WITH_E}, u AS (SELECT {', '.join(f'floor({a} / 5.0 - 0.5) AS b{a}, {a} / 5.0 - 0.5 - floor({a} / 5.0 - 0.5) AS f{a}' for a in 'xyz')} FROM p), w AS ({_soft}) SELECT ix, iy, iz, round(sum(w), 6) AS v FROM w GROUP BY 1, 2, 3")(
+    lambda s, d: rounded(bins.soft_voxels(events(s, d), LOW, 5.0), "v")
+)
+query("f20_voxel_threshold", f"{WITH_E}, {GRID} SELECT ix, iy, iz FROM g WHERE v > 12")(lambda s, d: bins.voxel_threshold(grid(s, d), 12).select("ix", "iy", "iz"))
+query("f21_voxel_binarise", f"{WITH_E}, {GRID} SELECT ix, iy, iz, CASE WHEN v < 12 THEN 0.0 ELSE 1.0 END::DOUBLE AS v FROM g")(lambda s, d: bins.binarise(grid(s, d), 12))
+_k = [math.exp(-(k * k) / 2) for k in (-2, -1, 0, 1, 2)]
+_w = ", ".join(f"({k - 2}, {v / sum(_k)!r})" for k, v in enumerate(_k))
+query(
+    "g8_gaussian_smooth",
+    f"{WITH_E}, {GRID}, k(o, w) AS (VALUES {_w}), s AS (SELECT g.ix + a.o AS ix, g.iy + b.o AS iy, g.iz + c.o AS iz, g.v * a.w * b.w * c.w AS v FROM g, k a, k b, k c) SELECT ix, iy, iz, round(sum(v), 6) AS v FROM s WHERE ix BETWEEN 0 AND 9 AND iy BETWEEN 0 AND 9 AND iz BETWEEN 0 AND 9 GROUP BY 1, 2, 3",
+)(lambda s, d: rounded(bins.smooth(grid(s, d), SHAPE, 1.0, 2), "v"))
+query("g9_laplacian", None)(lambda s, d: bins.smooth(grid(s, d), SHAPE, 1.0, 2, True))
+query("g10_slice", f"{WITH_E}, {GRID} SELECT ix, iy, round(sum(v * CASE WHEN iz = 4 THEN 0.75 ELSE 0.25 END), 6) AS v FROM g WHERE iz IN (4, 5) GROUP BY 1, 2")(lambda s, d: rounded(bins.grid_slice(grid(s, d), "iz", 4.25, True), "v"))
+query("g12_rebin", f"{WITH_E}, {GRID} SELECT CAST(ix // 2 AS INT) AS ix, CAST(iy // 2 AS INT) AS iy, CAST(iz // 2 AS INT) AS iz, sum(v) AS v FROM g GROUP BY 1, 2, 3")(lambda s, d: bins.rebin(grid(s, d), 2))
+
+# --- neighbours ---------------------------------------------------------------------
+
+NEAR = "(a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)"
+PAIR = f"{{s}} a JOIN {{t}} b ON b.x > a.x - {{r}} - 1e-9 AND b.x < a.x + {{r}} + 1e-9 AND {NEAR} < {{r}} * {{r}} AND a.point_id <> b.point_id"
+query("j4_radius_join", f"{WITH_E} SELECT a.point_id, count(*) AS n, round(min({NEAR}), 6) AS nearest FROM {PAIR.format(s='p', t='p', r='2.0')} GROUP BY 1")(
+    lambda s, d: rounded(spatial.radius_join(events(s, d), events(s, d), 2.0).groupBy(F.col("s_point_id").alias("point_id")).agg(F.count("*").alias("n"), F.min("d2").alias("nearest")), "nearest")
+)
+query("j2_w3_knn_join", f"{WITH_E}, n AS (SELECT a.point_id, min({NEAR}, 3) AS ds FROM p a JOIN p b ON a.point_id <> b.point_id GROUP BY 1) SELECT point_id, unnest([1, 2, 3]) AS rank, round(unnest(ds), 6) AS d2 FROM n")(
+    lambda s, d: rounded(spatial.knn_join(events(s, d), events(s, d), 3).select(F.col("s_point_id").alias("point_id"), "rank", "d2"), "d2")
+)
+query("j3_nearest", f"{WITH_E} SELECT a.point_id, round(min({NEAR}), 6) AS d2 FROM r a JOIN r b ON a.ion = 'A' AND b.ion = 'B' GROUP BY 1")(
+    lambda s, d: rounded(spatial.knn_join(ranging.keep_ions(events(s, d), TABLE, ["A"]), ranging.keep_ions(events(s, d), TABLE, ["B"]), 1).select(F.col("s_point_id").alias("point_id"), "d2"), "d2")
+)
+DENSE = f"n AS (SELECT a.point_id, count(*) AS n FROM {PAIR.format(s='p', t='p', r='2.0')} GROUP BY 1), q AS (SELECT p.point_id, coalesce(n, 0) / {4 / 3 * math.pi * 8!r} AS density FROM p LEFT JOIN n USING (point_id))"
+query("j5_density_radius", f"{WITH_E}, {DENSE} SELECT point_id, round(density, 6) AS density FROM q")(lambda s, d: rounded(spatial.local_density(events(s, d), 2.0).select("point_id", "density"), "density"))
+query("j5_density_knn", f"{WITH_E}, n AS (SELECT a.point_id, min({NEAR}, 3) AS ds FROM p a JOIN p b ON a.point_id <> b.point_id GROUP BY 1) SELECT point_id, round(3 / ({4 / 3 * math.pi!r} * ds[3] * sqrt(ds[3])), 6) AS density FROM n")(
+    lambda s, d: rounded(spatial.local_density(events(s, d), k=3).select("point_id", "density"), "density")
+)
+query("j6_f17_density_filter", f"{WITH_E}, {DENSE} SELECT point_id FROM q WHERE density > 0.05")(lambda s, d: spatial.density_filter(events(s, d), 0.05, radius=2.0).select("point_id"))
+MATCH = f"EXISTS (SELECT 1 FROM r b WHERE b.ion = 'B' AND b.x >= a.x - 1.5 AND b.x <= a.x + 1.5 AND {NEAR} <= 2.25)"
+_ab = lambda s, d: (ranging.keep_ions(events(s, d), TABLE, ["A"]), ranging.keep_ions(events(s, d), TABLE, ["B", "C"]).where("ion = 'B'"))
+query("j7_subtract", f"{WITH_E} SELECT a.point_id FROM r a LEFT JOIN r b ON b.ion = 'B' AND {NEAR} <= 6.25 WHERE a.ion IS DISTINCT FROM 'B' GROUP BY 1 HAVING count(b.point_id) = 0")(
+    lambda s, d: spatial.subtract(ranging.ranged(events(s, d), TABLE).where("ion is null or ion <> 'B'"), ranging.keep_ions(events(s, d), TABLE, ["B"]), 2.5).select("point_id")
+)
+query("j8_intersect", f"{WITH_E} SELECT a.point_id, round(arg_min(b.value, {NEAR}), 6) AS value FROM r a JOIN r b ON b.ion = 'B' AND {NEAR} <= 6.25 WHERE a.ion IS DISTINCT FROM 'B' GROUP BY 1")(
+    lambda s, d: rounded(spatial.intersect(ranging.ranged(events(s, d), TABLE).where("ion is null or ion <> 'B'"), ranging.keep_ions(events(s, d), TABLE, ["B"]), 2.5, True).select("point_id", "value"), "value")
+)
+query("j9_union", f"{WITH_E}, o AS (SELECT * FROM r WHERE ion IS DISTINCT FROM 'B'), t AS (SELECT b.point_id FROM r b LEFT JOIN o a ON {NEAR} <= 6.25 WHERE b.ion = 'B' GROUP BY 1 HAVING count(a.point_id) = 0) SELECT point_id FROM o UNION ALL SELECT point_id FROM t")(
+    lambda s, d: spatial.union(ranging.ranged(events(s, d), TABLE).where("ion is null or ion <> 'B'"), ranging.keep_ions(events(s, d), TABLE, ["B"]), 2.5).select("point_id")
+)
+
+
+def _conc_radius(s, d):
+    r = ranging.ranged(events(s, d), TABLE)
+    src = r.where("ion = 'A'")
+    pairs = spatial.radius_join(src, r, 3.0, target_columns=("ion",))
+    return rounded(spatial.local_concentration(pairs, src, F.col("t_ion") == "A", F.col("t_ion") == "B").select("point_id", "concentration"), "concentration")
+
+
+query(
+    "j14_concentration_radius",
+    f"{WITH_E}, n AS (SELECT a.point_id, count(*) FILTER (WHERE b.ion = 'A') AS n, count(*) FILTER (WHERE b.ion = 'B') AS d FROM {PAIR.format(s='r', t='r', r='3.0')} WHERE a.ion = 'A' GROUP BY 1) SELECT r.point_id, round(CASE WHEN coalesce(n + d, 0) > 0 THEN n * 100.0 / (n + d) ELSE -1 END, 6) AS concentration FROM r LEFT JOIN n USING (point_id) WHERE r.ion = 'A'",
+)(_conc_radius)
+
+
+def _conc_knn(s, d):
+    r = ranging.ranged(events(s, d), TABLE)
+    src, dst = r.where("ion = 'A'"), r.where("ion in ('B', 'C')")
+    pairs = spatial.knn_join(src, dst, 5, target_columns=("ion",))
+    return rounded(spatial.local_concentration(pairs, src, F.col("t_ion") == "B", F.col("t_ion") == "C").select("point_id", "concentration"), "concentration")
+
+
+query(
+    "j15_concentration_knn",
+    f"{WITH_E}, n AS (SELECT a.point_id, arg_min(b.ion, {NEAR}, 5) AS l FROM r a JOIN r b ON b.ion IN ('B', 'C') WHERE a.ion = 'A' GROUP BY 1) SELECT point_id, round(len(list_filter(l, lambda q: q = 'B')) * 100.0 / len(l), 6) AS concentration FROM n",
+)(_conc_knn)
+query("a27_rdf", f"{WITH_E}, h AS (SELECT CAST(floor(sqrt({NEAR}) / 3.0 * 30) AS INT) AS bin, count(*) AS n FROM {PAIR.format(s='p', t='p', r='3.0')} GROUP BY 1) SELECT CAST(b.bin AS INT) AS bin, coalesce(n, 0) AS n FROM range(30) b(bin) LEFT JOIN h USING (bin)")(
+    lambda s, d: spatial.radial_distribution(events(s, d), events(s, d), 3.0, 30).select("bin", "n")
+)
+query(
+    "a28_w4_knn_histograms",
+    f"{WITH_E}, n AS (SELECT a.point_id, min({NEAR}, 2) AS ds FROM p a JOIN p b ON a.point_id <> b.point_id GROUP BY 1), k AS (SELECT unnest([1, 2]) AS rank, sqrt(unnest(ds)) AS d FROM n), m AS (SELECT *, max(d) OVER (PARTITION BY rank) AS most FROM k) SELECT rank, CAST(least(floor(d / most * 20), 19) AS INT) AS bin, count(*) AS n FROM m GROUP BY 1, 2",
+)(lambda s, d: spatial.neighbour_histograms(events(s, d), 2, 20).select("rank", "bin", "n"))
+query(
+    "a30_axial_df",
+    f"{WITH_E}, s AS (SELECT * FROM p WHERE abs(y - 25.0) < 15 AND {SPHERE} - (y - 25.0) * (y - 25.0) < 100.0), h AS (SELECT CAST(floor(((b.y - a.y) / 6.0 + 0.5) * 24) AS INT) AS bin, count(*) AS n FROM {PAIR.format(s='s', t='p', r='3.0')} GROUP BY 1) SELECT CAST(b.bin AS INT) AS bin, coalesce(n, 0) AS n FROM range(24) b(bin) LEFT JOIN h USING (bin)",
+)(lambda s, d: spatial.axial_distribution(events(s, d), events(s, d), CENTRE, AXIS, 10, 3.0, 24))
+
+# --- clusters ------------------------------------------------------------------------
+
+LINKS = f"e AS (SELECT a.point_id AS a, b.point_id AS b FROM {{s}} a JOIN {{s}} b ON b.x > a.x - 0.9 AND b.x < a.x + 0.9 AND {NEAR} < 0.81 AND a.point_id <> b.point_id), w(a, b) AS (SELECT a, b FROM e UNION SELECT w.a, e.b FROM w JOIN e ON w.b = e.a), c AS (SELECT n.point_id, least(n.point_id, coalesce(min(w.b), n.point_id)) AS cluster_id FROM {{s}} n LEFT JOIN w ON w.a = n.point_id GROUP BY n.point_id)"
+WITH_C = WITH_E.replace("WITH p", "WITH RECURSIVE p") + ", " + LINKS.format(s="p")
+query("g1_link_clusters", f"{WITH_C} SELECT * FROM c")(lambda s, d: clusters.link(events(s, d), 0.9))
+query("f18_size_crop", f"{WITH_C} SELECT point_id, cluster_id FROM c WHERE cluster_id IN (SELECT cluster_id FROM c GROUP BY 1 HAVING count(*) BETWEEN 3 AND 20)")(lambda s, d: clusters.crop_sizes(clusters.link(events(s, d), 0.9), 3, 20))
+query("a36_cluster_sizes", f"{WITH_C}, z AS (SELECT cluster_id, count(*) AS size FROM c GROUP BY 1) SELECT size, count(*) AS n FROM z GROUP BY 1")(lambda s, d: clusters.size_distribution(clusters.link(events(s, d), 0.9)))
+query(
+    "a37_cluster_composition",
+    f"{WITH_C}, z AS (SELECT c.*, count(*) OVER (PARTITION BY cluster_id) AS size FROM c), k AS (SELECT size, coalesce(ion, 'unranged') AS ion, count(*) AS n FROM z JOIN r USING (point_id) GROUP BY 1, 2) SELECT size, ion, n, round(n / sum(n) OVER (PARTITION BY size), 6) AS fraction FROM k",
+)(lambda s, d: rounded(clusters.composition_by_size(cut(clusters.link(events(s, d), 0.9)), ranging.ranged(events(s, d), TABLE)), "fraction"))
+query("j12_core_points", f"{WITH_E} SELECT a.point_id FROM {PAIR.format(s='p', t='p', r='1.5')} GROUP BY 1 HAVING count(*) >= 2")(lambda s, d: clusters.core_points(events(s, d), 2, 1.5).select("point_id"))
+
+
+def _full_cluster(s, d):
+    r = ranging.ranged(events(s, d), TABLE)
+    return clusters.cluster(r.where("ion in ('A', 'B')"), r.where("ion is null"), 1.2, None, 0.8, 0.4, 2)
+
+
+query("g2_j10_j11_cluster_pipeline", None)(_full_cluster)
+query(
+    "a39_morphology",
+    f"{WITH_C} SELECT cluster_id, count(*) AS n, round(avg(x), 6) AS x, round(avg(y), 6) AS y, round(avg(z), 6) AS z FROM c JOIN p USING (point_id) GROUP BY 1",
+)(lambda s, d: rounded(clusters.morphology(events(s, d), cut(clusters.link(events(s, d), 0.9))).select("cluster_id", "n", "x", "y", "z"), "x", "y", "z"))
+query("a39_semi_axes", None)(lambda s, d: clusters.morphology(events(s, d), clusters.crop_sizes(cut(clusters.link(events(s, d), 0.9)), 4)))
+
+# --- blocks and statistics ---------------------------------------------------------------
+
+BLOCKS = "o AS (SELECT *, floor(x / 10.0) AS cx, floor(y / 10.0) AS cy FROM r), k AS (SELECT *, (row_number() OVER (PARTITION BY cx, cy ORDER BY z, point_id) - 1) // 20 AS blk FROM o), f AS (SELECT *, count(*) OVER (PARTITION BY cx, cy, blk) AS m, max(z) OVER (PARTITION BY cx, cy, blk) - min(z) OVER (PARTITION BY cx, cy, blk) AS span FROM k), u AS (SELECT *, CAST(CAST(cx AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(cy AS BIGINT) AS VARCHAR) || ':' || CAST(blk AS VARCHAR) AS block FROM f WHERE m = 20 AND span <= 20.0)"
+_blocks = lambda s, d: stats.binomial_blocks(ranging.ranged(events(s, d), TABLE), 20, 10.0, 2.0)
+query("a32_w2_binomial_blocks", f"{WITH_E}, {BLOCKS} SELECT block, point_id FROM u")(lambda s, d: _blocks(s, d).select("block", "point_id"))
+query(
+    "a33_binomial_histogram",
+    f"{WITH_E}, {BLOCKS}, every AS (SELECT DISTINCT block FROM u), ions AS (SELECT DISTINCT coalesce(ion, 'unranged') AS ion FROM u), per AS (SELECT block, ions.ion, count(u.point_id) AS k FROM every CROSS JOIN ions LEFT JOIN u USING (block) GROUP BY ALL), cnt AS (SELECT e.block, i.ion, count(u.point_id) AS k FROM every e CROSS JOIN ions i LEFT JOIN u ON u.block = e.block AND coalesce(u.ion, 'unranged') = i.ion GROUP BY 1, 2) SELECT ion, k, count(*) AS n FROM cnt GROUP BY 1, 2",
+)(lambda s, d: stats.binomial_histogram(_blocks(s, d).withColumn("ion", F.coalesce("ion", F.lit("unranged")))))
+
+
+def _binomial(s, d):
+    hist = stats.binomial_histogram(_blocks(s, d).withColumn("ion", F.coalesce("ion", F.lit("unranged")))).collect()  # at most ions x block size rows
+    ions = sorted({h["ion"] for h in hist})
+    rows = [(i, *stats.binomial_test([(h["k"], h["n"]) for h in hist if h["ion"] == i], 20).values()) for i in ions]
+    return s.createDataFrame(rows, "ion string, mean double, chi_square double, p double, mu double, freedom int")
+
+
+query("a34_binomial_test", None)(_binomial)
+
+# --- geometry ------------------------------------------------------------------------------
+
+
+def _hull(s, d):
+    points = events(s, d)
+    return s.createDataFrame([("convex", geometry.convex_volume(points)), ("box", geometry.box_volume(points))], "kind string, volume double")
+
+
+query("a9_convex_volume", None)(_hull)
+query("g4_f22_shrunken_hull", None)(lambda s, d: geometry.inside_shrunken(events(s, d), 2.0))
+query("g6_isosurface", None)(lambda s, d: geometry.isosurface(grid(s, d), SHAPE, 12.0))
+query("g7_a45_proximity", None)(
+    lambda s, d: geometry.proximity_histogram(geometry.surface_distance(ranging.ranged(events(s, d), TABLE), cut(bins.soft_voxels(events(s, d), LOW, 5.0)), SHAPE, 12.0, LOW, 5.0, 6.0), 1.0, F.col("ion") == "A")
+)
+query("g11_trilinear", None)(lambda s, d: geometry.trilinear(events(s, d), grid(s, d), LOW, 5.0))
