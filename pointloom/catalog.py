@@ -158,7 +158,7 @@ query("a49_a50_plot_bounds", f"{WITH_L}, h AS ({HIST.format(lo='0.0', w='0.5', k
     lambda s, d: bins.spectrum(lines(s, d), 0, 120, 0.5).agg(F.round(F.min("x"), 6).alias("low_x"), F.round(F.max("x"), 6).alias("high_x"), F.min("n").alias("low_n"), F.max("n").alias("high_n"), F.min(F.when(F.col("n") != 0, F.col("n"))).alias("least"))
 )
 query("k8_plot_grid", f"{WITH_L} SELECT round(floor(value / 10.0) * 10.0, 6) AS x, count(*) FILTER (WHERE ion = 'A') AS a, count(*) FILTER (WHERE ion = 'B') AS b FROM r GROUP BY 1")(
-    lambda s, d: rounded(ranging.ranged(lines(s, d), TABLE).withColumn("x", F.floor(F.col("value") / 10.0) * 10.0).groupBy("x").pivot("ion", ["A", "B"]).agg(F.count("*").alias("n")).select(F.col("x").cast("double"), F.coalesce("A", F.lit(0)).alias("a"), F.coalesce("B", F.lit(0)).alias("b")), "x")
+    lambda s, d: rounded(ranging.ranged(lines(s, d), TABLE).withColumn("x", F.floor(F.col("value") / 10.0) * 10.0).groupBy("x").pivot("ion", ["A", "B"]).agg(F.count("value").alias("n")).select(F.col("x").cast("double"), F.coalesce("A", F.lit(0)).alias("a"), F.coalesce("B", F.lit(0)).alias("b")), "x")
 )
 
 # --- voxels -----------------------------------------------------------------------
@@ -175,9 +175,9 @@ query("a23_voxel_ratio", f"{WITH_E}, n AS (SELECT {CELLS}, sum(CASE WHEN ion = '
 )
 query("a24_voxel_summary", f"{WITH_E}, {GRID} SELECT CASE WHEN count(*) = 1000 THEN min(v) ELSE least(min(v), 0.0) END AS low, max(v) AS high, sum(v) AS total, CAST(sum(CASE WHEN v >= 10 THEN 1 ELSE 0 END) AS BIGINT) AS n_over FROM g")(lambda s, d: bins.voxel_summary(grid(s, d), 10, 1000))
 _soft = " UNION ALL ".join(
-    "SELECT " + ", ".join(f"CAST(b{a} + {k} AS INT) AS i{a}" for a, k in zip("xyz", bits, strict=True)) + ", " + " * ".join(f"f{a}" if k else f"(1 - f{a})" for a, k in zip("xyz", bits, strict=True)) + " AS w FROM u" for bits in [(i, j, k) for i in (0, 1) for j in (0, 1) for k in (0, 1)]
+    "SELECT " + ", ".join(f"CAST(k{a} AS INT) + {k} AS i{a}" for a, k in zip("xyz", bits, strict=True)) + ", " + " * ".join(f"f{a}" if k else f"(1 - f{a})" for a, k in zip("xyz", bits, strict=True)) + " AS w FROM u" for bits in [(i, j, k) for i in (0, 1) for j in (0, 1) for k in (0, 1)]
 )
-query("a25_soft_voxels", f"{WITH_E}, u AS (SELECT {', '.join(f'floor({a} / 5.0 - 0.5) AS b{a}, {a} / 5.0 - 0.5 - floor({a} / 5.0 - 0.5) AS f{a}' for a in 'xyz')} FROM p), w AS ({_soft}) SELECT ix, iy, iz, round(sum(w), 6) AS v FROM w GROUP BY 1, 2, 3")(
+query("a25_soft_voxels", f"{WITH_E}, u AS (SELECT {', '.join(f'floor({a} / 5.0 - 0.5) AS k{a}, {a} / 5.0 - 0.5 - floor({a} / 5.0 - 0.5) AS f{a}' for a in 'xyz')} FROM p), w AS ({_soft}) SELECT ix, iy, iz, round(sum(w), 6) AS v FROM w GROUP BY 1, 2, 3")(
     lambda s, d: rounded(bins.soft_voxels(events(s, d), LOW, 5.0), "v")
 )
 query("f20_voxel_threshold", f"{WITH_E}, {GRID} SELECT ix, iy, iz FROM g WHERE v > 12")(lambda s, d: bins.voxel_threshold(grid(s, d), 12).select("ix", "iy", "iz"))
