@@ -118,7 +118,7 @@ def _joined(points: DataFrame, table: RangeTable) -> DataFrame:
     """
     order = sorted(range(len(table.ranges)), key=lambda k: table.ranges[k].low)
     spark = points.sparkSession
-    rows = [(table.ranges[k].low, table.ranges[k].high, k, table.ions[table.ranges[k].ion].short) for k in order]
+    rows = [(float(table.ranges[k].low), float(table.ranges[k].high), k, table.ions[table.ranges[k].ion].short) for k in order]
     dims = spark.createDataFrame(rows, "lo double, hi double, range_id int, ion string")
     width = max((r.high - r.low for r in table.ranges), default=1.0)
     cell = lambda c: F.floor(c / F.lit(width))
