@@ -160,18 +160,24 @@ def _apart(x: bytes, y: bytes, tool) -> int:
     return int(np.abs(x.reshape(least, -1).sum(1) - y.reshape(least, -1).sum(1)).sum())
 
 
+def _print(tokens: np.ndarray, row: np.ndarray, rows: int, salt: int) -> np.ndarray:
+    """64-bit fingerprint of each row's set."""
+    total = np.zeros(rows, tn.U)
+    np.add.at(total, row, tn.mix(tokens ^ tn.U(salt)))
+    return tn.mix(total).view(np.int64)
+
+
+#: Salts of the two fingerprints; the first names a set among the signatures.
+SALTS = (0x1234567, 0x89ABCDEF1)
+
+
 def describe(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``n``, 128-bit ``print_a``/``print_b`` and the histogram ``cells`` of each set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tn.sliced(batches, "text", CHUNK):
             tokens, row, n = token_sets(*tn.packed(batch.column("text")))
-            rows = batch.num_rows
-            prints = []
-            for salt in (0x1234567, 0x89ABCDEF1):
-                total = np.zeros(rows, tn.U)
-                np.add.at(total, row, tn.mix(tokens ^ tn.U(salt)))
-                prints.append(total.view(np.int64))
+            prints = [_print(tokens, row, batch.num_rows, salt) for salt in SALTS]
             cells = _histograms(tokens, row, n)
             columns = [batch.column("doc_id"), pa.array(n, pa.int64()), *map(pa.array, prints), pa.array(cells, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "print_a", "print_b", "cells"])
@@ -228,12 +234,20 @@ def signatures(tokens: np.ndarray, row: np.ndarray, n: np.ndarray):
 
 
 def _indexed(docs: DataFrame, buckets: int) -> DataFrame:
-    """Signatures of all sets by bucket, as packed columns."""
+    """Signatures of all sets by bucket, as packed columns; a set is named by its first fingerprint.
+
+    Equal sets have equal records, so copies merge: in a chunk before the
+    shuffle, and for good where their signatures meet.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tn.sliced(batches, "text", CHUNK):
-            doc = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
             tokens, row, n = token_sets(*tn.packed(batch.column("text")))
+            doc = _print(tokens, row, batch.num_rows, SALTS[0])
+            once = np.zeros(len(doc), bool)
+            once[np.unique(doc, return_index=True)[1]] = True
+            kept = once[row]
+            tokens, row, n = tokens[kept], row[kept], np.where(once, n, 0)
             sign, owner, scheme, empties = signatures(tokens, row, n)
             order = np.argsort(doc[owner], kind="stable")
             sign, owner, scheme, empties = sign[order], owner[order], scheme[order], empties[order]
@@ -366,19 +380,24 @@ def candidates(docs: DataFrame, total: int) -> DataFrame:
     return gather(met, second).mapInArrow(_by_bucket(_narrow(spares), True), PAIRS)
 
 
-def _bounded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs that the histograms allow: the sum of differences of cells is at most the sets' difference."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("cells").alias("ca"), F.col("print_a").alias("pa"), F.col("print_b").alias("pb"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("cells").alias("cb"), F.col("print_a").alias("qa"), F.col("print_b").alias("qb"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ca", "cb", ((F.col("pa") == F.col("qa")) & (F.col("pb") == F.col("qb"))).alias("same"))
+def _bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs of documents for pairs of fingerprints, where the histograms allow them.
+
+    The sum of differences of the cells is at most the sets' difference.  Should
+    different sets share a first fingerprint, each of them is paired.
+    """
+    left = classes.select(F.col("print_a").alias("x"), F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("cells").alias("ca"))
+    right = classes.select(F.col("print_a").alias("y"), F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("cells").alias("cb"))
+    pairs = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"))
+    both = pairs.join(left, "x").join(right, "y").select("a", "b", "na", "nb", "ca", "cb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = zstandard.ZstdDecompressor()
         for batch in batches:
             na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
             most = (na + nb) * (DENOMINATOR - NUMERATOR) // (NUMERATOR + DENOMINATOR)
-            values = zip(batch.column("same").to_pylist(), batch.column("ca").to_pylist(), batch.column("cb").to_pylist(), most.tolist(), strict=True)
-            good = pa.array([not same and _apart(x, y, tool) <= limit for same, x, y, limit in values], pa.bool_())
+            values = zip(batch.column("ca").to_pylist(), batch.column("cb").to_pylist(), most.tolist(), strict=True)
+            good = pa.array([_apart(x, y, tool) <= limit for x, y, limit in values], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(good) for c in ("a", "b")], names=["a", "b"])
 
     return both.mapInArrow(run, "a long, b long")
@@ -430,9 +449,10 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("doc_id"), F.col("v").alias("component_id")).unionByName(edges.select(F.col("v").alias("doc_id"), F.col("v").alias("component_id"))).distinct()
 
 
-def _unsettled(members: DataFrame, known: DataFrame) -> DataFrame:
-    """Pairs of sets of one frequent signature that are in different components."""
-    kept = members.select("a", F.col("b").alias("n"), "sign", "scheme").join(known, F.col("a") == F.col("doc_id"), "left").select("a", "n", "sign", "scheme", F.coalesce("component_id", "a").alias("c"))
+def _unsettled(members: DataFrame, classes: DataFrame, groups: DataFrame) -> DataFrame:
+    """Pairs of sets (by fingerprint) of one frequent signature that are in different components."""
+    named = classes.select(F.col("print_a").alias("a"), "doc_id").join(groups, "doc_id", "left").groupBy("a").agg(F.min(F.coalesce("component_id", "doc_id")).alias("c"))
+    kept = members.select("a", F.col("b").alias("n"), "sign", "scheme").join(named, "a")
     mixed = kept.groupBy("scheme", "sign").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("scheme", "sign")
     rows = kept.join(mixed, ["scheme", "sign"])
     x = rows.select("scheme", "sign", "a", F.col("n").alias("na"), F.col("c").alias("ka"))
@@ -453,14 +473,13 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     sets = cut(describe(base))
     total = sets.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     known = sets.where("n > 0 and doc_id is not null")
-    equal = known.groupBy("n", "print_a", "print_b").agg(F.min("doc_id").alias("b"), F.count("*").alias("k")).where("k > 1").drop("k")
-    copies = known.drop("cells").join(equal, ["n", "print_a", "print_b"]).select(F.col("doc_id").alias("a"), "b")
+    classes = cut(known.groupBy("n", "print_a", "print_b").agg(F.min(F.struct("doc_id", "cells")).alias("_m"), F.count("*").alias("k")).select("n", "print_a", "print_b", "k", "_m.*"))
+    copies = known.select("n", "print_a", "print_b", F.col("doc_id").alias("a")).join(classes.where("k > 1").select("n", "print_a", "print_b", F.col("doc_id").alias("b")), ["n", "print_a", "print_b"]).select("a", "b")
     met = cut(candidates(base, total))
-    first = met.where("kind = 0").select("a", "b").distinct()
-    links = cut(verified(_bounded(first, known), base).unionByName(copies))
+    links = cut(verified(_bounded(met.where("kind = 0"), classes), base).unionByName(copies))
     groups = components(links)
     if met.where("kind = 1").limit(1).count():
-        rest = cut(_bounded(_unsettled(met.where("kind = 1"), groups), known))
+        rest = cut(_bounded(_unsettled(met.where("kind = 1"), classes, groups), classes))
         if rest.limit(1).count():
             groups = components(links.unionByName(verified(rest, base)))
     out = sets.select("doc_id", F.col("n").alias("n_shingles"))
