@@ -1,0 +1,230 @@
+"""Operators on small tables against brute force, with nulls, ties, repeats and empty tables."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import oracle
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from pointloom.llm import chat, decontam, jaccard, licences, media, packing, quality, registry, sharding, suffixes, urls
+
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rng = random.Random(7)
+    words = ["Alpha", "beta", "gamma", "é", "delta,", "x" * 12, "of", "the"]
+    base = [" ".join(rng.choice(words) + str(rng.randrange(40)) for _ in range(120)) for _ in range(6)]
+    rows = [(1, None), (2, ""), (3, "   \n"), (4, "one two"), (5, "one two"), (6, "a" * 400), (7, "b " * 300)]
+    for k in range(40):
+        t = rng.choice(base).split(" ")
+        for _ in range(rng.choice([0, 0, 1, 3, 20])):
+            t[rng.randrange(len(t))] = f"new{rng.randrange(10**6)}"
+        rows.append((100 + 7 * k % 97 + 100 * (k % 3), " ".join(t)))
+    rows = list(dict(rows).items())
+    df = spark.createDataFrame([(d, t, "en", "s", len(t or ""), 1.5) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long, shard double")
+    return df.repartition(3), dict(rows)
+
+
+def empty(df):
+    return df.where("doc_id < 0")
+
+
+def test_sharding(docs):
+    df, texts = docs
+    rows = sharding.shard_by_bytes(df, 4).collect()
+    assert {r["doc_id"] for r in rows} == set(texts)
+    shard_of = {}
+    for r in rows:
+        t = texts[r["doc_id"]] or ""
+        assert r["size"] == len(t.encode()) + 1 and r["text_crc32"] == zlib.crc32(t.encode())
+        assert shard_of.setdefault(t, r["shard"]) == r["shard"]
+    for k in range(4):
+        own = sorted(r["slot"] for r in rows if r["shard"] == k)
+        assert own == list(range(len(own)))
+    assert sharding.shard_by_bytes(empty(df), 4).count() == 0
+
+
+def _sets(texts):
+    out = {}
+    for d, t in texts.items():
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER))
+        out[d] = set() if not w else {tuple(w)} if len(w) < 5 else {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    return out
+
+
+def _components(texts):
+    sets = _sets(texts)
+    name = {d: d for d in sets}
+
+    def find(d):
+        while name[d] != d:
+            d = name[d]
+        return d
+
+    keys = sorted(sets)
+    for i, a in enumerate(keys):
+        for b in keys[i + 1 :]:
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                name[max(x, y)] = min(x, y)
+    return {d: (len(sets[d]), find(d)) for d in sets}
+
+
+@pytest.mark.parametrize("frequent", [6, 1])
+def test_jaccard(docs, monkeypatch, frequent):
+    df, texts = docs
+    monkeypatch.setattr(jaccard, "FREQUENT", frequent)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.similar_groups(df).collect()}
+    assert got == _components(texts)
+    assert jaccard.similar_groups(empty(df)).count() == 0
+
+
+def _removed(texts):
+    seen, out = set(), {}
+    for d in sorted(texts):
+        b = (texts[d] or "").encode()
+        gone = [False] * len(b)
+        for p in range(len(b) - 99):
+            w = b[p : p + 100]
+            if w in seen:
+                gone[p : p + 100] = [True] * 100
+            seen.add(w)
+        spans = sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone))
+        out[d] = (len(b), sum(gone), spans, hashlib.sha256(bytes(c for c, g in zip(b, gone, strict=True) if not g)).hexdigest())
+    return out
+
+
+@pytest.mark.parametrize("options", [{}, {"crowd": 1}, {"slab": 200}])
+def test_suffix_dedup(docs, options):
+    df, texts = docs
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffixes.repeats(df, **options).collect()}
+    assert got == _removed(texts)
+
+
+def test_suffix_dedup_edges(docs, spark):
+    df, _ = docs
+    assert suffixes.repeats(empty(df)).count() == 0
+    twice = spark.createDataFrame([(1, "q" * 50 + "w" * 90), (1, "q" * 50 + "w" * 90), (None, "z" * 30)], "doc_id long, text string")
+    rows = sorted((r["doc_id"] or 0, r["n_removed"]) for r in suffixes.repeats(twice).collect())
+    assert rows == [(0, 0), (1, 0), (1, 0)]
+    kept = suffixes.without_repeats(df)
+    assert kept.columns == df.columns and kept.count() == df.count()
+
+
+def test_decontamination(docs, spark):
+    df, texts = docs
+    known = texts[max(texts)].split(" ")
+    bench = spark.createDataFrame([(10, " ".join(known[5:30])), (11, "ONE, two"), (12, None), (None, "..."), (13, "absent words here")], "item_id long, text string")
+    for size in (decontam.BLOCK_BYTES, 20):
+        got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in decontam.scan(df, bench, block_bytes=size).collect()}
+        assert got[4] == (2, 2, ["11"]) and got[1] == (0, 0, []) and "10" in got[max(texts)][2]
+    left = decontam.decontaminate(df, bench)
+    assert left.columns == df.columns and left.where("doc_id = 4").count() == 0 and left.where("doc_id = 6").count() == 1
+    assert decontam.scan(df, bench.limit(0)).where("n_hit > 0").count() == 0
+
+
+def test_packing(docs):
+    df, _ = docs
+    rows = packing.pack(packing.tokenize(df, 64), 64).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r["sequence_id"], []).append(r)
+    for own in by.values():
+        at = 0
+        for r in sorted(own, key=lambda r: r["offset"]):
+            assert r["offset"] == at
+            at += r["length"]
+        assert at <= 64
+    assert packing.pack(packing.tokenize(empty(df))).count() == 0
+
+
+def test_quality(docs, spark):
+    df, _ = docs
+    rng = random.Random(8)
+    good = [" ".join(rng.choice(["the", "river", "was", "calm", "and", "people", "walked", "home"]) for _ in range(60)).capitalize() + ". The end came soon." * 4 for _ in range(60)]
+    bad = ["BUY!! NOW!! CHEAP!! " * 20, "word### other*** thing$$$ " * 20, "same same same same " * 30]
+    more = spark.createDataFrame([(k, t) for k, t in enumerate(good + bad * 5)], "doc_id long, text string")
+    rows = quality.classify(more).collect()
+    assert all(r["keep"] for r in rows if r["doc_id"] < 60) and not any(r["keep"] for r in rows if r["doc_id"] >= 60)
+    out = quality.classify(df)
+    assert out.where("doc_id in (1, 2, 3, 4) and not keep").count() == 0 and out.count() == df.count()
+    assert quality.classify(empty(df)).count() == 0
+
+
+def test_quality_agrees_with_labels(spark, small):
+    rows = registry.QUERIES["op4_quality"](spark, small).join(spark.read.parquet(f"{small}/labels.parquet"), "doc_id").collect()
+    assert sum(r["keep"] == (r["quality"] == 1) for r in rows) / len(rows) > 0.95
+
+
+def test_licences(docs, spark):
+    rows = spark.createDataFrame([(1, "Some text.\nReleased under the MIT License.\nMore."), (2, "This work is licensed under the GNU General Public License, version 3."), (3, "He renewed his license."), (4, None), (5, "")], "doc_id long, text string")
+    got = {r["doc_id"]: [(x["paragraph"], x["family"]) for x in r["licences"]] for r in licences.scan(rows).collect()}
+    assert got == {1: [(1, "mit")], 2: [(0, "gpl-3.0")], 3: [], 4: [], 5: []}
+    assert licences.scan(empty(docs[0])).count() == 0
+
+
+def test_media(docs):
+    df, texts = docs
+    for r in media.media_columns(df, arrays=True).collect():
+        t = (texts[r["doc_id"]] or "").encode()
+        payload = media.padded(t)
+        assert r["n_bytes"] == len(t) and r["payload_sha256"] == hashlib.sha256(payload).hexdigest() and media.from_wav(r["media"]) == payload
+        assert len(r["fp_time"]) == len(r["fp_code"])
+
+
+def test_chat_layouts(spark):
+    records = [
+        (1, '{"messages":[{"role":"user","content":"a<|end|>\\n\\\\ b"},{"role":"assistant","content":"c\\\\l"}]}'),
+        (2, '{"prompt":"p","response":"r"}'),
+        (3, '{"instruction":"i","input":"","output":"o"}'),
+        (4, '{"conversations":[{"from":"human","value":"h"},{"from":"gpt","value":"g"}]}'),
+        (5, '{"other":1}'),
+        (6, "not json"),
+        (7, None),
+    ]
+    out = chat.format_records(spark.createDataFrame(records, "id int, record string")).withColumn("back", chat.parse(F.col("formatted")))
+    got = {r["id"]: [(t["role"], t["text"]) for t in r["back"]] for r in out.collect()}
+    assert got[1] == [("user", "a<|end|>\n\\ b"), ("assistant", "c\\l")]
+    assert got[2] == [("user", "p"), ("assistant", "r")] and got[3] == [("user", "i"), ("assistant", "o")] and got[4] == [("user", "h"), ("assistant", "g")]
+    assert got[5] == got[6] == got[7] == []
+
+
+def test_urls(spark):
+    rows = ["https://A.Example.com/en/75?x#y", "http://b.com/en/1", "ftp://x.example.net/de/8", "no scheme", None, "https://free-casino-online.example.org/win/bonus", "http://example.org", "x://org/es/"]
+    out = urls.filter_urls(spark.createDataFrame([(k, u) for k, u in enumerate(rows)], "page_id long, url string"), urls.train(spark))
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in out.collect()}
+    assert got[0] == ("a.example.com", "/en/75", "example.com/en/7", "allow")
+    assert got[1] == ("b.com", "/en/1", "com/en/", "block") and got[2][2:] == ("example.net/de/8", "block")
+    assert got[3][:3] == got[4][:3] == ("", "", None) and got[5][3] == "block" and got[6][:3] == ("example.org", "", None) and got[7][2] == "org/es/"
+
+
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
+def test_sql(spark, small, name):
+    assert oracle.differences(registry.QUERIES[name](spark, small), oracle.connect(small), registry.ORACLES[name]) == ""
+
+
+def test_pipeline(docs, spark, tmp_path):
+    df, texts = docs
+    known = texts[max(texts)].split(" ")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(10, " ".join(known[5:30]))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    at, left = df, texts
+    for name, stage in corpus_pipeline.STAGES:
+        at = stage(spark, at, str(tmp_path))
+        rows = at.collect()
+        if name == "near_duplicates":
+            assert {r["doc_id"] for r in rows} == {d for d, (_, c) in _components(left).items() if c == d}
+        if name == "repeats":
+            for r in rows:
+                assert hashlib.sha256(r["text"].encode()).hexdigest() == _removed(left)[r["doc_id"]][3] and r["n_chars"] == len(r["text"])
+        if name != "packing":
+            assert at.columns == df.columns
+            left = {r["doc_id"]: r["text"] for r in rows}
+            at = spark.createDataFrame(rows, df.schema)
+    assert {r["doc_id"] for r in rows} == set(left)
