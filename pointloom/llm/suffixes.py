@@ -223,15 +223,26 @@ def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.
 
 
 def _decide(anchor, content, key, sub, start, windows):
-    """Order records; (columns, first of its anchor and content)."""
+    """Order records, each once (rows of one key and text have equal ones); (columns, first of its anchor and content)."""
     order = np.lexsort((start, sub, key, content, anchor))
     columns = [c[order] for c in (anchor, content, key, sub, start, windows)]
+    fresh = _fresh(columns[:5])
+    columns = [c[fresh] for c in columns]
     anchor, content = columns[:2]
-    first = np.ones(len(order), bool)
+    first = np.ones(len(anchor), bool)
     first[1:] = (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1])
     return columns, first
 
 
+def _fresh(columns: list[np.ndarray]) -> np.ndarray:
+    """Rows that differ from the one before in some column."""
+    out = np.zeros(len(columns[0]), bool)
+    out[:1] = True
+    for c in columns:
+        out[1:] |= c[1:] != c[:-1]
+    return out
+
+
 def _doc_bucket(key: np.ndarray, buckets: int) -> np.ndarray:
     return blobs.bucket_of(tn.mix(key.view(tn.U) + tn.U(77)), buckets)
 
@@ -470,6 +481,7 @@ def _sort_bucket(doc_buckets: int, slab: int):
             size = windows.astype(np.int64) + LENGTH - 1
             begin = np.cumsum(size) - size
             order = np.lexsort((start, sub, key, anchor))
+            order = order[_fresh([c[order] for c in (anchor, key, sub, start)])]
             anchor, key, sub, start, windows, size, begin = (c[order] for c in (anchor, key, sub, start, windows, size, begin))
             heads = tn.runs(anchor)
             ends = np.cumsum(size + 1)

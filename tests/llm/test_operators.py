@@ -147,7 +147,8 @@ def test_packing(docs):
 def test_quality(docs, spark):
     df, _ = docs
     rng = random.Random(8)
-    good = [" ".join(rng.choice(["the", "river", "was", "calm", "and", "people", "walked", "home"]) for _ in range(60)).capitalize() + ". The end came soon." * 4 for _ in range(60)]
+    plain = "the river was calm and people walked home along old roads while birds sang over green fields near small towns where many friends met each evening to talk about work weather music books or plans for spring".split()
+    good = [" ".join(rng.choice(plain) for _ in range(60)).capitalize() + ". The end came soon." * 4 for _ in range(60)]
     bad = ["BUY!! NOW!! CHEAP!! " * 20, "word### other*** thing$$$ " * 20, "same same same same " * 30]
     more = spark.createDataFrame([(k, t) for k, t in enumerate(good + bad * 5)], "doc_id long, text string")
     rows = quality.classify(more).collect()
