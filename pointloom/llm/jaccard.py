@@ -50,7 +50,7 @@ PENALTY = 20.0
 #: Spare segments of bands of larger sets, as shares of the largest difference.
 SPARE = (0.6,)
 #: Sets of more tokens have no segments of allocation 2: those cannot be skipped.
-SMALL = 30
+SMALL = 12
 #: A signature of more sets is frequent.
 FREQUENT = 6
 #: Signatures that a bucket holds, about.
@@ -139,7 +139,7 @@ def token_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def _bits(n: np.ndarray) -> np.ndarray:
     """Of sets of ``n`` tokens, the histograms have two to the power of this many cells."""
-    return np.maximum(np.frexp(n.astype(float))[1] - 2, 2)
+    return np.maximum(np.frexp(n.astype(float))[1], 2)
 
 
 def _histograms(tokens: np.ndarray, row: np.ndarray, n: np.ndarray) -> list[bytes]:
@@ -450,15 +450,26 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
 
 
 def _unsettled(members: DataFrame, classes: DataFrame, groups: DataFrame) -> DataFrame:
-    """Pairs of sets (by fingerprint) of one frequent signature that are in different components."""
-    named = classes.select(F.col("print_a").alias("a"), "doc_id").join(groups, "doc_id", "left").groupBy("a").agg(F.min(F.coalesce("component_id", "doc_id")).alias("c"))
-    kept = members.select("a", F.col("b").alias("n"), "sign", "scheme").join(named, "a")
-    mixed = kept.groupBy("scheme", "sign").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("scheme", "sign")
-    rows = kept.join(mixed, ["scheme", "sign"])
-    x = rows.select("scheme", "sign", "a", F.col("n").alias("na"), F.col("c").alias("ka"))
-    y = rows.select("scheme", "sign", F.col("a").alias("b"), F.col("n").alias("nb"), F.col("c").alias("kb"))
-    pair = x.join(y, ["scheme", "sign"]).where((F.col("a") < F.col("b")) & (F.col("ka") != F.col("kb")) & (NUMERATOR * F.greatest("na", "nb") <= DENOMINATOR * F.least("na", "nb")))
-    return pair.select("a", "b").distinct()
+    """Pairs of sets (by fingerprint) that may link components meeting in a frequent signature.
+
+    Where a set meets a larger component in a signature, it is paired with that
+    whole component, once, however many signatures they share: these pairs
+    include all that share a signature, and a large group's own sets pair with
+    no one.
+    """
+    named = classes.select(F.col("print_a").alias("a"), "doc_id", "n").join(groups, "doc_id", "left").groupBy("a").agg(F.min(F.coalesce("component_id", "doc_id")).alias("c"), F.min("n").alias("low"), F.max("n").alias("high"))
+    sizes = named.groupBy("c").agg(F.count("*").alias("size"))
+    named = cut(named.join(sizes, "c"))
+    kept = members.select("a", "scheme", "sign").join(named.select("a", "c", "size"), "a")
+    met = kept.groupBy("scheme", "sign", "c").agg(F.first("size").alias("size"))
+    mixed = met.groupBy("scheme", "sign").agg(F.count("*").alias("k")).where("k > 1").drop("k")
+    met = met.join(mixed, ["scheme", "sign"]).select("scheme", "sign", F.col("c").alias("other"), F.col("size").alias("other_size"))
+    larger = (F.col("other_size") > F.col("size")) | ((F.col("other_size") == F.col("size")) & (F.col("other") < F.col("c")))
+    faced = kept.join(met, ["scheme", "sign"]).where((F.col("c") != F.col("other")) & larger).select("a", "other").distinct()
+    x = faced.join(named.select("a", F.col("low").alias("low_a"), F.col("high").alias("high_a")), "a")
+    y = named.select(F.col("a").alias("b"), F.col("c").alias("other"), "low", "high")
+    near = (NUMERATOR * F.col("low") <= DENOMINATOR * F.col("high_a")) & (NUMERATOR * F.col("low_a") <= DENOMINATOR * F.col("high"))
+    return x.join(y, "other").where(near).select("a", "b")
 
 
 def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
