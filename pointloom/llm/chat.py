@@ -4,7 +4,8 @@ Layouts are recognised by a fingerprint, the hash of the sorted nested field
 paths of a record; the fingerprint selects a declarative mapping to canonical
 turns ``array<struct<role, text>>``.  Records are JSON strings or variants of
 any layout (prompt and response, instruction and input, lists of messages), or
-rows by turn.  Everything is a SQL expression.
+rows by turn, which never pass through JSON: its parser refuses long strings.
+Everything is a SQL expression.
 
 Template: for each turn ``<|role|>ROLE\\nTEXT<|end|>\\n``.  In role and text a
 backslash becomes two and ``<`` becomes backslash + ``l``; so no ``<`` of an
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 OPEN, CLOSE = "<|role|>", "<|end|>\n"
 TURNS = "array<struct<role:string,text:string>>"
 PROBE = "\\### Assistant: </turn> ok"
+#: The JSON parser refuses strings of more characters; no shorter record makes a variant over its limit.
+LONG = 20_000_000
 
 
 @dataclass(frozen=True)
@@ -154,31 +157,46 @@ def format_records(df: DataFrame, record: str = "record", mappings: list[Mapping
     """Format JSON records (strings) of any mix of layouts.
 
     Adds ``fingerprint``, ``turns`` (null where no mapping has the fingerprint or
-    the JSON is malformed or null), ``formatted`` and ``loss_spans``.
+    the JSON is malformed or null), ``formatted`` and ``loss_spans``.  A record of
+    more than ``LONG`` characters that the parser refuses, for its size or as
+    malformed, is an error: it must not pass for an empty conversation.
     """
-    value = F.try_parse_json(F.col(record))
+    value = F.when(F.length(record) > LONG, F.parse_json(F.col(record))).otherwise(F.try_parse_json(F.col(record)))
     out = df.withColumn("_v", value).withColumn("fingerprint", fingerprint(field_paths(F.col("_v"))))
     out = out.withColumn("turns", turns_of(F.col("_v"), F.col("fingerprint"), mappings))
     return format_turns(out.drop("_v"), "turns", learn)
 
 
-def records_of_rows(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """One ``messages`` record (JSON) for each conversation of rows by turn.
+def turns_of_messages(messages: Column, fields: tuple[str, ...], mappings: list[Mapping] | None = None) -> tuple[Column, Column]:
+    """Fingerprint and canonical turns of an array of structs of string ``fields``, a record that has it as ``messages``."""
+    paths = tuple(sorted(f"messages[].{f}" for f in fields))
+    found = [m for m in (MAPPINGS if mappings is None else mappings) if m.items == "messages" and tuple(sorted(m.paths)) == paths]
+    turns = F.lit(None).cast(TURNS)
+    if found:
+        m = found[-1]
+        role = (lambda v: v["role"]) if m.role == "role" else (lambda v: canonical_role(v[m.role]))
+        turns = F.transform(messages, lambda v: F.struct(role(v).alias("role"), v[m.text].alias("text")))
+    return fingerprint(F.array(*map(F.lit, paths))), turns
+
+
+def format_rows(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", mappings: list[Mapping] | None = None, learn: str = "assistant") -> DataFrame:
+    """Format each conversation of rows by turn: ``conv_id`` and the columns of :func:`format_records`.
 
     Turns are ordered by turn, then role, then text (null first, as empty); so
     repeated rows and ties have one defined order.  Null conv_id is one more
     conversation.
     """
     item = F.struct(F.col(turn).alias("turn"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("content"))
-    messages = F.transform(F.array_sort(F.collect_list(item)), lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
-    return rows.groupBy(F.col(conv).alias("conv_id")).agg(F.to_json(F.struct(messages.alias("messages"))).alias("record"))
+    gathered = rows.groupBy(F.col(conv).alias("conv_id")).agg(F.array_sort(F.collect_list(item)).alias("_m"))
+    key, turns = turns_of_messages(F.col("_m"), ("role", "content"), mappings)
+    return format_turns(gathered.select("conv_id", key.alias("fingerprint"), turns.alias("turns")), "turns", learn)
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and conversation -7, with digests read back from the output."""
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     probe = spark.createDataFrame([(-7, 0, "user", PROBE), (-7, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string")
-    out = format_records(records_of_rows(rows.unionByName(probe)))
+    out = format_rows(rows.unionByName(probe))
     back = parse(F.col("formatted"))
     learnt = F.array_join(F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), s["start"] + 1, s["length"]))), "")
     return (

@@ -196,6 +196,21 @@ def test_chat_layouts(spark):
     assert got[5] == got[6] == got[7] == []
 
 
+def test_chat_long_texts(spark, tmp_path):
+    """Texts over the JSON parser's limit of 20 million characters come through whole, or fail."""
+    long = F.concat(F.lit("<"), F.repeat(F.lit("a\\"), 10_050_000), F.lit("b"))
+    rows = spark.sql("SELECT * FROM VALUES (1L, 0L, 'user', 'x'), (1L, 1L, 'assistant', null), (2L, 0L, 'human', 'y') t(conv_id, turn, role, text)")
+    rows = rows.withColumn("text", F.when((F.col("conv_id") == 1) & (F.col("turn") == 1), long).otherwise(F.col("text")))
+    rows.write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r["conv_id"]: r for r in chat.op6_chat_format(spark, str(tmp_path)).collect()}
+    text = "<" + "a\\" * 10_050_000 + "b"
+    assert (got[1]["n_turns"], got[1]["loss_chars"]) == (2, len(text)) and got[1]["loss_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+    assert got[2]["n_turns"] == 1 and got[2]["turns_sha256"] == hashlib.sha256(b"human\ny\n").hexdigest()
+    record = spark.range(1).select(F.concat(F.lit('{"prompt":"p","response":"'), F.repeat(F.lit("r"), 20_100_000), F.lit('"}')).alias("record"))
+    with pytest.raises(Exception, match="MALFORMED_RECORD|VARIANT_SIZE|parse"):
+        chat.format_records(record).select(F.length("formatted")).collect()
+
+
 def test_urls(spark):
     rows = ["https://A.Example.com/en/75?x#y", "http://b.com/en/1", "ftp://x.example.net/de/8", "no scheme", None, "https://free-casino-online.example.org/win/bonus", "http://example.org", "x://org/es/"]
     out = urls.filter_urls(spark.createDataFrame([(k, u) for k, u in enumerate(rows)], "page_id long, url string"), urls.train(spark))
