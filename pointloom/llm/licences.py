@@ -6,10 +6,15 @@ from the templates below with words dropped, swapped or added, and on texts of
 no licence; so there is a class ``unknown``, and probabilities are calibrated by
 a temperature fitted on held-out notices.  A prediction counts once the words
 of the family's best template are found in the paragraph.
+
+A notice inside a long paragraph, or wrapped over lines, is found by windows of
+about a notice's length, across single line ends.  Only windows with the share of
+a template's word pairs that a notice needs are classified; no other could count.
 """
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Iterator
 from functools import lru_cache
@@ -24,6 +29,8 @@ from pointloom.llm import textnum as tn
 CHUNK = 2 << 20
 #: Least calibrated probability, and least share of a template's words in order.
 SURE, ALIKE = 0.6, 0.7
+#: Words that a window may have besides a template's, and words around it that its class must agree with.
+SPARE, AROUND = 6, 2
 UNKNOWN = "unknown"
 #: Words: digits, a-z (after lower-casing A-Z), full stops inside numbers are separators.
 INSIDE = np.zeros(256, bool)
@@ -131,6 +138,11 @@ class Model:
         losses = {t: -np.log(_softmax(logits / t)[np.arange(len(hy)), hy] + 1e-12).mean() for t in (0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0)}
         self.temperature = min(losses, key=losses.get)
         self.templates = [[frozenset(pairs_of(hash_words(_words(t))).tolist()) for t in TEMPLATES[f]] for f in TEMPLATES]
+        #: (family, words, pairs) of each template, all pairs in order, and which templates have a pair.
+        self.notices = [(k, len(_words(t)), len(self.templates[k][j])) for k, f in enumerate(TEMPLATES) for j, t in enumerate(TEMPLATES[f])]
+        flat = [t for ts in self.templates for t in ts]
+        self.pairs = np.array(sorted(frozenset().union(*flat)), np.uint64)
+        self.has = np.array([[p in t for t in flat] for p in self.pairs.tolist()])
 
     def _vector(self, hashes: np.ndarray) -> np.ndarray:
         out = np.zeros(len(self.grams))
@@ -139,8 +151,8 @@ class Model:
             out[at[self.grams[at] == part]] = 1
         return out / np.sqrt(max(2 * len(hashes) - 1, 1))
 
-    def classes(self, hashes: np.ndarray, paragraph: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Most probable class of each of ``n`` paragraphs, and its calibrated probability."""
+    def chances(self, hashes: np.ndarray, paragraph: np.ndarray, n: int) -> np.ndarray:
+        """Calibrated probability of each class for each of ``n`` paragraphs."""
         logits = np.zeros((n, len(self.families)))
         seen = []
         near = paragraph[1:] == paragraph[:-1]
@@ -152,10 +164,58 @@ class Model:
         np.add.at(logits, found // len(self.grams), self.weights[found % len(self.grams)])
         size = np.bincount(paragraph, minlength=n)
         logits = logits / np.sqrt(np.maximum(2 * size - 1, 1))[:, None] + self.bias
-        p = _softmax(logits / self.temperature)
+        return _softmax(logits / self.temperature)
+
+    def classes(self, hashes: np.ndarray, paragraph: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Most probable class of each of ``n`` paragraphs, and its calibrated probability."""
+        p = self.chances(hashes, paragraph, n)
         best = p.argmax(1)
         return best, p[np.arange(n), best]
 
+    def windows(self, hashes: np.ndarray, block: np.ndarray, alike: float) -> list[tuple[int, int, int, float]]:
+        """(first word, end, family, share) of the windows within a block that have enough of a template's pairs."""
+        pairs = pairs_of(hashes)
+        at = np.minimum(np.searchsorted(self.pairs, pairs), len(self.pairs) - 1)
+        hit = np.flatnonzero((self.pairs[at] == pairs) & (block[1:] == block[:-1]))
+        has = self.has[at[hit]]
+        out = []
+        for t, (family, words, size) in enumerate(self.notices):
+            own = hit[has[:, t]]
+            need = max(1, math.ceil(alike * size - 1e-9))
+            if len(own) < need:
+                continue
+            span = words + SPARE
+            first, last = own[: len(own) - need + 1], own[need - 1 :]
+            for k in np.flatnonzero((last - first + 2 <= span) & (block[first] == block[last])).tolist():
+                end = int(np.searchsorted(own, own[k] + span - 2, "right"))
+                inner = own[k:end]
+                inner = inner[block[inner] == block[own[k]]]
+                share = len(np.unique(at[inner])) / size
+                if share >= alike:
+                    out.append((int(own[k]), int(inner[-1]) + 2, family, share))
+        return out
+
+    def notices_in(self, hashes: np.ndarray, block: np.ndarray, sure: float, alike: float) -> list[tuple[int, int, int, float, float]]:
+        """(first word, end, family, probability, share) of all windows that count, the best first.
+
+        A window and the words around it must speak for the same family; the more
+        probable of the two gives the probability.
+        """
+        found = self.windows(hashes, block, alike)
+        if not found:
+            return []
+        begin, end, family = (np.array(c) for c in list(zip(*found, strict=True))[:3])
+        wide = np.searchsorted(block, block[begin]), np.searchsorted(block, block[begin], "right")
+        chances = []
+        for a, b in ((begin, end), (np.maximum(begin - AROUND, wide[0]), np.minimum(end + AROUND, wide[1]))):
+            own = np.repeat(np.arange(len(a)), b - a)
+            places = np.arange(len(own)) + np.repeat(a - (np.cumsum(b - a) - (b - a)), b - a)
+            chances.append(self.chances(hashes[places], own, len(a)))
+        agree = np.all([c[:, : len(TEMPLATES)].argmax(1) == family for c in chances], axis=0)
+        p = np.max([c[np.arange(len(family)), family] for c in chances], axis=0)
+        rows = [(*found[k][:3], float(p[k]), found[k][3]) for k in np.flatnonzero(agree & (p >= sure)).tolist()]
+        return sorted(rows, key=lambda r: (-r[4], -r[3], r[0], r[1]))
+
     def confirm(self, family: int, hashes: np.ndarray) -> float:
         """Largest share of a template's word pairs that the paragraph has."""
         own = set(pairs_of(hashes).tolist())
@@ -178,7 +238,9 @@ FOUND = "n_paragraphs long, licences array<struct<paragraph:int,family:string,pr
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", sure: float = SURE, alike: float = ALIKE) -> DataFrame:
     """``n_paragraphs`` (lines with words) and the licence paragraphs of every document.
 
-    Paragraphs are numbered from 0 by line.  Null and empty texts have none.
+    Paragraphs are numbered from 0 by line; a wrapped notice has the number of its
+    first line.  A paragraph has one entry for each of its families.  Null and empty
+    texts have none.
     """
     trained = model()
     sent = docs.sparkSession.sparkContext.broadcast(trained)  # some thousand n-grams
@@ -207,10 +269,33 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", sure: float =
             if len(hashes):
                 best, p = m.classes(hashes, line, lines)
                 head = np.searchsorted(row, np.arange(batch.num_rows))
+                # blocks: lines of a row that follow one another, all with words
+                block = np.cumsum(np.concatenate(([0], (np.diff(line) > 1) | (np.diff(row[line]) > 0))))
+                found: dict[tuple[int, int], tuple[float, float]] = {}
                 for k in np.flatnonzero(filled & (best != unknown) & (p >= sure)).tolist():
                     share = m.confirm(int(best[k]), hashes[first[k] : first[k + 1]])
                     if share >= alike:
-                        out[row[k]].append({"paragraph": int(k - head[row[k]]), "family": m.families[best[k]], "probability": round(float(p[k]), 6), "alike": round(share, 6)})
+                        found[k, int(best[k])] = float(p[k]), share
+                taken = np.zeros(len(hashes), bool)
+                windows = m.notices_in(hashes, block, sure, alike)
+                whole = {k for k, _ in found}
+                left = []
+                for window in windows:
+                    a, b, family = window[:3]
+                    lines_of = [k for k in range(int(line[a]), int(line[b - 1]) + 1) if (k, family) in found]
+                    if lines_of:  # the notice of a line that was found
+                        taken[a:b] = True
+                        whole.difference_update(lines_of)
+                    else:
+                        left.append(window)
+                for k in whole:
+                    taken[first[k] : first[k + 1]] = True
+                for a, b, family, chance, share in left:
+                    if not taken[a:b].any():
+                        taken[a:b] = True
+                        found.setdefault((int(line[a]), family), (chance, share))
+                for (k, family), (chance, share) in sorted(found.items()):
+                    out[row[k]].append({"paragraph": int(k - head[row[k]]), "family": m.families[family], "probability": round(chance, 6), "alike": round(share, 6)})
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(n_paragraphs, pa.int64()), pa.array(out, struct)], names=["key", "n_paragraphs", "licences"])
 
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, {FOUND}").withColumnRenamed("key", key)

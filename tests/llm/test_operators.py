@@ -170,6 +170,32 @@ def test_licences(docs, spark):
     assert licences.scan(empty(docs[0])).count() == 0
 
 
+def test_licences_inside_long_and_wrapped_paragraphs(spark):
+    """Every template is found once, within hundreds of words and wrapped over two lines."""
+    rng = random.Random(3)
+    plain = [w for t in licences.PLAIN for w in t.split() if w.isalpha()] + "river walked home along old roads while birds sang over green fields near small towns".split()
+    prose = lambda n: " ".join(rng.choice(plain) for _ in range(n))
+    cases = [(f, t) for f, ts in licences.TEMPLATES.items() for t in ts]
+    rows, want = [], {}
+    for family, notice in cases:
+        words = notice.split()
+        for text, paragraph in (
+            (f"{prose(400)} {notice} {prose(300)}", 0),
+            (f"{prose(5)}\n{prose(250)} {notice}\n\n{prose(9)}", 1),
+            ("\n".join([prose(20), "", " ".join(words[: len(words) // 2]), " ".join(words[len(words) // 2 :]), "", prose(20)]), 2),
+        ):
+            # the second half of this one is a notice by itself
+            want[len(rows)] = (3 if paragraph == 2 and notice.startswith("Copyright 2020") else paragraph, family)
+            rows.append((len(rows), text))
+    rows += [(len(rows) + k, prose(500)) for k in range(20)]
+    rows.append((len(rows), "Licensed under\n\nthe ISC License"))
+    both = len(rows)
+    rows.append((both, f"{prose(200)} Licensed under the ISC License {prose(200)} All rights reserved. {prose(100)}"))
+    got = {r["doc_id"]: [(x["paragraph"], x["family"]) for x in r["licences"]] for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k: got[k] for k in want} == {k: [v] for k, v in want.items()}
+    assert all(not got[k] for k in range(len(want), both)) and sorted(got[both]) == [(0, "all-rights-reserved"), (0, "isc")]
+
+
 def test_media(docs):
     df, texts = docs
     for r in media.media_columns(df, arrays=True).collect():
