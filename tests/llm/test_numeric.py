@@ -90,6 +90,17 @@ def test_ranks_and_vocabulary_agree():
         assert packing.token_bytes(t) == packing.token_bytes(t, packing.VOCABULARY, None)
 
 
+def test_added_tokens_have_their_ids():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
+    for t in ["a <|endoftext|> b", "<|endoftext|><|endoftext|>x", "it's<|endoftext|>'s  \n<|endoftext|>   é", "<<|endoftext|", "<|endoftext|>"]:
+        ids = plain.encode(t, add_special_tokens=False).ids
+        assert packing.token_bytes(t) == packing.token_bytes(t, packing.VOCABULARY, None) == np.array(ids, "<u4").tobytes()
+        assert ids.count(50256) == t.count("<|endoftext|>")
+
+
 def test_pieces():
     assert packing.pieces_of(5, 4) == [(0, 1), (1, 4)] and packing.pieces_of(8, 4) == [(0, 4), (4, 4)] and packing.pieces_of(1, 4) == [(0, 1)]
 
