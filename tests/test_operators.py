@@ -138,6 +138,25 @@ def test_isosurface_closes(spark):
     assert len(t) >= 8 and set(edges.values()) == {2}
 
 
+def test_surface_distance_is_exact(spark):
+    """Against dense samples of each triangle; points on sides and inside triangles have distance 0."""
+    grid = spark.createDataFrame([(1, 1, 1, 1.0), (2, 1, 1, 0.8)], "ix int, iy int, iz int, v double")
+    low, edge, most = Vec(-1, 2, 3), 5.0, 2.5
+    tri = np.array([list(r) for r in geometry.isosurface(grid, (4, 4, 4), 0.5).collect()]).reshape(-1, 3, 3)
+    tri = (tri + 0.5) * edge + np.array([low.x, low.y, low.z])
+    rng = np.random.default_rng(4)
+    on = np.concatenate([tri[:, [0, 1]].mean(1), tri[:, [1, 2]].mean(1), tri[:, [0, 2]].mean(1), (tri * np.array([0.2, 0.5, 0.3])[None, :, None]).sum(1)])
+    points = np.concatenate([on, rng.uniform(tri.min((0, 1)) - 3, tri.max((0, 1)) + 3, (300, 3))])
+    weights = np.array([(a, b, 60 - a - b) for a in range(61) for b in range(61 - a)]) / 60
+    samples = np.einsum("wk,tkc->twc", weights, tri).reshape(-1, 3)
+    near = np.array([np.sqrt(((samples - p) ** 2).sum(1).min()) for p in points])
+    df = table(spark, [(*p, 0) for p in points])
+    got = {r["point_id"]: abs(r["distance"]) for r in geometry.surface_distance(df, grid, (4, 4, 4), 0.5, low, edge, most).collect()}
+    assert all(got[k] < 1e-6 for k in range(len(on)))
+    assert all(k in got for k in range(len(points)) if near[k] < most)
+    assert all(near[k] - 0.15 < d < min(near[k] + 1e-9, most) for k, d in got.items())
+
+
 def test_statistics(spark):
     assert stats.chi_square_p(3.841458820694124, 1) == pytest.approx(0.05, abs=1e-9)
     assert sum(p for _, p in stats.binomial_curve(0.3, 20)) == pytest.approx(1)
