@@ -19,7 +19,7 @@ smaller document, or in the same one at an earlier byte).  Four steps:
    gathers without bound in one task.
 4. The removed runs meet the documents again and are cut out.
 
-Documents travel twice, by a bucket of their key, with the records of each
+Documents travel twice, by a bucket of their key and subkey, with the records of each
 bucket before them; no step holds more than a bucket's records and one batch.
 """
 
@@ -31,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -243,8 +243,9 @@ def _fresh(columns: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _doc_bucket(key: np.ndarray, buckets: int) -> np.ndarray:
-    return blobs.bucket_of(tn.mix(key.view(tn.U) + tn.U(77)), buckets)
+def _doc_bucket(key: np.ndarray, sub: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of a document; the texts of one key are spread over all."""
+    return blobs.bucket_of(tn.mix((key.view(tn.U) + tn.U(77)) ^ tn.mix(sub.view(tn.U))), buckets)
 
 
 def _rows(parts: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
@@ -255,17 +256,17 @@ def _local(columns, first, buckets: int, doc_buckets: int) -> pa.RecordBatch:
     """Records that are first in a chunk, by bucket; the others are gone, by bucket of documents."""
     anchor, content, key, sub, start, windows = columns
     keep = np.flatnonzero(first)
-    met = [anchor[keep], content[keep], key[keep], sub[keep].astype(np.int16), start[keep], windows[keep].astype(np.uint8)]
+    met = [anchor[keep], content[keep], key[keep], sub[keep], start[keep], windows[keep].astype(np.uint8)]
     out = [(MET, b, blob) for b, blob in blobs.dealt(blobs.bucket_of(tn.mix(met[0]), buckets), met)]
     out += _gone(*(c[~first] for c in (key, sub, start, windows)), doc_buckets)
     return _rows(out)
 
 
 def _gone(key, sub, start, windows, doc_buckets: int) -> list[tuple[int, int, bytes]]:
-    columns = [key, sub.astype(np.int16), start, start + windows + (LENGTH - 1)]
+    columns = [key, sub, start, start + windows + (LENGTH - 1)]
     order = np.lexsort((start, sub, key))
     columns = [c[order] for c in columns]
-    return [(GONE, b, blob) for b, blob in blobs.dealt(_doc_bucket(columns[0], doc_buckets), columns, (0, 2))]
+    return [(GONE, b, blob) for b, blob in blobs.dealt(_doc_bucket(columns[0], columns[1], doc_buckets), columns, (0, 2))]
 
 
 def _anchored(docs: DataFrame, buckets: int, doc_buckets: int) -> DataFrame:
@@ -314,7 +315,7 @@ def _settle(doc_buckets: int, crowd: int):
             rows = [anchor[own], key[own], sub[own], start[own], windows[own]]
             order = np.lexsort((rows[3], rows[2], rows[1]))
             rows = [r[order] for r in rows]
-            out += [(kind, b, blob) for b, blob in blobs.dealt(_doc_bucket(rows[1], doc_buckets), rows, (1,))]
+            out += [(kind, b, blob) for b, blob in blobs.dealt(_doc_bucket(rows[1], rows[2], doc_buckets), rows, (1,))]
         yield _rows(out)
 
     return work
@@ -333,19 +334,19 @@ def _with_records(docs: DataFrame, records: DataFrame, doc_buckets: int) -> Data
     """Documents after the records of their bucket, in partitions by bucket."""
     more = [f for f in docs.schema if f.name not in ("key", "sub", "text")]
     spread = docs.select(F.lit(9).alias("kind"), _sql_bucket(doc_buckets).alias("bucket"), F.lit(None).cast("binary").alias("blob"), "key", "sub", "text", *(f.name for f in more))
-    marked = records.select("kind", "bucket", "blob", F.lit(FIRST_KEY).alias("key"), F.lit(0).cast("short").alias("sub"), F.lit(None).cast("string").alias("text"), *(F.lit(None).cast(f.dataType).alias(f.name) for f in more))
+    marked = records.select("kind", "bucket", "blob", F.lit(FIRST_KEY).alias("key"), F.lit(0).cast("long").alias("sub"), F.lit(None).cast("string").alias("text"), *(F.lit(None).cast(f.dataType).alias(f.name) for f in more))
     return spread.unionByName(marked).repartition(min(doc_buckets, 1 << 16), "bucket").sortWithinPartitions("bucket", "kind")
 
 
 def _sql_bucket(doc_buckets: int):
-    """:func:`_doc_bucket` of the column ``key``, worked out by a small Arrow UDF."""
+    """:func:`_doc_bucket` of the columns ``key`` and ``sub``, worked out by a small Arrow UDF."""
     from pyspark.sql.functions import arrow_udf
 
     @arrow_udf("int")
-    def bucket(key: pa.Array) -> pa.Array:
-        return pa.array(_doc_bucket(key.to_numpy(), doc_buckets).astype(np.int32))
+    def bucket(key: pa.Array, sub: pa.Array) -> pa.Array:
+        return pa.array(_doc_bucket(key.to_numpy(), sub.to_numpy(), doc_buckets).astype(np.int32))
 
-    return bucket("key")
+    return bucket("key", "sub")
 
 
 def _streamed(work):
@@ -514,7 +515,7 @@ def _sort_bucket(doc_buckets: int, slab: int):
     return run
 
 
-RESULT = "key long, sub short, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+RESULT = "key long, sub long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
 def _removed(data: np.ndarray, offsets: np.ndarray, got) -> np.ndarray:
@@ -555,16 +556,12 @@ def keyed(docs: DataFrame, key: str, text: str, whole: bool = False) -> DataFram
     """``key`` (null: the least), ``sub`` and ``text``; with ``whole`` the other columns as ``rest``.
 
     Rows equal in key and text are one document and have one result; different
-    texts of one key are numbered by their hash in ``sub``.
+    texts of one key have their 64-bit hash as ``sub``, so a key may have any number.
     """
     base = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(FIRST_KEY)).alias("key"), F.col(text).alias("text"), *([F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text)).alias("rest")] if whole else []))
-    if not base.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
-        return base.withColumn("sub", F.lit(0).cast("short"))
-    hashed = base.withColumn("h", F.xxhash64("text"))
-    order = Window.partitionBy("key").orderBy("h")
-    subs = hashed.select("key", "h").distinct().withColumn("sub", (F.row_number().over(order) - 1).cast("short"))
+    repeated = base.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
     # a null text has the hash of no columns, which is not null
-    return hashed.join(subs, ["key", "h"]).drop("h")
+    return base.withColumn("sub", F.xxhash64("text") if repeated else F.lit(0).cast("long"))
 
 
 def _gone_records(docs: DataFrame, crowd: int, slab: int) -> tuple[DataFrame, int]:

@@ -117,6 +117,17 @@ def test_suffix_dedup_edges(docs, spark):
     assert kept.columns == df.columns and kept.count() == df.count()
 
 
+def test_suffixes_many_texts_of_one_key(spark):
+    """More different texts without a key than a short can number."""
+    rng = random.Random(6)
+    passage = " " + "".join(rng.choice("abcdefghij") for _ in range(118)) + " "
+    own = F.col("id").cast("string")
+    rows = spark.range(33_000).select(F.lit(None).cast("long").alias("doc_id"), F.when(F.col("id").isin(5, 32_999), F.concat(own, F.lit(passage), own)).otherwise(own).alias("text"))
+    got = [(r["doc_id"], r["n_removed"]) for r in suffixes.repeats(rows).collect()]
+    assert len(got) == 33_000 and all(d is None for d, _ in got) and sorted(n for _, n in got)[-2:] == [0, 120]
+    assert suffixes.without_repeats(rows).agg(F.count("*"), F.sum(F.length("text"))).first() == (33_000, sum(len(str(k)) for k in range(33_000)) + 1 + 5 + 120)
+
+
 def test_decontamination(docs, spark):
     df, texts = docs
     known = texts[max(texts)].split(" ")
