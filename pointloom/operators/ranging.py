@@ -112,22 +112,22 @@ def ranged(points: DataFrame, table: RangeTable) -> DataFrame:
 
 
 def _joined(points: DataFrame, table: RangeTable) -> DataFrame:
-    """The same by a binary search in sorted arrays of bounds, for long dictionaries.
+    """The same through a broadcast table of cells, for long dictionaries; every row comes out once.
 
-    Ranges may touch: of two that hold the value the first in the table wins.
+    A cell has the ranges that reach into it, in the order of the table.  Ranges
+    may touch: of two that hold the value the first in the table wins.
     """
-    order = sorted(range(len(table.ranges)), key=lambda k: table.ranges[k].low)
     spark = points.sparkSession
-    rows = [(float(table.ranges[k].low), float(table.ranges[k].high), k, table.ions[table.ranges[k].ion].short) for k in order]
-    dims = spark.createDataFrame(rows, "lo double, hi double, range_id int, ion string")
+    rows = [(float(r.low), float(r.high), k, table.ions[r.ion].short) for k, r in enumerate(table.ranges)]
+    dims = spark.createDataFrame(rows, "_lo double, _hi double, _range int, _ion string")
     width = max((r.high - r.low for r in table.ranges), default=1.0)
     cell = lambda c: F.floor(c / F.lit(width))
-    spread = dims.withColumn("_cell", F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi")))))
-    hits = points.withColumn("_cell", cell(F.col("value"))).join(F.broadcast(spread), ["_cell"], "left")
-    inside = F.col("value").between(F.col("lo"), F.col("hi"))
-    keys = points.columns
-    best = F.min(F.when(inside, F.struct("range_id", "ion")))
-    return hits.groupBy(*keys).agg(best.alias("_b"), F.count("*").alias("_n")).select(*keys, F.col("_b.range_id").alias("range_id"), F.col("_b.ion").alias("ion"))
+    spread = dims.withColumn("_cell", F.explode(F.sequence(cell(F.col("_lo")), cell(F.col("_hi")))))
+    cells = spread.groupBy("_cell").agg(F.array_sort(F.collect_list(F.struct("_range", "_lo", "_hi", "_ion"))).alias("_ranges"))
+    hits = points.withColumn("_cell", cell(F.col("value"))).join(F.broadcast(cells), ["_cell"], "left")
+    best = F.get(F.filter("_ranges", lambda r: F.col("value").between(r["_lo"], r["_hi"])), F.lit(0))
+    found = hits.withColumn("_best", best)
+    return found.withColumn("range_id", F.col("_best._range")).withColumn("ion", F.col("_best._ion")).drop("_cell", "_ranges", "_best")
 
 
 def keep_ranged(points: DataFrame, table: RangeTable, drop_unranged: bool = True) -> DataFrame:

@@ -35,6 +35,21 @@ def test_ranges_split_values(spark):
     assert {r["ion"]: r["count"] for r in ranging._joined(df, RANGES).groupBy("ion").count().collect()} == {"A": 10, "B": 14, None: 76}
 
 
+def test_long_dictionaries_keep_repeated_rows(spark):
+    """Over ``CASES`` ranges, touching ones among them: as many rows as came, and the ranges of the expression."""
+    n = ranging.CASES + 40
+    ions = (ranging.Ion("A", "Alpha"), ranging.Ion("B", "Beta"))
+    long = ranging.RangeTable(ions, tuple(ranging.Range(k, k + (1 if k % 3 else 0.5), k % 2) for k in range(n))).checked()
+    values = [0.25, 0.25, 0.25, 0.75, 2.0, 2.0, 3.0, 239.0, 240.5, -1.0, -1.0, None, None, float("nan"), float("nan")] + [k / 4 for k in range(-8, 4 * n + 8)]
+    df = spark.createDataFrame([(1.0, 2.0, 3.0, v) for v in values], "x double, y double, z double, value double")
+    got = ranging.ranged(df, long)
+    index = ranging.range_column(long)
+    want = df.select("*", index.alias("range_id")).withColumn("ion", F.when(F.col("range_id") % 2 == 0, "A").when(F.col("range_id") % 2 == 1, "B"))
+    assert got.columns == want.columns and got.count() == len(values)
+    assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0
+    assert sum(r["n"] for r in ranging.composition(df, long).collect()) == len(values)
+
+
 def test_range_table_edits():
     t = RANGES.add_ion("C", "Gamma").add_range(40, 50, 2)
     assert t.find_ion("C") == 2 and t.erase_ion(0).ranges[0].ion == 0
