@@ -6,8 +6,8 @@ hashed into segments whose allocations sum to more than the largest difference
 ``H`` possible there.  By the pigeonhole principle a pair then agrees in a
 segment of allocation 1 (equal), or differs by at most one token in a segment
 of allocation 2 (found among the one-deletion neighbourhoods).  A cost model
-per band picks how many segments have allocation 2 (worth it for small sets
-only), and how many spare segments there are.
+per band picks how many segments have allocation 2 for sets of at most ``SMALL``
+tokens; above, none has, and the spare segments are a fixed share (``SPARE``).
 
 Spare segments allow skipping: with ``s`` spare ones a pair agrees in more than
 ``s``, so each set may leave out the last ``s`` of its unselective segments
