@@ -422,12 +422,12 @@ def _cut_out(buckets: int, doc_buckets: int):
             begin, size = (offsets[:-1][row] + start)[order], windows[order].astype(np.int64) + LENGTH - 1
             cuts = tn.runs(which)
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                text = data[_ranges(begin[a:b], size[a:b])].tobytes()
+                text = data[tn.ranges(begin[a:b], size[a:b])].tobytes()
                 out.append((SORT, int(which[a]), blobs.dump([c[a:b] for c in columns], ()), zstandard.ZstdCompressor(level=1).compress(text)))
         if (got := _own(loaded, SPLIT, batch)) is not None:
             (_, key, sub, start, windows), row = got
             count = windows.astype(np.int64)
-            at = _ranges(start, count)
+            at = tn.ranges(start, count)
             row, key, sub = (np.repeat(c, count) for c in (row, key, sub))
             sums = tn.Sums(data)
             begin = offsets[:-1][row] + at
@@ -442,13 +442,6 @@ def _cut_out(buckets: int, doc_buckets: int):
     return work
 
 
-def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """``start, start+1, ...`` of each range, one after the other."""
-    size = size.astype(np.int64)
-    total = np.cumsum(size)
-    return np.arange(total[-1] if len(total) else 0) + np.repeat(start - (total - size), size)
-
-
 def repeated_windows(text: np.ndarray, begin: np.ndarray, windows: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """Starts (places of ``text``) of windows that equal one of smaller rank.
 
@@ -458,7 +451,7 @@ def repeated_windows(text: np.ndarray, begin: np.ndarray, windows: np.ndarray, r
     words = words_at(text)
     order = two_stage(text, LENGTH, words)
     valid = np.zeros(len(text), bool)
-    valid[_ranges(begin, windows)] = True
+    valid[tn.ranges(begin, windows)] = True
     order = order[valid[order]]
     if not len(order):
         return order
@@ -493,7 +486,7 @@ def _sort_bucket(doc_buckets: int, slab: int):
                 own = slice(heads[a], heads[b])
                 text = np.full(int(size[own].sum()) + (heads[b] - heads[a]), 255, np.uint8)
                 place = np.cumsum(size[own] + 1) - (size[own] + 1)
-                text[_ranges(place, size[own])] = raw[_ranges(begin[own], size[own])]
+                text[tn.ranges(place, size[own])] = raw[tn.ranges(begin[own], size[own])]
                 # contexts are in the order of key and start within an anchor; windows of two anchors never agree
                 found = repeated_windows(text, place, windows[own].astype(np.int64), np.arange(heads[b] - heads[a]))
                 if len(found):

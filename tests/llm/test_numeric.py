@@ -178,3 +178,54 @@ def test_votes_separate_classes():
     share, _ = quality.fit_votes(counts)
     assert share == pytest.approx(0.8, abs=0.1)
     assert quality.fit_votes({})[0] == 0.8
+
+
+def parity_words(n=1024):
+    """Two words that sums modulo a power of two cannot tell apart."""
+    bits = [bin(k).count("1") % 2 for k in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_long_words_have_their_own_hash():
+    x, y = parity_words()
+    data = np.frombuffer((x + y + x).encode(), np.uint8)
+    h = textnum.Sums(data).spans(np.array([0, 1024, 2048]), np.array([1024, 2048, 3072]))
+    assert h[0] != h[1] and h[0] == h[2]
+
+
+def test_shared_words_are_compared(monkeypatch):
+    texts = ["a b c d e f g", "a b  c d e f h", "q r s t u v w", ""]
+    sets = jaccard.Sets(*packed(texts))
+    assert sets.shared(np.array([0, 0, 0, 3]), np.array([1, 2, 0, 3])).tolist() == [2, 0, 3, 0]
+    monkeypatch.setattr(textnum, "mix", lambda x: np.zeros_like(x))  # all hashes collide
+    sets = jaccard.Sets(*packed(["a b c d e", "v w x y z", "a b c d e"]))
+    assert sets.shared(np.array([0, 0]), np.array([1, 2])).tolist() == [0, 1]
+
+
+@pytest.mark.parametrize("light,tile", [(16, 2048), (1, 3), (40, 5)])
+def test_links_of_a_block(monkeypatch, light, tile):
+    monkeypatch.setattr(jaccard, "LIGHT", light)
+    monkeypatch.setattr(jaccard, "TILE", tile)
+    rng = random.Random(7)
+    base = [f"w{k}" for k in range(60)]
+    texts = []
+    for _ in range(40):
+        t = list(base)
+        for _ in range(rng.randint(0, 3)):
+            t[rng.randrange(60)] = f"x{rng.randrange(99)}"
+        texts.append(" ".join(t))
+    sets = jaccard.Sets(*packed(texts))
+    words = [{tuple(t.split()[k : k + 5]) for k in range(56)} for t in texts]
+    for a, within in ((40, True), (15, False), (15, True)):
+        c = np.arange(40) if within else np.arange(40) // 2
+        got = jaccard.linked_rows(sets, slice(0, 40), a, within, c)
+
+        def groups(links, c=c):
+            name = dict(zip(range(40), c.tolist(), strict=True))
+            for i, j in links:
+                old, new = max(name[i], name[j]), min(name[i], name[j])
+                name = {k: new if v == old else v for k, v in name.items()}
+            return name
+
+        want = [(i, j) for i in range(a) for j in range(40) if i != j and (j >= a or within) and 100 * len(words[i] & words[j]) >= 75 * len(words[i] | words[j])]
+        assert groups(got) == groups(want) and set(got) <= set(want) and len(got) < 40

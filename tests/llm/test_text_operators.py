@@ -281,3 +281,37 @@ def test_pipeline(docs, spark, tmp_path):
             left = {r["doc_id"]: r["text"] for r in rows}
             at = spark.createDataFrame(rows, df.schema)
     assert {r["doc_id"] for r in rows} == set(left)
+
+
+def _near_group(count, words, changes, seed):
+    """Texts that differ from one text in a few words, about as far from one another as links reach."""
+    rng = random.Random(seed)
+    base = [f"w{k}" for k in range(words)]
+    out = {}
+    for d in range(count):
+        t = list(base)
+        for _ in range(rng.randint(*changes)):
+            t[rng.randrange(words)] = f"x{rng.randrange(10**6)}"
+        out[3 * d + 1] = " ".join(t)
+    return out
+
+
+@pytest.mark.parametrize("held,least", [(200_000, 100), (6_000, 100)])
+def test_jaccard_of_a_large_group_at_the_threshold(spark, monkeypatch, held, least):
+    monkeypatch.setattr(jaccard, "HELD", held)
+    monkeypatch.setattr(jaccard, "LEAST", least)
+    texts = _near_group(400, 80, (2, 5), 11) | {5000 + d: t for d, t in _near_group(300, 150, (4, 6), 12).items()}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(7)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.similar_groups(df).collect()}
+    want = _components(texts)
+    assert got == want and 20 < len({c for _, c in want.values()}) < 690
+
+
+def test_jaccard_compares_bytes_and_keys(spark):
+    bits = [bin(k).count("1") % 2 for k in range(1024)]
+    x, y = ("".join(s[b] for b in bits) for s in ("ab", "ba"))
+    long = " ".join(f"v{k}" for k in range(30_000))
+    rows = [(1, x), (2, y), (3, x), (4, long), (5, long + " end"), (6, "a b c d e f"), (6, "q r s t u v"), (7, "q r s t u v"), (8, "A b c d e f"), (None, "a b c d e f"), (None, None)]
+    df = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, component_id string")
+    got = sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in jaccard.similar_groups(df).collect())
+    assert got == [(0, 0), (0, 0), (1, 1), (2, 2), (3, 1), (4, 4), (5, 4), (6, 6), (6, 6), (7, 6), (8, 6)]
