@@ -5,45 +5,55 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointloom.operators.spatial import knn_join, radius_join
+from pointloom.operators import blocks
+from pointloom.operators.spatial import _pair_schema, knn_join, neighbour_counts
 from pointloom.scratch import cut
 
 
-def components(nodes: DataFrame, edges: DataFrame, most: int = 60) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(point_id, cluster_id): smallest key reachable over the edges (a, b); lone nodes are clusters.
 
-    Every round takes the least label among the neighbours and follows labels
-    once, so chains shorten by halves; rounds are written to the shared folder.
+    Edges are contracted to stars by turns: every node's larger neighbours go to
+    its least one, then its smaller ones do.  Rounds are tables in the shared
+    folder; their number grows with the logarithm of the longest path.
     """
-    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(nodes.select("point_id", F.col("point_id").alias("cluster_id")))
-    for _ in range(most):
-        near = both.join(labels.select(F.col("point_id").alias("b"), F.col("cluster_id").alias("c")), "b").groupBy(F.col("a").alias("point_id")).agg(F.min("c").alias("c"))
-        least = labels.join(near, "point_id", "left").select("point_id", F.least("cluster_id", F.coalesce("c", "cluster_id")).alias("m"), F.col("cluster_id").alias("old"))
-        follow = labels.select(F.col("point_id").alias("m"), F.col("cluster_id").alias("next"))
-        moved = cut(least.join(follow, "m", "left").select("point_id", F.least("m", F.coalesce("next", "m")).alias("cluster_id"), (F.least("m", F.coalesce("next", "m")) != F.col("old")).alias("changed")))
-        labels = moved.select("point_id", "cluster_id")
-        if not moved.where("changed").limit(1).count():
-            return labels
-    raise RuntimeError("clusters did not settle")
+    links = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    state = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    before = state(links)
+    while before[0]:
+        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        upper = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = upper.groupBy("u").agg(F.min("v").alias("m"))
+        lower = upper.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        links = cut(lower.where("u <> v").distinct())
+        after = state(links)
+        if after == before:
+            break
+        before = after
+    names = links.select(F.col("u").alias("point_id"), F.col("v").alias("cluster_id"))
+    return nodes.select("point_id").distinct().join(names, "point_id", "left").select("point_id", F.coalesce("cluster_id", "point_id").alias("cluster_id"))
 
 
 def core_points(points: DataFrame, k: int, distance: float) -> DataFrame:
     """Points whose ``k``-th neighbour among them is nearer than ``distance``."""
-    near = radius_join(points, points, distance).groupBy(F.col("s_point_id").alias("point_id")).agg(F.count("*").alias("_n")).where(F.col("_n") >= k)
-    return points.join(near, "point_id", "left_semi")
+    near = neighbour_counts(points, points, distance).where(F.col("n") >= k)
+    return points.join(near.select("point_id"), "point_id", "left_semi")
 
 
 def link(core: DataFrame, distance: float) -> DataFrame:
-    """(point_id, cluster_id) of core points linked when nearer than ``distance``."""
-    edges = radius_join(core, core, distance).where("s_point_id < t_point_id").select(F.col("s_point_id").alias("a"), F.col("t_point_id").alias("b"))
-    return components(core, edges)
+    """(point_id, cluster_id) of core points linked when nearer than ``distance``.
+
+    Of each block of near points only the links that join them leave it.
+    """
+    return components(core, blocks.meet(core, core, distance, blocks.linked, blocks.LINKED))
 
 
 def envelope(clusters: DataFrame, core: DataFrame, bulk: DataFrame, distance: float) -> DataFrame:
     """Bulk points within ``distance`` of a core point, with the smallest such cluster."""
     marked = core.join(clusters, "point_id")
-    pairs = radius_join(bulk, marked, distance, keep_self=True, target_columns=("cluster_id",))
+    schema = _pair_schema(bulk, marked, False, (), ("cluster_id",))
+    pairs = blocks.meet(bulk, marked, distance, blocks.listed(schema), schema, False, True, (), ("cluster_id",))
     return pairs.groupBy(F.col("s_point_id").alias("point_id")).agg(F.min("t_cluster_id").alias("cluster_id"))
 
 
@@ -51,8 +61,7 @@ def erode(enveloped: DataFrame, bulk: DataFrame, distance: float) -> DataFrame:
     """Enveloped points without a free bulk point nearer than ``distance`` (one pass)."""
     inside = bulk.join(enveloped, "point_id")
     free = bulk.join(enveloped, "point_id", "left_anti")
-    hit = radius_join(inside, free, distance).select(F.col("s_point_id").alias("point_id"))
-    return enveloped.join(hit, "point_id", "left_anti")
+    return enveloped.join(neighbour_counts(inside, free, distance).select("point_id"), "point_id", "left_anti")
 
 
 def crop_sizes(clusters: DataFrame, low: int = 0, high: int | None = None) -> DataFrame:

@@ -10,7 +10,7 @@ import itertools
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pointloom.points import Vec, bounds
@@ -184,28 +184,28 @@ def isosurface(grid: DataFrame, shape: tuple[int, int, int], level: float) -> Da
     return corners_of_cells(grid, shape).mapInPandas(run, ", ".join(f"{n} double" for n in names))
 
 
-def triangle_distance2(pairs: DataFrame, prefix: str = "s_") -> DataFrame:
-    """Add ``d2``, the squared distance of the point ``prefix + x..z`` to the triangle ``t_a*``, edges ``t_u*`` and ``t_v*``.
+def triangle_distance2(p: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Squared distances of points to triangles with a corner at the origin and edges ``u`` and ``v`` (rows of three).
 
     The least of the distances to the three sides and, where the foot of the
     perpendicular lies within, to the plane; triangles may be degenerate.
     """
-    dot = lambda a, b: sum((F.col(f"{a}{c}") * F.col(f"{b}{c}") for c in "yz"), F.col(f"{a}x") * F.col(f"{b}x"))
-    clamped = lambda n, d: F.when(d > 0, F.least(F.greatest(n / F.nullif(d, F.lit(0.0)), F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
-    uu, vv, uv, pu, pv = (F.col(c) for c in ("_uu", "_vv", "_uv", "_pu", "_pv"))
-    out = pairs.select("*", *((F.col(f"{prefix}{c}") - F.col(f"t_a{c}")).alias(f"_p{c}") for c in "xyz"))
-    out = out.select("*", dot("t_u", "t_u").alias("_uu"), dot("t_v", "t_v").alias("_vv"), dot("t_u", "t_v").alias("_uv"), dot("_p", "t_u").alias("_pu"), dot("_p", "t_v").alias("_pv"))
-    out = out.select("*", clamped(pu, uu).alias("_m"), clamped(pv, vv).alias("_n"), clamped(pv - pu + uu - uv, uu - 2 * uv + vv).alias("_k"), F.nullif(uu * vv - uv * uv, F.lit(0.0)).alias("_det"))
-    out = out.select("*", ((vv * pu - uv * pv) / F.col("_det")).alias("_f"), ((uu * pv - uv * pu) / F.col("_det")).alias("_g"))
+    dot = lambda a, b: (a * b).sum(1)
+    uu, vv, uv, pu, pv = dot(u, u), dot(v, v), dot(u, v), dot(p, u), dot(p, v)
+    safe = lambda d: np.where(d == 0, 1.0, d)
+    clamped = lambda n, d: np.where(d > 0, np.clip(n / safe(d), 0.0, 1.0), 0.0)
 
-    def to(m: Column, n: Column) -> Column:
-        rest = [F.col(f"_p{c}") - m * F.col(f"t_u{c}") - n * F.col(f"t_v{c}") for c in "xyz"]
-        return rest[0] * rest[0] + rest[1] * rest[1] + rest[2] * rest[2]
+    def to(m: np.ndarray, n: np.ndarray) -> np.ndarray:
+        rest = p - m[:, None] * u - n[:, None] * v
+        return dot(rest, rest)
 
-    f, g = F.col("_f"), F.col("_g")
-    zero, within = F.lit(0.0), (f >= 0) & (g >= 0) & (f + g <= 1)
-    sides = to(F.col("_m"), zero), to(zero, F.col("_n")), to(1 - F.col("_k"), F.col("_k"))
-    return out.select(*pairs.columns, F.least(*sides, F.when(within, to(f, g))).alias("d2"))
+    zero = np.zeros(len(p))
+    k = clamped(pv - pu + uu - uv, uu - 2 * uv + vv)
+    out = np.minimum(np.minimum(to(clamped(pu, uu), zero), to(zero, clamped(pv, vv))), to(1 - k, k))
+    det = uu * vv - uv * uv
+    f, g = (vv * pu - uv * pv) / safe(det), (uu * pv - uv * pu) / safe(det)
+    within = (det != 0) & (f >= 0) & (g >= 0) & (f + g <= 1)
+    return np.where(within, np.minimum(out, to(f, g)), out)
 
 
 def surface_distance(points: DataFrame, grid: DataFrame, shape: tuple[int, int, int], level: float, low: Vec, edge: float, most: float) -> DataFrame:
@@ -215,7 +215,7 @@ def surface_distance(points: DataFrame, grid: DataFrame, shape: tuple[int, int,
     are candidates; the distance to each is exact.  Grid values sit at cell
     centres.  Inside is decided by the cell's value.
     """
-    from pointloom.operators.spatial import radius_join
+    from pointloom.operators import blocks
 
     place = lambda p, c: (F.col(f"{p}{c}") + 0.5) * F.lit(float(edge)) + F.lit(float(getattr(low, c)))
     side = lambda p, c: (F.col(f"{p}{c}") - F.col(f"a{c}")) * F.lit(float(edge))
@@ -226,8 +226,13 @@ def surface_distance(points: DataFrame, grid: DataFrame, shape: tuple[int, int,
     reach = lambda m, n: sum(((F.col(f"u{c}") * (m - 1 / 3) + F.col(f"v{c}") * (n - 1 / 3)) ** 2 for c in "xyz"), F.lit(0.0))
     widest = surface.agg(F.max(F.sqrt(F.greatest(reach(0, 0), reach(1, 0), reach(0, 1)))).alias("r")).first()["r"] or 0.0
     corners = tuple(f"{p}{c}" for p in "auv" for c in "xyz")
-    pairs = radius_join(points, surface, (most + widest) * (1 + 1e-9), keep_self=True, target_columns=corners).drop("d2")
-    near = triangle_distance2(pairs).where(F.col("d2") < F.lit(float(most) * float(most))).groupBy(F.col("s_point_id").alias("point_id")).agg(F.sqrt(F.min("d2")).alias("_d"))
+
+    def measure(near: blocks.Near, rows: np.ndarray, triangles: np.ndarray) -> np.ndarray:
+        corner, u, v = (np.stack([near.batch.column(f"t_{p}{c}").to_numpy(zero_copy_only=False)[triangles] for c in "xyz"], 1) for p in "auv")
+        return triangle_distance2(np.stack([a[rows] for a in near.at], 1) - corner, u, v)
+
+    parts = blocks.meet(points, surface, (most + widest) * (1 + 1e-9), blocks.closest(measure), blocks.CLOSEST, False, True, (), corners)
+    near = parts.where(F.col("d2") < F.lit(float(most) * float(most))).groupBy("point_id").agg(F.sqrt(F.min("d2")).alias("_d"))
     cell = [F.floor((F.col(a) - F.lit(float(o))) / F.lit(float(edge))).cast("int").alias(c) for a, o, c in zip("xyz", low, ("ix", "iy", "iz"), strict=True)]
     return points.join(near, "point_id").select("*", *cell).join(grid, ["ix", "iy", "iz"], "left").withColumn("distance", F.when(F.coalesce("v", F.lit(0.0)) >= level, -F.col("_d")).otherwise(F.col("_d"))).drop("_d", "v", "ix", "iy", "iz")
 

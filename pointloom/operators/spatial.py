@@ -1,88 +1,100 @@
-"""Distance and nearest-neighbour joins on a grid.
+"""Distance and nearest-neighbour joins, and what is made of near pairs.
 
-A radius join puts both sides into cells of the radius' size, spreads the
-targets over their 27 neighbouring cells and joins on the cell: an equi-join
-that Spark can shuffle, broadcast or split when skewed.  It is complete, since
-points within the radius lie in neighbouring cells.  Nearest neighbours come
-from a radius join whose radius doubles for the sources that found too few.
+All go through :mod:`pointloom.operators.blocks`: counts, bins and nearest
+neighbours are made where the points of a cell meet, so pairs become rows only
+where pairs are the result.  Nearest neighbours come from a search whose radius
+doubles for the sources that found too few.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from pointloom.operators import blocks
 from pointloom.points import AXES, Vec, bounds
 from pointloom.scratch import cut
 
-CELLS = ("_cx", "_cy", "_cz")
 
+def _pair_schema(sources: DataFrame, targets: DataFrame, positions: bool, source_columns: tuple[str, ...], target_columns: tuple[str, ...]) -> T.StructType:
+    fields = [T.StructField(c, T.LongType()) for c in ("s_point_id", "t_point_id")]
+    if positions:
+        fields += [T.StructField(f"{p}{a}", T.DoubleType()) for p in ("s_", "t_") for a in AXES]
+    for p, df, names in (("s_", sources, source_columns), ("t_", targets, target_columns)):
+        fields += [T.StructField(f"{p}{c}", df.schema[c].dataType) for c in names]
+    return T.StructType([*fields, T.StructField("d2", T.DoubleType())])
 
-def _cell(prefix: str, size: float) -> list[Column]:
-    return [F.floor(F.col(f"{prefix}{a}") / F.lit(float(size))).alias(c) for a, c in zip(AXES, CELLS, strict=True)]
 
-
-def _named(points: DataFrame, prefix: str, extra: tuple[str, ...]) -> DataFrame:
-    return points.select(*(F.col(c).alias(f"{prefix}{c}") for c in ("point_id", *AXES, *extra)))
-
-
-def radius_join(sources: DataFrame, targets: DataFrame, radius: float, inclusive: bool = False, keep_self: bool = False, source_columns: tuple[str, ...] = (), target_columns: tuple[str, ...] = ()) -> DataFrame:
+def radius_join(sources: DataFrame, targets: DataFrame, radius: float, inclusive: bool = False, keep_self: bool = False, source_columns: tuple[str, ...] = (), target_columns: tuple[str, ...] = (), positions: bool = False) -> DataFrame:
     """Pairs ``s_point_id, t_point_id, d2`` with ``d2 < radius**2`` (``<=`` if inclusive).
 
-    A point is no neighbour of itself (same ``point_id``).
+    A point is no neighbour of itself (same ``point_id``).  Further columns, and
+    with ``positions`` the coordinates, have the prefixes ``s_`` and ``t_``.
     """
-    s, t = _named(sources, "s_", source_columns), _named(targets, "t_", target_columns)
-    steps = [F.array(*(F.col(c) + k for k in (-1, 0, 1))) for c in CELLS]
-    near = s.select("*", *_cell("s_", radius))
-    far = t.select("*", *_cell("t_", radius))
-    for c, step in zip(CELLS, steps, strict=True):
-        far = far.withColumn(c, F.explode(step))
-    d2 = sum(((F.col(f"s_{a}") - F.col(f"t_{a}")) * (F.col(f"s_{a}") - F.col(f"t_{a}")) for a in AXES[1:]), (F.col("s_x") - F.col("t_x")) * (F.col("s_x") - F.col("t_x")))
-    limit = F.lit(float(radius) * float(radius))
-    pairs = near.join(far, list(CELLS)).withColumn("d2", d2).where(F.col("d2") <= limit if inclusive else F.col("d2") < limit)
-    if not keep_self:
-        pairs = pairs.where("s_point_id <> t_point_id")
-    return pairs.drop(*CELLS)
+    schema = _pair_schema(sources, targets, positions, source_columns, target_columns)
+    return blocks.meet(sources, targets, radius, blocks.listed(schema), schema, inclusive, keep_self, source_columns, target_columns)
+
+
+def neighbour_counts(sources: DataFrame, targets: DataFrame, radius: float, inclusive: bool = False, keep_self: bool = False) -> DataFrame:
+    """``point_id`` and number ``n`` of targets within the radius, for sources that have any."""
+    parts = blocks.meet(sources, targets, radius, blocks.counted, blocks.COUNTED, inclusive, keep_self)
+    return parts.groupBy("point_id").agg(F.sum("n").alias("n"))
 
 
 def first_radius(targets: DataFrame, k: int) -> float:
-    """Radius that holds about ``k`` targets if they fill their bounds evenly."""
-    found, n = bounds(targets), targets.count()
+    """Radius that holds about ``k`` targets if they fill evenly those cells of a coarse grid that have any.
+
+    Flat targets count as a plane or a line; so few that ``k`` needs all of them give their diagonal.
+    """
+    found = bounds(targets)
     if found is None:
         return 1.0
-    volume = math.prod(max(b - a, 1e-9) for a, b in zip(*found, strict=True))
-    return max(1.5 * (k * volume / (max(n, 1) * 4 / 3 * math.pi)) ** (1 / 3), 1e-9)
+    sides = [b - a for a, b in zip(*found, strict=True)]
+    wide = [(a, low, side) for a, low, side in zip(AXES, found[0], sides, strict=True) if side > 1e-9 * max(sides)]
+    cells = [F.least(F.floor((F.col(a) - F.lit(float(low))) / F.lit(side / 32)), F.lit(31)) for a, low, side in wide] or [F.lit(0)]
+    seen = targets.agg(F.count("*").alias("n"), F.approx_count_distinct(F.struct(*cells)).alias("c")).first()
+    if seen["n"] <= k + 1 or not wide:
+        return math.dist(*found) * 1.001 or 1.0
+    filled = math.prod(side for *_, side in wide) * min(max(seen["c"], 1) / 32 ** len(wide), 1.0)
+    return max((8 * k * filled / (seen["n"] * 4.0)) ** (1 / len(wide)), 1e-6 * max(sides))
 
 
-def knn_join(sources: DataFrame, targets: DataFrame, k: int, radius: float | None = None, source_columns: tuple[str, ...] = (), target_columns: tuple[str, ...] = ()) -> DataFrame:
+def knn_join(sources: DataFrame, targets: DataFrame, k: int, radius: float | None = None, source_columns: tuple[str, ...] = (), target_columns: tuple[str, ...] = (), beyond: float | None = None) -> DataFrame:
     """The ``k`` nearest targets of each source (fewer if there are fewer): ``rank`` from 1, ties by key.
 
-    Rounds stop once the radius passes the diagonal of all bounds.
+    With ``beyond``, only targets farther than that count (a dead zone around
+    the source).  Rounds stop once the radius passes the diagonal of all bounds.
     """
-    r = radius or first_radius(targets, k)
+    schema = _pair_schema(sources, targets, False, source_columns, target_columns)
+    sources, targets = blocks.sound(sources), blocks.sound(targets)
     a, b = bounds(sources), bounds(targets)
     if a is None or b is None:
-        pairs = radius_join(sources, targets, 1.0, False, False, source_columns, target_columns)
-        return pairs.withColumn("rank", F.lit(1))
-    whole = math.dist([min(p, q) for p, q in zip(a[0], b[0], strict=True)], [max(p, q) for p, q in zip(a[1], b[1], strict=True)]) + 1e-9
+        return blocks.meet(sources, targets, 1.0, blocks.nearest(k, schema), schema, False, False, source_columns, target_columns).withColumn("rank", F.lit(1))
+    r = radius or max(first_radius(targets, k), beyond or 0.0)
+    whole = math.dist([min(p, q) for p, q in zip(a[0], b[0], strict=True)], [max(p, q) for p, q in zip(a[1], b[1], strict=True)]) * (1 + 1e-9) + 1e-9
     order = Window.partitionBy("s_point_id").orderBy("d2", "t_point_id")
-    left, done = sources, []
+    left, done, all_of = sources, [], sources.count()
     while True:
-        pairs = radius_join(left, targets, r, False, False, source_columns, target_columns)
-        best = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        parts = blocks.meet(left, targets, r, blocks.nearest(k, schema), schema, False, False, source_columns, target_columns, beyond, bool(done))
+        # blocks give k rows of a source each; only the k least of these count
+        best = parts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         if r > whole:
             done.append(best)
             break
+        best = cut(best)
         # the k-th lies within the radius, so nothing nearer was missed
-        full = Window.partitionBy("s_point_id")
-        best = cut(best.withColumn("_n", F.count("*").over(full)).where(F.col("_n") == k).drop("_n"))
-        done.append(best)
-        left = cut(left.join(best.where("rank = 1").select(F.col("s_point_id").alias("point_id")), "point_id", "left_anti"))
-        if not left.limit(1).count():
+        full = best.where(F.col("rank") == k).select(F.col("s_point_id").alias("point_id"))
+        done.append(best.join(full.withColumnRenamed("point_id", "s_point_id"), "s_point_id", "left_semi").select(*best.columns) if k > 1 else best)
+        left = cut(left.join(full, "point_id", "left_anti").select(*sources.columns))
+        rest = left.count()
+        if not rest:
             break
-        r *= 2
+        # few that are left lie where targets are rare, so a larger step finds few more
+        r *= 2 if 4 * rest > all_of else 4
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
@@ -92,7 +104,7 @@ def knn_join(sources: DataFrame, targets: DataFrame, k: int, radius: float | Non
 def local_density(points: DataFrame, radius: float | None = None, k: int | None = None) -> DataFrame:
     """Add ``density``: neighbours within ``radius`` over its volume, or ``k`` over the sphere of the k-th."""
     if radius is not None:
-        counts = radius_join(points, points, radius).groupBy(F.col("s_point_id").alias("point_id")).agg(F.count("*").alias("_n"))
+        counts = neighbour_counts(points, points, radius).withColumnRenamed("n", "_n")
         volume = 4 / 3 * math.pi * radius**3
         return points.join(counts, "point_id", "left").withColumn("density", F.coalesce("_n", F.lit(0)) / F.lit(volume)).drop("_n")
     far = knn_join(points, points, k).groupBy(F.col("s_point_id").alias("point_id")).agg(F.max("d2").alias("_d2"), F.count("*").alias("_n"))
@@ -108,16 +120,16 @@ def density_filter(points: DataFrame, cutoff: float, keep_upper: bool = True, ra
 
 def subtract(points: DataFrame, others: DataFrame, tolerance: float) -> DataFrame:
     """Points without any other point within the tolerance."""
-    hit = radius_join(points, others, tolerance, inclusive=True, keep_self=True).select(F.col("s_point_id").alias("point_id"))
-    return points.join(hit, "point_id", "left_anti")
+    return points.join(neighbour_counts(points, others, tolerance, True, True).select("point_id"), "point_id", "left_anti")
 
 
 def intersect(points: DataFrame, others: DataFrame, tolerance: float, replace_value: bool = False) -> DataFrame:
     """Points with another within the tolerance; with its value if asked for (the nearest, ties by key)."""
-    pairs = radius_join(points, others, tolerance, inclusive=True, keep_self=True, target_columns=("value",))
     if not replace_value:
-        return points.join(pairs.select(F.col("s_point_id").alias("point_id")), "point_id", "left_semi")
-    best = pairs.groupBy(F.col("s_point_id").alias("point_id")).agg(F.min(F.struct("d2", "t_point_id", "t_value")).alias("_b"))
+        return points.join(neighbour_counts(points, others, tolerance, True, True).select("point_id"), "point_id", "left_semi")
+    schema = _pair_schema(points, others, False, (), ("value",))
+    best = blocks.meet(points, others, tolerance, blocks.nearest(1, schema), schema, True, True, (), ("value",))
+    best = best.groupBy(F.col("s_point_id").alias("point_id")).agg(F.min(F.struct("d2", "t_point_id", "t_value")).alias("_b"))
     return points.join(best, "point_id").withColumn("value", F.col("_b.t_value")).drop("_b")
 
 
@@ -144,9 +156,9 @@ def radial_distribution(sources: DataFrame, targets: DataFrame, radius: float, n
     """Histogram of pair distances below ``radius``."""
     from pointloom.operators.bins import densify
 
-    pairs = radius_join(sources, targets, radius)
-    b = F.floor(F.sqrt("d2") / F.lit(float(radius)) * n).cast("int")
-    counts = pairs.select(b.alias("bin")).where(F.col("bin") < n).groupBy("bin").agg(F.count("*").alias("n"))
+    scale = float(radius)
+    counts = blocks.meet(sources, targets, radius, blocks.binned(n, lambda near, s, t, d2: np.floor(np.sqrt(d2) / scale * n)), blocks.BINNED)
+    counts = counts.groupBy(F.col("bin").cast("int").alias("bin")).agg(F.sum("n").alias("n"))
     return densify(counts, n).withColumn("x", F.col("bin") / F.lit(float(n)) * F.lit(float(radius)))
 
 
@@ -164,17 +176,45 @@ def random_neighbour_density(density: float, radius: float, k: int) -> float:
     return 3 * lam**k * radius ** (3 * k - 1) * math.exp(-lam * radius**3) / math.gamma(k)
 
 
+def _axial_sides(sources: DataFrame, targets: DataFrame, origin: Vec, axis: Vec, cylinder: float, grow: float) -> tuple[DataFrame, DataFrame]:
+    """Sources in a cylinder, targets in it grown on all sides."""
+    from pointloom.operators.rowops import in_cylinder
+
+    u, grown = axis.unit(), axis.length() + 2 * grow
+    wide = Vec(u.x * grown, u.y * grown, u.z * grown)
+    return sources.where(in_cylinder(origin, axis, cylinder)), targets.where(in_cylinder(origin, wide, cylinder + grow))
+
+
 def axial_distribution(sources: DataFrame, targets: DataFrame, origin: Vec, axis: Vec, cylinder: float, radius: float, n: int) -> DataFrame:
     """Histogram of pair displacements along an axis, sources in a cylinder, targets in it grown by the radius."""
     from pointloom.operators.bins import densify
-    from pointloom.operators.rowops import in_cylinder
 
-    u, grown = axis.unit(), axis.length() + 2 * radius
-    wide = Vec(u.x * grown, u.y * grown, u.z * grown)
-    pairs = radius_join(sources.where(in_cylinder(origin, axis, cylinder)), targets.where(in_cylinder(origin, wide, cylinder + radius)), radius)
-    shift = sum(((F.col(f"t_{a}") - F.col(f"s_{a}")) * F.lit(k) for a, k in zip(AXES[1:], (u.y, u.z), strict=True)), (F.col("t_x") - F.col("s_x")) * F.lit(u.x))
-    b = F.floor((shift / (2 * radius) + 0.5) * n).cast("int")
-    counts = pairs.select(b.alias("bin")).where((F.col("bin") >= 0) & (F.col("bin") < n)).groupBy("bin").agg(F.count("*").alias("n"))
-    return densify(counts, n)
+    u, scale = axis.unit(), 2 * float(radius)
+
+    def bin_of(near: blocks.Near, s: np.ndarray, t: np.ndarray, _: np.ndarray) -> np.ndarray:
+        x, y, z = (a[t] - a[s] for a in near.at)
+        return np.floor(((x * u.x + y * u.y + z * u.z) / scale + 0.5) * n)
 
+    own, wide = _axial_sides(sources, targets, origin, axis, cylinder, radius)
+    counts = blocks.meet(own, wide, radius, blocks.binned(n, bin_of), blocks.BINNED)
+    return densify(counts.groupBy(F.col("bin").cast("int").alias("bin")).agg(F.sum("n").alias("n")), n)
+
+
+def axial_neighbours(sources: DataFrame, targets: DataFrame, origin: Vec, axis: Vec, cylinder: float, k: int, n: int) -> DataFrame:
+    """Histogram of displacements along an axis to the ``k`` nearest targets, sources in a cylinder.
+
+    Bins reach from minus to plus the largest distance found (``most``); a
+    displacement of exactly that falls into the last bin.
+    """
+    from pointloom.operators.bins import densify
 
+    u = axis.unit()
+    own, _ = _axial_sides(sources, targets, origin, axis, cylinder, 0.0)
+    found = knn_join(own, targets, k, source_columns=AXES, target_columns=AXES)
+    shift = (F.col("t_x") - F.col("s_x")) * F.lit(u.x) + (F.col("t_y") - F.col("s_y")) * F.lit(u.y) + (F.col("t_z") - F.col("s_z")) * F.lit(u.z)
+    found = cut(found.select(shift.alias("shift"), F.sqrt("d2").alias("d")))
+    most = found.agg(F.max("d").alias("most")).first()["most"]
+    scale = F.lit(2 * most if most else 1.0)
+    b = F.least(F.floor((F.col("shift") / scale + 0.5) * n), F.lit(n - 1)).cast("int")
+    counts = found.groupBy(b.alias("bin")).agg(F.count("*").alias("n"))
+    return densify(counts, n).withColumn("most", F.lit(most).cast("double"))

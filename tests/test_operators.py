@@ -251,3 +251,68 @@ def test_monitor(spark, tmp_path):
         monitor.recompute(monitor.watch(spark, src), work, f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination(60)
         assert spark.read.parquet(f"{tmp_path}/out").agg(F.sum("count")).first()[0] == n
         lattice(spark, 100).write.mode("append").parquet(src)
+
+
+@pytest.fixture
+def small_blocks(monkeypatch):
+    """Cells are dealt to blocks, which differ from the default only in size."""
+    from pointloom.operators import blocks
+
+    monkeypatch.setattr(blocks, "BLOCK", 20)
+    monkeypatch.setattr(blocks, "ROWS", 50)
+    monkeypatch.setattr(blocks, "PAIRS", 64)
+
+
+def _crowd(n=300, seed=5):
+    rng = np.random.default_rng(seed)
+    return np.concatenate((rng.normal(0, 0.3, (n, 3)), rng.uniform(-9, 9, (n // 2, 3)), [[0.5, 0.5, 0.5]] * 5, [[60.0, -70.0, 80.0]]))
+
+
+@pytest.mark.parametrize("radius", [0.25, 1.5])
+def test_near_pairs_of_blocks(spark, small_blocks, radius):
+    at = _crowd()
+    df = table(spark, [(*p, 0) for p in at])
+    d2 = ((at[:, None] - at[None]) ** 2).sum(2)
+    want = {(i, j) for i, j in zip(*np.nonzero(d2 < radius * radius), strict=True) if i != j}
+    got = [(r["s_point_id"], r["t_point_id"]) for r in spatial.radius_join(df, df, radius).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    counts = {r["point_id"]: r["n"] for r in spatial.neighbour_counts(df, df, radius).collect()}
+    assert counts == {int(i): sum(a == i for a, _ in want) for i in {a for a, _ in want}}
+    groups = {r["point_id"]: r["cluster_id"] for r in clusters.link(df, radius).collect()}
+    name = list(range(len(at)))
+    for _ in at:
+        for i, j in want:
+            name[i] = name[j] = min(name[i], name[j])
+    assert groups == dict(enumerate(name))
+
+
+@pytest.mark.parametrize("beyond", [None, 0.4])
+def test_nearest_of_blocks(spark, small_blocks, beyond):
+    at = _crowd(120)
+    df = table(spark, [(*p, 0) for p in at])
+    d2 = ((at[:, None] - at[None]) ** 2).sum(2)
+    want = {}
+    for i in range(len(at)):
+        far = [j for j in range(len(at)) if j != i and (beyond is None or d2[i, j] > beyond * beyond)]
+        want[i] = sorted(far, key=lambda j, i=i: (d2[i, j], j))[:4]
+    got = {}
+    for r in sorted(spatial.knn_join(df, df, 4, beyond=beyond).collect(), key=lambda r: r["rank"]):
+        got.setdefault(r["s_point_id"], []).append(r["t_point_id"])
+    assert got == want
+
+
+def test_a_crowded_cell_and_points_without_place(spark):
+    """20,000 points of one cell are counted without a row for each pair; a null or NaN is near nothing."""
+    df = spark.range(20_000).select(F.col("id").alias("point_id"), (F.col("id") % 7 * 0.01).alias("x"), (F.col("id") % 11 * 0.01).alias("y"), F.lit(0.0).alias("z"), F.lit(1.0).alias("value"))
+    odd = spark.createDataFrame([(None, 0.0, 0.0, 0.0, 1.0), (-1, None, 0.0, 0.0, 1.0), (-2, float("nan"), 0.0, 0.0, 1.0)], POINT)
+    got = spatial.neighbour_counts(df.unionByName(odd), df, 1.0)
+    assert got.agg(F.count("*"), F.min("n"), F.max("n")).first()[:] == (20_000, 19_999, 19_999)
+    assert spatial.radius_join(df.limit(0), df, 1.0).count() == 0
+    same = spatial.radius_join(df.where("point_id < 77"), df.where("point_id < 154"), 0.0, inclusive=True)
+    assert same.count() == 77
+
+
+def test_axial_neighbours(spark):
+    df = lattice(spark, 125, 5)
+    got = {r["bin"]: r["n"] for r in spatial.axial_neighbours(df, df, Vec(2, 2, 2), Vec(0, 0, 20), 30.0, 6, 2).collect()}
+    assert sum(got.values()) == 125 * 6
