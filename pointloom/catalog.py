@@ -7,7 +7,8 @@ import math
 from pyspark.sql import functions as F
 
 from pointloom import points as pt
-from pointloom.operators import bins, clusters, geometry, ranging, rowops, spatial, stats
+from pointloom.functions import scalars
+from pointloom.operators import bins, clusters, geometry, ranging, rowops, spatial, stats, streams
 from pointloom.points import Vec
 from pointloom.scratch import cut
 
@@ -88,6 +89,21 @@ query("p5_translate_value", f"{WITH_E} SELECT point_id, round(value + 2.5, 6) AS
 query("p6_value_shuffle", None)(lambda s, d: rowops.shuffle_values(events(s, d), 7))
 query("p7_white_noise", None)(lambda s, d: rowops.noise(events(s, d), 0.5, 7))
 query("p8_gaussian_noise", None)(lambda s, d: rowops.noise(events(s, d), 0.5, 7, True))
+_both = lambda s, d, moved: events(s, d).select("point_id", *(F.col(a).alias(f"o{a}") for a in "xyz"), F.col("value").alias("o")).join(moved, "point_id", "full")
+_shift = lambda a: F.col(a) - F.col(f"o{a}")
+query("p6_values_stay", f"{WITH_E} SELECT round(value, 6) + 0.0 AS value, count(*) AS n FROM p GROUP BY 1")(lambda s, d: rounded(rowops.shuffle_values(events(s, d), 7).select("value"), "value").groupBy("value").agg(F.count("*").alias("n")))
+query("p6_places_stay", f"{WITH_E} SELECT point_id, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y, round(z, 6) + 0.0 AS z FROM p")(lambda s, d: xyz(rowops.shuffle_values(events(s, d), 7)))
+query("p7_noise_bounds", f"{WITH_E} SELECT count(*) AS n, count(*) AS within, count(*) AS same, true AS spread FROM p")(
+    lambda s, d: _both(s, d, rowops.noise(events(s, d), 0.5, 7)).agg(
+        F.count("*").alias("n"), F.count(F.when(F.greatest(*(F.abs(_shift(a)) for a in "xyz")) <= 0.25 + 1e-9, 1)).alias("within"), F.count(F.when(F.col("value") == F.col("o"), 1)).alias("same"), (F.max(F.abs(_shift("x"))) > 0.2).alias("spread")
+    )
+)
+query("p8_noise_moments", f"{WITH_E} SELECT count(*) AS n, count(*) AS same, true AS centred, true AS spread FROM p")(
+    # five standard errors of the mean and of the deviation
+    lambda s, d: _both(s, d, rowops.noise(events(s, d), 0.5, 7, True)).agg(
+        F.count("*").alias("n"), F.count(F.when(F.col("value") == F.col("o"), 1)).alias("same"), (F.abs(F.avg(_shift("y"))) < 2.5 / F.sqrt(F.count("*"))).alias("centred"), (F.abs(F.stddev(_shift("y")) - 0.5) < 2.5 / F.sqrt(F.count("*"))).alias("spread")
+    )
+)
 query("p9_bounds_centre", f"{WITH_L} SELECT round((min(x) + max(x)) / 2, 6) AS x, round((min(y) + max(y)) / 2, 6) AS y, round((min(z) + max(z)) / 2, 6) AS z FROM p")(
     lambda s, d: rounded(lines(s, d).agg(*(((F.min(a) + F.max(a)) / 2).alias(a) for a in "xyz")), "x", "y", "z")
 )
@@ -115,6 +131,18 @@ query("f8_sample_count", None)(lambda s, d: rowops.sample_count(events(s, d), 10
 query("f9_sample_per_ion", f"{WITH_E} SELECT coalesce(ion, 'unranged') AS ion, least(count(*), 100) AS n FROM r GROUP BY 1")(
     lambda s, d: rowops.sample_count(ranging.ranged(events(s, d), TABLE).withColumn("ion", F.coalesce("ion", F.lit("unranged"))), 100, 3, by="ion").groupBy("ion").agg(F.count("*").alias("n"))
 )
+_drawn = lambda s, d, sample: sample.join(events(s, d).select("point_id", F.col("value").alias("o")), "point_id", "left").agg(F.count("*").alias("n"), F.countDistinct("point_id").alias("k"), F.count(F.when(F.col("value") == F.col("o"), 1)).alias("own"))
+_about = lambda share: (F.abs(F.col("n") - F.col("all") * share) < 5 * F.sqrt(F.col("all") * share)) & (F.col("n") == F.col("k")) & (F.col("n") == F.col("own"))
+_all = lambda s, d: events(s, d).agg(F.count("*").alias("all"))  # noqa: E731  one row
+query("f7_sample_is_fair", f"{WITH_E} SELECT count(*) AS n, true AS fair FROM p")(
+    # ``n`` is of all points; a tenth of them, give or take five deviations, each its own
+    lambda s, d: _drawn(s, d, rowops.sample_fraction(events(s, d), 0.1, 3)).join(F.broadcast(_all(s, d))).select(F.col("all").alias("n"), _about(0.1).alias("fair"))
+)
+query("f8_sample_is_exact", f"{WITH_E} SELECT least(count(*), 1000) AS n, least(count(*), 1000) AS k, least(count(*), 1000) AS own FROM p")(lambda s, d: _drawn(s, d, rowops.sample_count(events(s, d), 1000, 3)))
+query("f11_indices", "SELECT CAST(500 AS BIGINT) AS n, CAST(500 AS BIGINT) AS k, true AS inside")(lambda s, d: streams.sample_indices(s, 10_000, 500, 3).agg(F.count("*").alias("n"), F.countDistinct("index").alias("k"), (F.min("index") >= 0).__and__(F.max("index") < 10_000).alias("inside")))
+query("p13_throttle_is_fair", f"{WITH_E} SELECT count(*) AS n, true AS fair FROM p")(
+    lambda s, d: _drawn(s, d, rowops.throttle(events(s, d), 500, 3)).join(F.broadcast(_all(s, d))).select(F.col("all").alias("n"), _about(500 / F.col("all")).alias("fair"))
+)
 query("p13_throttle", None)(lambda s, d: rowops.throttle(events(s, d), 2000, 3))
 
 # --- histograms and profiles ------------------------------------------------------
@@ -188,7 +216,23 @@ query(
     "g8_gaussian_smooth",
     f"{WITH_E}, {GRID}, k(o, w) AS (VALUES {_w}), s AS (SELECT g.ix + a.o AS ix, g.iy + b.o AS iy, g.iz + c.o AS iz, g.v * a.w * b.w * c.w AS v FROM g, k a, k b, k c) SELECT ix, iy, iz, round(sum(v), 6) AS v FROM s WHERE ix BETWEEN 0 AND 9 AND iy BETWEEN 0 AND 9 AND iz BETWEEN 0 AND 9 GROUP BY 1, 2, 3",
 )(lambda s, d: rounded(bins.smooth(grid(s, d), SHAPE, 1.0, 2), "v"))
-query("g9_laplacian", None)(lambda s, d: bins.smooth(grid(s, d), SHAPE, 1.0, 2, True))
+_s = ", ".join(f"({k - 2}, {v / sum(_k)!r}::DOUBLE, {v / sum(_k) * ((k - 2) ** 2 - 1)!r}::DOUBLE)" for k, v in enumerate(_k))
+query(
+    "g9_laplacian",
+    f"{WITH_E}, {GRID}, k(o, w, q) AS (VALUES {_s}), s AS (SELECT g.ix + a.o AS ix, g.iy + b.o AS iy, g.iz + c.o AS iz, g.v * (a.q * b.w * c.w + a.w * b.q * c.w + a.w * b.w * c.q) AS v FROM g, k a, k b, k c) SELECT ix, iy, iz, round(sum(v), 6) + 0.0 AS v FROM s WHERE ix BETWEEN 0 AND 9 AND iy BETWEEN 0 AND 9 AND iz BETWEEN 0 AND 9 GROUP BY 1, 2, 3",
+)(lambda s, d: rounded(bins.smooth(grid(s, d), SHAPE, 1.0, 2, True), "v"))
+_eight = [(i, j, k) for i in (0, 1) for j in (0, 1) for k in (0, 1)]
+_corners = lambda keep: " UNION ALL ".join(f"SELECT {keep}, " + ", ".join(f"CAST(k{a} AS INT) + {k} AS i{a}" for a, k in zip("xyz", bits, strict=True)) + ", " + " * ".join(f"f{a}" if k else f"(1 - f{a})" for a, k in zip("xyz", bits, strict=True)) + " AS w FROM u" for bits in _eight)
+_near = f"{', '.join(f'floor({a} / 5.0 - 0.5) AS k{a}, {a} / 5.0 - 0.5 - floor({a} / 5.0 - 0.5) AS f{a}' for a in 'xyz')}"
+_by_ion = f"{WITH_E}, u AS (SELECT ion, {_near} FROM r), w AS ({_corners('ion')})"
+query("a26_soft_fraction", f"{_by_ion} SELECT ix, iy, iz, round(coalesce(sum(CASE WHEN ion = 'A' THEN w ELSE 0 END) / nullif(sum(w), 0), 0), 6) AS v FROM w GROUP BY 1, 2, 3")(
+    lambda s, d: rounded(bins.soft_ratio(ranging.ranged(events(s, d), TABLE), LOW, 5.0, F.col("ion") == "A"), "v")
+)
+query("a26_soft_ratio", f"{_by_ion} SELECT ix, iy, iz, round(coalesce(sum(CASE WHEN ion = 'A' THEN w ELSE 0 END) / nullif(sum(CASE WHEN ion = 'B' THEN w ELSE 0 END), 0), 0), 4) AS v FROM w GROUP BY 1, 2, 3")(
+    lambda s, d: bins.soft_ratio(ranging.ranged(events(s, d), TABLE), LOW, 5.0, F.col("ion") == "A", F.col("ion") == "B").withColumn("v", F.round("v", 4))
+)
+query("a26_soft_density", f"{_by_ion}, t AS (SELECT ix, iy, iz, sum(w) / 125.0 AS v FROM w GROUP BY 1, 2, 3) SELECT ix, iy, iz, round(v / max(v) OVER (), 6) AS v FROM t")(lambda s, d: rounded(bins.soft_density(events(s, d), LOW, 5.0, 12**3), "v"))
+query("g12_resize", f"{WITH_E}, {GRID} SELECT CAST(ix + 1 AS INT) AS ix, CAST(iy AS INT) AS iy, CAST(iz - 2 AS INT) AS iz, v FROM g WHERE ix + 1 < 6 AND iy < 12 AND iz >= 2")(lambda s, d: bins.resize(grid(s, d), (6, 12, 8), (1, 0, -2)))
 query("g10_slice", f"{WITH_E}, {GRID} SELECT ix, iy, round(sum(v * CASE WHEN iz = 4 THEN 0.75 ELSE 0.25 END), 6) AS v FROM g WHERE iz IN (4, 5) GROUP BY 1, 2")(lambda s, d: rounded(bins.grid_slice(grid(s, d), "iz", 4.25, True), "v"))
 query("g12_rebin", f"{WITH_E}, {GRID} SELECT CAST(ix // 2 AS INT) AS ix, CAST(iy // 2 AS INT) AS iy, CAST(iz // 2 AS INT) AS iz, sum(v) AS v FROM g GROUP BY 1, 2, 3")(lambda s, d: bins.rebin(grid(s, d), 2))
 
@@ -260,6 +304,51 @@ query(
     f"{WITH_E}, s AS (SELECT * FROM p WHERE abs(y - 25.0) < 15 AND {SPHERE} - (y - 25.0) * (y - 25.0) < 100.0), h AS (SELECT CAST(floor(((b.y - a.y) / 6.0 + 0.5) * 24) AS INT) AS bin, count(*) AS n FROM {PAIR.format(s='s', t='p', r='3.0')} GROUP BY 1) SELECT CAST(b.bin AS INT) AS bin, coalesce(n, 0) AS n FROM range(24) b(bin) LEFT JOIN h USING (bin)",
 )(lambda s, d: spatial.axial_distribution(events(s, d), events(s, d), CENTRE, AXIS, 10, 3.0, 24))
 
+query("j3_dead_zone", f"{WITH_E} SELECT a.point_id, round(min({NEAR}), 6) AS d2 FROM r a JOIN r b ON a.ion = 'A' AND b.ion = 'B' AND {NEAR} > 4.0 GROUP BY 1")(
+    lambda s, d: rounded(spatial.knn_join(ranging.keep_ions(events(s, d), TABLE, ["A"]), ranging.keep_ions(events(s, d), TABLE, ["B"]), 1, beyond=2.0).select(F.col("s_point_id").alias("point_id"), "d2"), "d2")
+)
+query(
+    "a31_axial_knn",
+    f"{WITH_E}, n AS (SELECT a.point_id, arg_min(abs(b.x - a.x), {NEAR}, 2) AS ds FROM r a JOIN r b ON a.ion = 'A' AND b.ion = 'B' GROUP BY 1), k AS (SELECT unnest([1, 2]) AS rank, unnest(ds) AS d FROM n), m AS (SELECT max(d) AS most FROM k) SELECT rank, CAST(least(floor(d / most * 25), 24) AS INT) AS bin, count(*) AS n FROM k, m GROUP BY 1, 2",
+)(lambda s, d: spatial.axial_neighbours(ranging.keep_ions(events(s, d), TABLE, ["A"]), ranging.keep_ions(events(s, d), TABLE, ["B"]), Vec(3, 0, 0), 2, 25).select("rank", "bin", "n"))
+
+# --- streams and regions -----------------------------------------------------------------
+
+_streams = lambda s, d: {"a": ranging.keep_ions(events(s, d), TABLE, ["A"]), "b": ranging.keep_ions(events(s, d), TABLE, ["B"]), "rest": ranging.ranged(events(s, d), TABLE).where("ion is null").drop("range_id"), "none": events(s, d).where("false")}
+query("u1_collate", f"{WITH_E} SELECT point_id, CASE ion WHEN 'A' THEN 'a' WHEN 'B' THEN 'b' ELSE 'rest' END AS stream, ion IS NULL AS free FROM r WHERE ion IS DISTINCT FROM 'C'")(
+    lambda s, d: streams.collate(_streams(s, d)).select("point_id", "stream", F.col("range_id").isNull().alias("free"))
+)
+query("u2_passed_on", f"{WITH_E} SELECT point_id, 'a' AS stream FROM r WHERE ion = 'A' UNION ALL SELECT point_id, 'b' FROM r WHERE ion = 'B' AND value < 30")(
+    lambda s, d: streams.collate(streams.passed_on({"b": _streams(s, d)["b"].where("value < 30")}, {k: _streams(s, d)[k] for k in "ab"})).select("point_id", "stream")
+)
+query("a46_stream_counts", f"{WITH_E} SELECT k.stream, count(point_id) AS n FROM (VALUES ('a', 'A'), ('b', 'B'), ('none', '')) k(stream, i) LEFT JOIN r ON ion = i GROUP BY 1")(lambda s, d: streams.counted(_streams(s, d), ["a", "b", "none"]))
+_bulk = (HIGH.x - LOW.x) * (HIGH.y - LOW.y) * (HIGH.z - LOW.z)
+query(
+    "a10_density",
+    f"{WITH_E}, c AS (SELECT coalesce(ion, 'unranged') AS ion, count(*) AS n FROM r GROUP BY 1), t AS (SELECT * FROM c UNION ALL SELECT 'ranged', count(ion) FROM r UNION ALL SELECT 'total', count(*) FROM r) SELECT ion, n, round(n / {_bulk!r}, 9) AS density FROM t",
+)(lambda s, d: streams.density(events(s, d), TABLE, _bulk).withColumn("density", F.round("density", 9)))
+query(
+    "a3_spectrum_regions",
+    f"{WITH_L}, h AS ({HIST.format(lo='0.0', w='0.5', k=240)}) SELECT bin, n, CAST({RANGE_ID.replace('value', 'x').replace('WHEN x BETWEEN 80 AND 95 THEN 3', '')} AS INT) AS region, {ION.replace('value', 'x').replace(chr(39) + 'C' + chr(39), 'NULL')} AS ion FROM h",
+)(lambda s, d: streams.spectrum_regions(bins.spectrum(lines(s, d), 0, 120, 0.5), OFF).select("bin", "n", "region", "ion"))
+_regions = lambda s, d: events(s, d).select(F.col("point_id").alias("id"), F.col("value").alias("low"), (F.col("value") + F.col("y") / 500.0).alias("high"))
+query(
+    "j19_region_overlaps",
+    f"{WITH_E}, g AS (SELECT point_id AS id, value AS low, value + y / 500.0 AS high FROM p WHERE y > 0) SELECT a.id AS a, b.id AS b FROM g a JOIN g b ON a.id < b.id AND a.low < b.high AND b.low < a.high",
+)(lambda s, d: streams.overlapping(_regions(s, d), 0.1))
+query("l2_report", f"{WITH_E} SELECT least(count(*), 200) AS n FROM p WHERE value > 60")(lambda s, d: streams.report(events(s, d), F.col("value") > 60).agg(F.count("*").alias("n")))
+
+# --- scalars -----------------------------------------------------------------------------
+
+_rgb = lambda s, d: s.read.parquet(f"{d}/part.parquet").select("p_partkey", *((F.col("p_partkey") * k % 256).cast("int").alias(c) for c, k in zip("rgb", (1, 7, 13), strict=True)))
+query("fn_colour_hex", "SELECT p_partkey, printf('#%02x%02x%02x', p_partkey % 256, p_partkey * 7 % 256, p_partkey * 13 % 256) AS hex FROM part")(lambda s, d: _rgb(s, d).select("p_partkey", scalars.colour_hex(F.col("r"), F.col("g"), F.col("b")).alias("hex")))
+query("fn_colour_bytes", "SELECT p_partkey, CAST(p_partkey % 256 AS INT) AS r, CAST(p_partkey * 7 % 256 AS INT) AS g, CAST(p_partkey * 13 % 256 AS INT) AS b, 255 AS a FROM part")(
+    lambda s, d: _rgb(s, d).select("p_partkey", scalars.colour_bytes(F.upper(scalars.colour_hex(F.col("r"), F.col("g"), F.col("b")))).alias("c")).select("p_partkey", "c.*")
+)
+query("fn_strings", "SELECT p_partkey, trim(p_name) AS name, len(list_filter(string_split_regex(p_type, '[ ,]+'), lambda w: w <> '')) AS words, CASE WHEN len(CAST(p_size AS VARCHAR)) >= 4 THEN CAST(p_size AS VARCHAR) ELSE lpad(CAST(p_size AS VARCHAR), 4, '0') END AS size FROM part")(
+    lambda s, d: s.read.parquet(f"{d}/part.parquet").select("p_partkey", scalars.stripped(F.concat(F.lit(" \t"), F.col("p_name"), F.lit(" "))).alias("name"), F.size(scalars.fields(F.col("p_type"), " ,")).cast("long").alias("words"), scalars.padded(F.col("p_size"), 4).alias("size"))
+)
+
 # --- clusters ------------------------------------------------------------------------
 
 LINKS = f"e AS (SELECT a.point_id AS a, b.point_id AS b FROM {{s}} a JOIN {{s}} b ON b.x > a.x - 0.9 AND b.x < a.x + 0.9 AND {NEAR} < 0.81 AND a.point_id <> b.point_id), w(a, b) AS (SELECT a, b FROM e UNION SELECT w.a, e.b FROM w JOIN e ON w.b = e.a), c AS (SELECT n.point_id, least(n.point_id, coalesce(min(w.b), n.point_id)) AS cluster_id FROM {{s}} n LEFT JOIN w ON w.a = n.point_id GROUP BY n.point_id)"
@@ -279,12 +368,32 @@ def _full_cluster(s, d):
     return clusters.cluster(r.where("ion in ('A', 'B')"), r.where("ion is null"), 1.2, None, 0.8, 0.4, 2)
 
 
-query("g2_j10_j11_cluster_pipeline", None)(_full_cluster)
+_CORE = "core AS (SELECT * FROM r WHERE ion IN ('A', 'B')), bulk AS (SELECT * FROM r WHERE ion IS NULL)"
+_LINKED = LINKS.format(s="core").replace("0.9", "1.2").replace("0.81", "1.44")
+query(
+    "g2_j10_j11_cluster_pipeline",
+    f"{WITH_E.replace('WITH p', 'WITH RECURSIVE p')}, {_CORE}, {_LINKED}, k AS (SELECT * FROM c WHERE cluster_id IN (SELECT cluster_id FROM c GROUP BY 1 HAVING count(*) >= 2)), m AS (SELECT core.*, cluster_id FROM core JOIN k USING (point_id)), "
+    f"v AS (SELECT a.point_id, min(b.cluster_id) AS cluster_id FROM bulk a JOIN m b ON b.x > a.x - 0.8 AND b.x < a.x + 0.8 AND {NEAR} < {0.8 * 0.8!r} GROUP BY 1), n AS (SELECT * FROM bulk JOIN v USING (point_id)), o AS (SELECT * FROM bulk WHERE point_id NOT IN (SELECT point_id FROM v)), "
+    f"e2 AS (SELECT DISTINCT a.point_id FROM n a JOIN o b ON b.x > a.x - 0.4 AND b.x < a.x + 0.4 AND {NEAR} < {0.4 * 0.4!r}) SELECT point_id, cluster_id, 'core' AS role FROM k UNION ALL SELECT point_id, cluster_id, 'bulk' FROM v WHERE point_id NOT IN (SELECT point_id FROM e2)",
+)(_full_cluster)
+query(
+    "a38_cluster_composition",
+    f"{WITH_C}, z AS (SELECT * FROM c WHERE cluster_id IN (SELECT cluster_id FROM c GROUP BY 1 HAVING count(*) >= 2)), k AS (SELECT coalesce(ion, 'unranged') AS ion, count(*) AS n FROM z JOIN r USING (point_id) GROUP BY 1) SELECT ion, n, round(n / sum(n) OVER (), 6) AS fraction FROM k",
+)(lambda s, d: rounded(streams.cluster_composition(clusters.crop_sizes(cut(clusters.link(events(s, d), 0.9)), 2), ranging.ranged(events(s, d), TABLE)), "fraction"))
 query(
     "a39_morphology",
     f"{WITH_C} SELECT cluster_id, count(*) AS n, round(avg(x), 6) AS x, round(avg(y), 6) AS y, round(avg(z), 6) AS z FROM c JOIN p USING (point_id) GROUP BY 1",
 )(lambda s, d: rounded(clusters.morphology(events(s, d), cut(clusters.link(events(s, d), 0.9))).select("cluster_id", "n", "x", "y", "z"), "x", "y", "z"))
-query("a39_semi_axes", None)(lambda s, d: clusters.morphology(events(s, d), clusters.crop_sizes(cut(clusters.link(events(s, d), 0.9)), 4)))
+# axes by the trigonometric roots of the covariance's characteristic polynomial
+_pairs = ", ".join(f"covar_pop({a}, {b}) AS m{a}{b}" for a, b in ("xx", "yy", "zz", "xy", "xz", "yz"))
+query(
+    "a39_semi_axes",
+    f"{WITH_C}, mo AS (SELECT cluster_id, count(*) AS n, {_pairs} FROM c JOIN p USING (point_id) GROUP BY 1 HAVING count(*) >= 4), tr AS (SELECT *, (mxx + myy + mzz) / 3 AS q FROM mo), "
+    "dev AS (SELECT *, sqrt(((mxx - q) ** 2 + (myy - q) ** 2 + (mzz - q) ** 2 + 2 * (mxy ** 2 + mxz ** 2 + myz ** 2)) / 6) AS s FROM tr), "
+    "det AS (SELECT *, ((mxx - q) * ((myy - q) * (mzz - q) - myz * myz) - mxy * (mxy * (mzz - q) - myz * mxz) + mxz * (mxy * myz - (myy - q) * mxz)) / nullif(s * s * s, 0) AS d FROM dev), "
+    "ang AS (SELECT *, acos(least(greatest(coalesce(d / 2, 1.0), -1.0), 1.0)) / 3 AS f FROM det) "
+    "SELECT cluster_id, n, round(sqrt(5 * greatest(q + 2 * s * cos(f), 0)), 5) + 0.0 AS axis1, round(sqrt(5 * greatest(q + 2 * s * cos(f - 2 * pi() / 3), 0)), 5) + 0.0 AS axis2, round(sqrt(5 * greatest(q + 2 * s * cos(f + 2 * pi() / 3), 0)), 5) + 0.0 AS axis3 FROM ang",
+)(lambda s, d: clusters.morphology(events(s, d), clusters.crop_sizes(cut(clusters.link(events(s, d), 0.9)), 4)).select("cluster_id", "n", *((F.round(f"axis{k}", 5) + 0.0).alias(f"axis{k}") for k in (1, 2, 3))))
 
 # --- blocks and statistics ---------------------------------------------------------------
 
@@ -305,6 +414,14 @@ def _binomial(s, d):
 
 
 query("a34_binomial_test", None)(_binomial)
+query(
+    "a34_binomial_chi_square",
+    f"{WITH_E}, {BLOCKS}, e AS (SELECT DISTINCT block FROM u), i AS (SELECT DISTINCT coalesce(ion, 'unranged') AS ion FROM u), c AS (SELECT e.block, i.ion, count(u.point_id) AS k FROM e CROSS JOIN i LEFT JOIN u ON u.block = e.block AND coalesce(u.ion, 'unranged') = i.ion GROUP BY 1, 2), "
+    "h AS (SELECT ion, CAST(k AS DOUBLE) AS k, CAST(count(*) AS DOUBLE) AS n FROM c GROUP BY 1, 2), t AS (SELECT *, sum(n) OVER (PARTITION BY ion) AS b, sum(k * n) OVER (PARTITION BY ion) / sum(n) OVER (PARTITION BY ion) AS mean FROM h), "
+    "x AS (SELECT *, b * CASE WHEN mean IN (0, 20) THEN CAST(k = mean AS INT) ELSE exp(lgamma(21) - lgamma(k + 1) - lgamma(21 - k) + k * ln(mean / 20) + (20 - k) * ln(1 - mean / 20)) END AS w FROM t), "
+    "s AS (SELECT ion, any_value(mean) AS mean, any_value(b) AS b, coalesce(sum(CASE WHEN n >= 5 AND w > 0 THEN (n - w) ** 2 / w END), 0) AS chi, count(*) FILTER (WHERE n >= 5) - 1 AS freedom FROM x GROUP BY 1) "
+    "SELECT ion, round(mean, 6) AS mean, round(chi, 4) AS chi_square, round(coalesce(sqrt(chi / nullif(mean * b + chi, 0)), 0), 6) AS mu, CAST(freedom AS INT) AS freedom FROM s",
+)(lambda s, d: rounded(_binomial(s, d).withColumn("chi_square", F.round("chi_square", 4)).select("ion", "mean", "chi_square", "mu", "freedom"), "mean", "mu"))
 
 # --- geometry ------------------------------------------------------------------------------
 
@@ -320,4 +437,7 @@ query("g6_isosurface", None)(lambda s, d: geometry.isosurface(grid(s, d), SHAPE,
 query("g7_a45_proximity", None)(
     lambda s, d: geometry.proximity_histogram(geometry.surface_distance(ranging.ranged(events(s, d), TABLE), cut(bins.soft_voxels(events(s, d), LOW, 5.0)), SHAPE, 12.0, LOW, 5.0, 6.0), 1.0, F.col("ion") == "A")
 )
-query("g11_trilinear", None)(lambda s, d: geometry.trilinear(events(s, d), grid(s, d), LOW, 5.0))
+query(
+    "g11_trilinear",
+    f"{WITH_E}, {GRID}, u AS (SELECT point_id, {_near} FROM p), w AS ({_corners('point_id')}), t AS (SELECT point_id, sum(w * v) AS v FROM w JOIN g USING (ix, iy, iz) GROUP BY 1) SELECT point_id, round(coalesce(t.v, 0), 6) AS sampled FROM p LEFT JOIN t USING (point_id)",
+)(lambda s, d: rounded(geometry.trilinear(events(s, d), grid(s, d), LOW, 5.0).select("point_id", "sampled"), "sampled"))

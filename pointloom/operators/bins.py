@@ -218,3 +218,36 @@ def binarise(grid: DataFrame, threshold: float, on: float = 1.0, off: float = 0.
 def rebin(grid: DataFrame, factor: int) -> DataFrame:
     """Sums over blocks of ``factor`` cells along each axis."""
     return grid.groupBy(*(F.floor(F.col(c) / factor).cast("int").alias(c) for c in ("ix", "iy", "iz"))).agg(F.sum("v").alias("v"))
+
+
+def resize(grid: DataFrame, shape: tuple[int, int, int], offset: tuple[int, int, int] = (0, 0, 0)) -> DataFrame:
+    """The grid in other bounds: cells move by ``offset``, those outside go, new ones are absent (0)."""
+    axes = ("ix", "iy", "iz")
+    out = grid.withColumns({c: (F.col(c) + o).cast("int") for c, o in zip(axes, offset, strict=True)})
+    inside = None
+    for c, n in zip(axes, shape, strict=True):
+        cond = (F.col(c) >= 0) & (F.col(c) < n)
+        inside = cond if inside is None else inside & cond
+    return out.where(inside)
+
+
+def soft_ratio(points: DataFrame, low: Vec, edge: float, numerator: Column, denominator: Column | None = None) -> DataFrame:
+    """Shared weights of numerator points over those of denominator points (default: all); 0 where that is not finite."""
+    weights = points.withColumn("_a", F.when(numerator, 1.0).otherwise(0.0)).withColumn("_b", F.lit(1.0) if denominator is None else F.when(denominator, 1.0).otherwise(0.0))
+    a = soft_voxels(weights, low, edge, F.col("_a")).withColumnRenamed("v", "_a")
+    b = soft_voxels(weights, low, edge, F.col("_b")).withColumnRenamed("v", "_b")
+    value = F.coalesce(F.col("_a") / F.nullif(F.col("_b"), F.lit(0.0)), F.lit(0.0))
+    return a.join(b, ["ix", "iy", "iz"]).select("ix", "iy", "iz", value.alias("v"))
+
+
+def soft_density(points: DataFrame, low: Vec, edge: float, cells: int | None = None) -> DataFrame:
+    """Shared counts over a cell's volume; with ``cells``, their number in the grid, rescaled to 0..1.
+
+    Cells without points count as 0 for the least value.
+    """
+    out = soft_voxels(points, low, edge).withColumn("v", F.col("v") / F.lit(float(edge) ** 3))
+    if cells is None:
+        return out
+    range_of = voxel_summary(out, 0.0, cells).select(F.col("low").alias("_l"), F.col("high").alias("_h"))  # one row
+    value = F.coalesce((F.col("v") - F.col("_l")) / F.nullif(F.col("_h") - F.col("_l"), F.lit(0.0)), F.lit(0.0))
+    return out.join(F.broadcast(range_of)).select("ix", "iy", "iz", value.alias("v"))

@@ -1,7 +1,8 @@
 """Hulls, isosurfaces and distances to them.
 
 The hull is found per partition first: only hull points of partitions reach the
-driver.  Marching tetrahedra work cell by cell on joined grid corners.
+driver.  Marching tetrahedra work on joined grid corners, all cells of a batch
+at once; they give more triangles than a table of cube cases, of one surface.
 """
 
 from __future__ import annotations
@@ -78,8 +79,36 @@ def hull_volume(points: np.ndarray, faces: np.ndarray) -> float:
     return float(np.abs((a * np.cross(b, c)).sum(1)).sum() / 6)
 
 
+def extremes(points: np.ndarray, tolerance: float = 1e-9) -> np.ndarray:
+    """The points that span the convex hull: corners in space, of a plane's polygon, or a line's two ends."""
+    points = np.unique(points, axis=0)
+    faces = hull(points, tolerance)
+    if len(faces):
+        return points[np.unique(faces)]
+    if len(points) < 3:
+        return points
+    from_mean = points - points.mean(0)
+    _, size, axes = np.linalg.svd(from_mean, full_matrices=False)
+    flat = from_mean @ axes[:2].T
+    if size[1] <= tolerance * size[0]:
+        return points[[flat[:, 0].argmin(), flat[:, 0].argmax()]]
+    order = np.lexsort((flat[:, 1], flat[:, 0]))
+    chains = []
+    for way in (order, order[::-1]):
+        chain: list[int] = []
+        for k in way.tolist():
+            while len(chain) > 1:
+                (ax, ay), (bx, by) = flat[chain[-1]] - flat[chain[-2]], flat[k] - flat[chain[-2]]
+                if ax * by - ay * bx > 0:
+                    break
+                chain.pop()
+            chain.append(k)
+        chains += chain[:-1]
+    return points[chains]
+
+
 def hull_points(points: DataFrame) -> np.ndarray:
-    """Corners of the hull of all points; each task sends its own hull's corners only."""
+    """Corners of the hull of all points; each task sends its own hull's corners only, also of flat sets."""
 
     def run(batches):
         import pandas as pd
@@ -88,18 +117,14 @@ def hull_points(points: DataFrame) -> np.ndarray:
         for batch in batches:
             table = batch[["x", "y", "z"]].to_numpy(float)
             for at in range(0, len(table), HULL_BLOCK):
-                both = np.unique(np.concatenate((kept, table[at : at + HULL_BLOCK])), axis=0)
-                faces = hull(both)
-                kept = both[np.unique(faces)] if len(faces) else both
+                kept = extremes(np.concatenate((kept, table[at : at + HULL_BLOCK])))
         if len(kept):
             yield pd.DataFrame(kept, columns=["x", "y", "z"])
 
     rows = points.select("x", "y", "z").mapInPandas(run, "x double, y double, z double").toLocalIterator()
     kept = np.zeros((0, 3))
     while block := list(itertools.islice(rows, HULL_BLOCK)):
-        both = np.unique(np.concatenate((kept, np.array([[r["x"], r["y"], r["z"]] for r in block]))), axis=0)
-        faces = hull(both)
-        kept = both[np.unique(faces)] if len(faces) else both
+        kept = extremes(np.concatenate((kept, np.array([[r["x"], r["y"], r["z"]] for r in block]))))
     return kept
 
 
@@ -113,13 +138,21 @@ def box_volume(points: DataFrame) -> float:
     return math.prod(b - a for a, b in zip(*found, strict=True)) if found else 0.0
 
 
+def volume_centre(points: np.ndarray, faces: np.ndarray) -> np.ndarray:
+    """Centroid of a hull's volume: of the pyramids from its faces to an inner point, by their volumes."""
+    inner = points[np.unique(faces)].mean(0)
+    a, b, c = (points[faces[:, k]] - inner for k in range(3))
+    volume = np.abs((a * np.cross(b, c)).sum(1))
+    return inner + (volume[:, None] * (a + b + c)).sum(0) / (4 * volume.sum())
+
+
 def inside_shrunken(points: DataFrame, distance: float) -> DataFrame:
-    """Points inside the hull scaled about its centre so that its nearest facet moves in by ``distance``."""
+    """Points inside the hull scaled about its centre of volume so that its nearest facet moves in by ``distance``."""
     corners = hull_points(points)
     faces = hull(corners)
     if not len(faces):
         raise ValueError("the points have no volume")
-    centre = corners[np.unique(faces)].mean(0)
+    centre = volume_centre(corners, faces)
     normals = np.cross(corners[faces[:, 1]] - corners[faces[:, 0]], corners[faces[:, 2]] - corners[faces[:, 0]])
     normals /= np.linalg.norm(normals, axis=1)[:, None]
     far = ((corners[faces[:, 0]] - centre) * normals).sum(1)
@@ -155,6 +188,32 @@ def corners_of_cells(grid: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
     return spread.where(inside).groupBy("ix", "iy", "iz").agg(F.array(*corner).alias("c"))
 
 
+def cell_triangles(base: np.ndarray, corners: np.ndarray, level: float) -> np.ndarray:
+    """Triangles (rows of nine) where cells with eight corner values cross a level, by the sign cases of their tetrahedra."""
+    unit = np.array([[k & 1, k >> 1 & 1, k >> 2] for k in range(8)], float)
+    high = corners >= level
+    out = [np.zeros((0, 9))]
+    for tet in TETRAHEDRA:
+        case = sum(high[:, k].astype(int) << n for n, k in enumerate(tet))
+        for signs in range(1, 15):
+            own = np.flatnonzero(case == signs)
+            if not len(own):
+                continue
+            up, down = ([k for n, k in enumerate(tet) if signs >> n & 1 == bit] for bit in (1, 0))
+
+            def cross(i: int, j: int, own=own) -> np.ndarray:
+                t = (level - corners[own, i]) / (corners[own, j] - corners[own, i])
+                return base[own] + unit[i] + (unit[j] - unit[i]) * t[:, None]
+
+            if len(up) == 2:
+                q = [cross(up[0], down[0]), cross(up[0], down[1]), cross(up[1], down[1]), cross(up[1], down[0])]
+                out += [np.hstack((q[0], q[1], q[2])), np.hstack((q[0], q[2], q[3]))]
+            else:
+                one, many = (up, down) if len(up) == 1 else (down, up)
+                out.append(np.hstack([cross(one[0], k) for k in many]))
+    return np.concatenate(out)
+
+
 def isosurface(grid: DataFrame, shape: tuple[int, int, int], level: float) -> DataFrame:
     """Triangles ``ax..cz`` (in cells) where the values cross ``level``; absent cells are 0."""
     names = [f"{p}{a}" for p in "abc" for a in "xyz"]
@@ -162,24 +221,10 @@ def isosurface(grid: DataFrame, shape: tuple[int, int, int], level: float) -> Da
     def run(batches):
         import pandas as pd
 
-        unit = np.array([[k & 1, k >> 1 & 1, k >> 2] for k in range(8)], float)
         for b in batches:
-            out = []
-            for ix, iy, iz, c in zip(b["ix"], b["iy"], b["iz"], b["c"], strict=True):
-                base = np.array([ix, iy, iz], float)
-                for tet in TETRAHEDRA:
-                    up = [k for k in tet if c[k] >= level]
-                    down = [k for k in tet if c[k] < level]
-                    if not up or not down:
-                        continue
-                    cross = lambda i, j, c=c, base=base: base + unit[i] + (unit[j] - unit[i]) * ((level - c[i]) / (c[j] - c[i]))
-                    if len(up) == 2:
-                        q = [cross(up[0], down[0]), cross(up[0], down[1]), cross(up[1], down[1]), cross(up[1], down[0])]
-                        out += [np.concatenate((q[0], q[1], q[2])), np.concatenate((q[0], q[2], q[3]))]
-                    else:
-                        one, many = (up, down) if len(up) == 1 else (down, up)
-                        out.append(np.concatenate([cross(one[0], k) for k in many]))
-            yield pd.DataFrame(np.array(out).reshape(-1, 9), columns=names)
+            base = b[["ix", "iy", "iz"]].to_numpy(float)
+            corners = np.array(b["c"].tolist(), float).reshape(-1, 8)
+            yield pd.DataFrame(cell_triangles(base, corners, level), columns=names)
 
     return corners_of_cells(grid, shape).mapInPandas(run, ", ".join(f"{n} double" for n in names))
 

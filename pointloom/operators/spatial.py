@@ -176,45 +176,33 @@ def random_neighbour_density(density: float, radius: float, k: int) -> float:
     return 3 * lam**k * radius ** (3 * k - 1) * math.exp(-lam * radius**3) / math.gamma(k)
 
 
-def _axial_sides(sources: DataFrame, targets: DataFrame, origin: Vec, axis: Vec, cylinder: float, grow: float) -> tuple[DataFrame, DataFrame]:
-    """Sources in a cylinder, targets in it grown on all sides."""
-    from pointloom.operators.rowops import in_cylinder
-
-    u, grown = axis.unit(), axis.length() + 2 * grow
-    wide = Vec(u.x * grown, u.y * grown, u.z * grown)
-    return sources.where(in_cylinder(origin, axis, cylinder)), targets.where(in_cylinder(origin, wide, cylinder + grow))
-
-
 def axial_distribution(sources: DataFrame, targets: DataFrame, origin: Vec, axis: Vec, cylinder: float, radius: float, n: int) -> DataFrame:
     """Histogram of pair displacements along an axis, sources in a cylinder, targets in it grown by the radius."""
     from pointloom.operators.bins import densify
+    from pointloom.operators.rowops import in_cylinder
 
-    u, scale = axis.unit(), 2 * float(radius)
+    u, scale, grown = axis.unit(), 2 * float(radius), axis.length() + 2 * radius
+    wide = Vec(u.x * grown, u.y * grown, u.z * grown)
 
     def bin_of(near: blocks.Near, s: np.ndarray, t: np.ndarray, _: np.ndarray) -> np.ndarray:
         x, y, z = (a[t] - a[s] for a in near.at)
         return np.floor(((x * u.x + y * u.y + z * u.z) / scale + 0.5) * n)
 
-    own, wide = _axial_sides(sources, targets, origin, axis, cylinder, radius)
-    counts = blocks.meet(own, wide, radius, blocks.binned(n, bin_of), blocks.BINNED)
+    own, others = sources.where(in_cylinder(origin, axis, cylinder)), targets.where(in_cylinder(origin, wide, cylinder + radius))
+    counts = blocks.meet(own, others, radius, blocks.binned(n, bin_of), blocks.BINNED)
     return densify(counts.groupBy(F.col("bin").cast("int").alias("bin")).agg(F.sum("n").alias("n")), n)
 
 
-def axial_neighbours(sources: DataFrame, targets: DataFrame, origin: Vec, axis: Vec, cylinder: float, k: int, n: int) -> DataFrame:
-    """Histogram of displacements along an axis to the ``k`` nearest targets, sources in a cylinder.
+def axial_neighbours(sources: DataFrame, targets: DataFrame, axis: Vec, k: int, n: int, beyond: float | None = None) -> DataFrame:
+    """For each rank up to ``k`` a histogram of distances along an axis: ``rank, bin, n`` and the scale ``most``.
 
-    Bins reach from minus to plus the largest distance found (``most``); a
-    displacement of exactly that falls into the last bin.
+    The ``n`` bins of all ranks reach from 0 to the largest distance along the
+    axis, which falls into the last bin; ``beyond`` is a dead zone.
     """
-    from pointloom.operators.bins import densify
-
     u = axis.unit()
-    own, _ = _axial_sides(sources, targets, origin, axis, cylinder, 0.0)
-    found = knn_join(own, targets, k, source_columns=AXES, target_columns=AXES)
+    found = knn_join(sources, targets, k, source_columns=AXES, target_columns=AXES, beyond=beyond)
     shift = (F.col("t_x") - F.col("s_x")) * F.lit(u.x) + (F.col("t_y") - F.col("s_y")) * F.lit(u.y) + (F.col("t_z") - F.col("s_z")) * F.lit(u.z)
-    found = cut(found.select(shift.alias("shift"), F.sqrt("d2").alias("d")))
-    most = found.agg(F.max("d").alias("most")).first()["most"]
-    scale = F.lit(2 * most if most else 1.0)
-    b = F.least(F.floor((F.col("shift") / scale + 0.5) * n), F.lit(n - 1)).cast("int")
-    counts = found.groupBy(b.alias("bin")).agg(F.count("*").alias("n"))
-    return densify(counts, n).withColumn("most", F.lit(most).cast("double"))
+    found = cut(found.select("rank", F.abs(shift).alias("d")))
+    most = found.agg(F.max("d").alias("m")).first()["m"] or 0.0
+    b = F.least(F.floor(F.col("d") / F.lit(most or 1.0) * n), F.lit(n - 1)).cast("int")
+    return found.select("rank", b.alias("bin")).groupBy("rank", "bin").agg(F.count("*").alias("n")).withColumn("most", F.lit(float(most)))

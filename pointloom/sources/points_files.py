@@ -1,22 +1,21 @@
 """Point files: fixed-length float records, ATO records and delimited text.
 
 Binary files are read by Hadoop's fixed-length record format, so one file is
-split over many tasks and any store works; records are decoded in blocks by
-numpy.  Headers, sizes and byte order come from small driver-side reads.
+split over many tasks and any store works; records travel in Arrow batches and
+are decoded by numpy.  Headers, sizes and byte order come from small driver-side reads.
 """
 
 from __future__ import annotations
 
-import itertools
 import re
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 POINT = "x double, y double, z double, value double"
-BLOCK = 8192
 #: ATO: bytes of the header, floats of a record, and how many records settle the byte order.
 ATO_HEADER, ATO_FLOATS, ATO_PROBE = 8, 14, 100
 
@@ -36,12 +35,21 @@ def _head(spark: SparkSession, path: str, n: int) -> bytes:
         stream.close()
 
 
-def _decoded(records: Iterator[bytes], kind: str, columns: int, picked: tuple[int, ...]) -> Iterator[tuple]:
-    while block := b"".join(itertools.islice(records, BLOCK)):
-        table = np.frombuffer(block, kind).reshape(-1, columns)[:, list(picked)].astype(float)
-        if not np.isfinite(table).all():
-            raise ValueError("the file has values that are not finite")
-        yield from map(tuple, table.tolist())
+def _records(spark: SparkSession, path: str, width: int) -> DataFrame:
+    """``value``: the file's records of ``width`` bytes; Hadoop splits the file, and no record passes through Python alone."""
+    context = spark.sparkContext._jsc.sc()
+    rdd = context.binaryRecords(path, width, context.hadoopConfiguration())
+    binary = spark._jvm.org.apache.spark.sql.Encoders.BINARY()
+    return DataFrame(spark._jsparkSession.createDataset(rdd, binary).toDF(), spark)
+
+
+def _table(records: pa.Array, kind: str, columns: int) -> np.ndarray:
+    """The records of an Arrow column as rows of finite numbers."""
+    raw = b"".join(records.to_pylist())
+    table = np.frombuffer(raw, kind).reshape(-1, columns).astype(float)
+    if not np.isfinite(table).all():
+        raise ValueError("the file has values that are not finite")
+    return table
 
 
 def read_pos(spark: SparkSession, path: str, columns: int = 4, picked: tuple[int, int, int, int] = (0, 1, 2, 3), kind: str = ">f4") -> DataFrame:
@@ -53,8 +61,13 @@ def read_pos(spark: SparkSession, path: str, columns: int = 4, picked: tuple[int
     width = columns * np.dtype(kind).itemsize
     if not size or size % width:
         raise ValueError(f"{path}: {size} bytes are no positive multiple of {width}")
-    rows = spark.sparkContext.binaryRecords(path, width).mapPartitions(lambda it: _decoded(it, kind, columns, picked))
-    return spark.createDataFrame(rows, POINT)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = _table(batch.column(0), kind, columns)
+            yield pa.RecordBatch.from_arrays([pa.array(table[:, k]) for k in picked], names=["x", "y", "z", "value"])
+
+    return _records(spark, path, width).mapInArrow(run, POINT)
 
 
 def sampled(points: DataFrame, limit: int, seed: int) -> DataFrame:
@@ -109,23 +122,30 @@ def read_ato(spark: SparkSession, path: str, order: str | None = None) -> DataFr
 _NUMBER = r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?"
 
 
+#: Lines among which the first numeric one must be.
+HEADER = 1000
+
+
 def read_text(spark: SparkSession, path: str, delimiters: str = "\t ,") -> DataFrame:
     """Rows of three numbers (value 1) or four; lines before the first numeric one are header.
 
-    Every row after the header must have the same number of fields; else reading fails.
+    Every other row must have the same number of fields, all numeric; else
+    reading fails.  A folder's files may each begin with the header's lines.
     """
     gap = f"[{re.escape(delimiters)}]+"
-    lines = spark.read.text(path).select(F.trim("value").alias("line")).where("line <> ''")
-    first = lines.where(F.col("line").rlike(f"^{_NUMBER}({gap}{_NUMBER})+$")).limit(1).collect()
-    if not first:
+    lines = spark.read.text(path).select(F.btrim("value", F.lit(delimiters + "\r")).alias("line")).where("line <> ''")
+    numeric = f"^{_NUMBER}({gap}{_NUMBER})*$"
+    head = [r["line"] for r in lines.limit(HEADER).collect()]
+    first = next((k for k, line in enumerate(head) if re.match(numeric, line)), None)
+    if first is None:
         raise ValueError(f"{path}: no numeric rows")
-    n = len(re.split(gap, first[0]["line"]))
+    n = len(re.split(gap, head[first]))
     if n not in (3, 4):
         raise ValueError(f"{path}: {n} columns; 3 or 4 expected")
-    parts = F.split("line", gap)
-    numeric = F.col("line").rlike(rf"^[{re.escape(delimiters)}0-9.Ee+-]+$")
-    checked = F.when(F.size("p") == n, F.col("p")).otherwise(F.raise_error(F.concat(F.lit("a row has another number of fields: "), F.col("line"))))
-    rows = lines.where(numeric).select(parts.alias("p"), "line").select(checked.alias("p"))
+    rows = lines.where(~F.col("line").isin(head[:first])) if first else lines
+    good = F.col("line").rlike(numeric) & (F.size(F.split("line", gap)) == n)
+    checked = F.when(good, F.split("line", gap)).otherwise(F.raise_error(F.concat(F.lit(f"not a row of {n} numbers: "), F.col("line"))))
+    rows = rows.select(checked.alias("p"))
     names = ["x", "y", "z", "value"]
     return rows.select(*(F.col("p")[k].cast("double").alias(names[k]) for k in range(n)), *([F.lit(1.0).alias("value")] if n == 3 else []))
 
@@ -141,5 +161,57 @@ def read_voxels(spark: SparkSession, path: str, shape: tuple[int, int, int], kin
     width = np.dtype(kind).itemsize
     if _size(spark, path) != width * nx * ny * shape[2]:
         raise ValueError(f"{path}: the size does not fit {shape}")
-    cells = spark.sparkContext.binaryRecords(path, width).zipWithIndex().map(lambda r: (r[1], float(np.frombuffer(r[0], kind)[0]))).toDF("i long, v double")
-    return cells.where("v <> 0").select((F.col("i") % nx).cast("int").alias("ix"), (F.floor(F.col("i") / nx) % ny).cast("int").alias("iy"), F.floor(F.col("i") / (nx * ny)).cast("int").alias("iz"), "v")
+    plane, rows = width * nx, ny * shape[2]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = _table(batch.column("value"), kind, nx)
+            row, ix = np.nonzero(table)
+            at = batch.column("row").to_numpy()[row]
+            columns = [ix, at % ny, at // ny]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c.astype(np.int32)) for c in columns), pa.array(table[row, ix])], names=["ix", "iy", "iz", "v"])
+
+    # a row of cells is one record; its number follows from the rows of the partitions before
+    records = _records(spark, path, plane).withColumn("part", F.spark_partition_id()).withColumn("i", F.monotonically_increasing_id())
+    sizes = {r["part"]: (r["n"], r["least"]) for r in records.groupBy("part").agg(F.count("*").alias("n"), F.min("i").alias("least")).collect()}
+    before, shift = 0, F.lit(None).cast("long")
+    for part, (n, least) in sorted(sizes.items()):
+        shift = F.when(F.col("part") == part, F.lit(before - least)).otherwise(shift)
+        before += n
+    if before != rows:
+        raise ValueError(f"{path}: {before} rows of cells, not {rows}")
+    return records.select("value", (F.col("i") + shift).alias("row")).mapInArrow(run, "ix int, iy int, iz int, v double")
+
+
+#: A scan without a limit of its own keeps at most so many points: 5 MiB of records of 16 bytes.
+SCAN_LIMIT = 5 * (1 << 20) // 16
+KINDS = {"pos": "pos", "ato": "ato", "txt": "text", "csv": "text", "tsv": "text", "dat": "text"}
+
+
+def stamp(spark: SparkSession, path: str) -> tuple[int, int] | None:
+    """Time of change and size of a file; None if it is not there.  A scan is due again where this differs."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not store.exists(where):
+        return None
+    status = store.getFileStatus(where)
+    return status.getModificationTime(), status.getLen()
+
+
+def scan(spark: SparkSession, path: str, kind: str | None = None, limit: int | None = SCAN_LIMIT, seed: int = 0, label: str | None = None, enabled: bool = True, monitored: bool = False, upstream: DataFrame | None = None, **options) -> DataFrame:
+    """Points of a file by its kind (else by its extension), at most ``limit`` at random, after those from upstream.
+
+    A disabled scan, or a monitored one whose file is missing, hands on upstream only.
+    """
+    if not enabled or (monitored and stamp(spark, path) is None):
+        own = spark.createDataFrame([], POINT)
+    else:
+        kind = kind or KINDS.get(path.rstrip("/").rpartition(".")[2].lower())
+        readers = {"pos": read_pos, "ato": read_ato, "text": read_text}
+        if kind not in readers:
+            raise ValueError(f"{path}: no kind of point file is known by its name; state one of {sorted(readers)}")
+        own = readers[kind](spark, path, **options)
+        own = own if limit is None else sampled(own, limit, seed)
+    if label is not None:
+        own = own.withColumn("label", F.lit(label))
+    return own if upstream is None else upstream.unionByName(own, allowMissingColumns=True)

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pointloom.functions import names
+from pointloom.functions import names, scalars
 from pointloom.operators import bins, clusters, geometry, ranging, rowops, spatial, stats
 from pointloom.plans import spec
 from pointloom.points import Vec
@@ -313,6 +313,75 @@ def test_a_crowded_cell_and_points_without_place(spark):
 
 
 def test_axial_neighbours(spark):
-    df = lattice(spark, 125, 5)
-    got = {r["bin"]: r["n"] for r in spatial.axial_neighbours(df, df, Vec(2, 2, 2), Vec(0, 0, 20), 30.0, 6, 2).collect()}
-    assert sum(got.values()) == 125 * 6
+    df = table(spark, [(0, 0, 0, 0), (0, 0, 1, 0), (3, 0, 1, 0)])
+    got = {(r["rank"], r["bin"]): r["n"] for r in spatial.axial_neighbours(df, df, Vec(0, 0, 2), 2, 4).collect()}
+    assert got == {(1, 3): 2, (1, 0): 1, (2, 3): 2, (2, 0): 1}
+
+
+def test_flat_hulls_stay_small():
+    rng = np.random.default_rng(1)
+    plane = np.column_stack((rng.uniform(0, 4, (3000, 2)), np.zeros(3000)))
+    square = np.array([[0, 0, 0], [4, 0, 0], [4, 4, 0], [0, 4, 0]], float)
+    tilt = np.array([[0.6, 0.0, 0.8], [0.0, 1.0, 0.0], [-0.8, 0.0, 0.6]])
+    found = geometry.extremes(np.concatenate((plane, square)) @ tilt.T)
+    assert len(found) == 4 and np.allclose(np.sort(found, 0), np.sort(square @ tilt.T, 0))
+    line = np.outer(rng.uniform(0, 1, 500), [1.0, 2.0, 3.0])
+    assert len(geometry.extremes(line)) == 2 and len(geometry.extremes(np.ones((9, 3)))) == 1 and len(geometry.extremes(np.zeros((0, 3)))) == 0
+
+
+def test_volume_centre_is_not_the_mean_of_corners(spark):
+    """A box with many corners at one end keeps its centre."""
+    box = [(x, y, z) for x in (0, 8) for y in (0, 2) for z in (0, 2)]
+    ring = [(0, 1 + math.cos(t / 5) , 1 + math.sin(t / 5)) for t in range(31)]
+    at = np.array(box + ring, float)
+    centre = geometry.volume_centre(at, geometry.hull(at))
+    assert np.allclose(centre, (4, 1, 1))
+    df = table(spark, [(*p, 0) for p in [*box, (0.5, 1, 1), (7.5, 1, 1), (4, 1, 1), (1.95, 1, 1), (6.05, 1, 1)]])
+    got = {(r["x"]) for r in geometry.inside_shrunken(df, 0.5).collect()}
+    assert got == {4.0}.union({x for x in (0.5, 7.5, 1.95, 6.05) if 2 < x < 6})
+
+
+def test_cell_triangles_close_a_corner():
+    """One high corner gives a closed cap around it: every cut edge of the cube's tetrahedra once."""
+    for corner in range(8):
+        values = np.zeros((1, 8))
+        values[0, corner] = 1.0
+        tri = geometry.cell_triangles(np.zeros((1, 3)), values, 0.25).reshape(-1, 3, 3)
+        unit = np.array([corner & 1, corner >> 1 & 1, corner >> 2], float)
+        assert np.allclose(np.abs(tri - unit).max((1, 2)).max(), 0.75)
+        full = np.ones((1, 8)) - values
+        assert len(geometry.cell_triangles(np.zeros((1, 3)), full, 0.75)) == len(tri)
+
+
+def test_scans(spark, tmp_path):
+    rows = [(float(i), i + 0.5, 2.0 * i, 7.0) for i in range(40)]
+    sinks.write_pos(table(spark, rows), f"file://{tmp_path}/a.pos")
+    (tmp_path / "b.txt").write_text("x y z v\n" + "\n".join(" ".join(map(str, r)) for r in rows))
+    (tmp_path / "bad.txt").write_text("x y z v\n1 2 3 4\n1 two 3 4\n")
+    scan = points_files.scan
+    assert sorted(map(tuple, scan(spark, f"file://{tmp_path}/a.pos").collect())) == rows
+    both = scan(spark, f"file://{tmp_path}/b.txt", limit=5, label="t", upstream=scan(spark, f"file://{tmp_path}/a.pos"))
+    assert both.count() == 45 and both.where("label = 't'").count() == 5
+    up = scan(spark, f"file://{tmp_path}/a.pos", limit=None)
+    assert scan(spark, f"file://{tmp_path}/none.pos", monitored=True, upstream=up).count() == 40
+    assert scan(spark, f"file://{tmp_path}/a.pos", enabled=False).count() == 0
+    with pytest.raises(Exception, match="not a row of 4 numbers"):
+        points_files.read_text(spark, f"file://{tmp_path}/bad.txt").collect()
+    with pytest.raises(ValueError, match="kind"):
+        scan(spark, f"file://{tmp_path}/a.unknown")
+    before = points_files.stamp(spark, f"file://{tmp_path}/b.txt")
+    (tmp_path / "b.txt").write_text("1 2 3 4\n")
+    assert points_files.stamp(spark, f"file://{tmp_path}/b.txt") != before and points_files.stamp(spark, f"file://{tmp_path}/none") is None
+
+
+def test_scalars(spark):
+    df = spark.createDataFrame([("#0aFF10", "#00000080", " a;b,, c ", "1.10", "1.9", "/x/y.tar.gz", "TRUE", "<a & 'b'>")], "c string, d string, s string, v string, w string, f string, b string, x string")
+    one, two = scalars.colour_bytes(F.col("c")), scalars.colour_bytes(F.col("d"))
+    r = df.select(
+        one.alias("one"), two.alias("two"), scalars.colour_bytes(F.col("s")).alias("no"), scalars.between_colours(one, two, F.lit(0.5)).alias("mid"), scalars.fields(scalars.stripped(F.col("s")), ";,").alias("parts"), scalars.later_version(F.col("v"), F.col("w")).alias("later"),
+        scalars.later_version(F.lit("2"), F.lit("2.0")).alias("same"), scalars.file_name(F.col("f")).alias("name"), scalars.folder(F.col("f")).alias("folder"), scalars.extension(F.col("f")).alias("ext"), scalars.flag(F.col("b")).alias("flag"), scalars.flag(F.col("s")).alias("none"),
+        scalars.xml_escaped(F.col("x")).alias("xml"), scalars.xml_unescaped(scalars.xml_escaped(F.col("x"))).alias("back"), scalars.padded(F.lit(7), 3).alias("p"), scalars.to_byte(F.lit(0.5)).alias("byte"),
+    ).first()
+    assert tuple(r["one"]) == (10, 255, 16, 255) and tuple(r["two"]) == (0, 0, 0, 128) and r["no"] is None and tuple(r["mid"]) == (5, 128, 8, 192)
+    assert r["parts"] == ["a", "b", " c"] and (r["later"], r["same"]) == (1, 0) and (r["name"], r["folder"], r["ext"]) == ("y.tar.gz", "/x", "gz")
+    assert r["flag"] is True and r["none"] is None and r["xml"] == "&lt;a &amp; &apos;b&apos;&gt;" and r["back"] == "<a & 'b'>" and (r["p"], r["byte"]) == ("007", 128)
