@@ -3,9 +3,10 @@
 Windows of ten consecutive words of every benchmark item (the whole item where
 it is shorter) are hashed into a set; documents are scanned once with running
 window hashes, matches are verified word by word, and hit words, spans and items
-are reported.  The hash set goes to executors by broadcast.  Its size is checked
-first: a benchmark above ``BLOCK_BYTES`` is scanned in blocks of about that
-size, one pass over the documents each, so the broadcast never grows with it.
+are reported.  The hash set goes to executors by broadcast, as arrays.  Its size
+is checked first: equal texts count once, and a benchmark above ``BLOCK_BYTES``
+is scanned in blocks of about that size (longer items in overlapping pieces),
+one pass over the documents each, so the broadcast never grows with it.
 """
 
 from __future__ import annotations
@@ -20,9 +21,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pointloom.llm import textnum as tn
+from pointloom.scratch import cut
 
 WINDOW = 10
-BLOCK_BYTES = 32 << 20
+#: Text of a block of items; with its windows some ten times that is sent.
+BLOCK_BYTES = 8 << 20
 CHUNK = 2 << 20
 #: Bytes of words: digits, a-z and everything outside ASCII.
 INSIDE = np.zeros(256, bool)
@@ -51,49 +54,88 @@ class _Runs:
         return tn.mix(raw + tn.U(n))
 
 
-def window_set(items: list[tuple[str | None, str | None]], window: int = WINDOW) -> dict[int, tuple[np.ndarray, dict[bytes, list[str]]]]:
-    """By window length: sorted hashes, and the items of each window's words."""
-    if not items:
-        return {}
-    column = pa.array([t for _, t in items], pa.large_string())
-    low, start, end, first, hashes = _tokens(*tn.packed(column))
-    runs, raw = _Runs(hashes), low.tobytes()
-    out: dict[int, tuple[set, dict]] = {}
-    for k, (name, _) in enumerate(items):
-        n = int(first[k + 1] - first[k])
-        if not n:
-            continue
-        size = min(n, window)
-        seen, texts = out.setdefault(size, (set(), {}))
-        keys = runs.of(size)
-        for i in range(first[k], first[k + 1] - size + 1):
-            words = b" ".join(raw[start[j] : end[j]] for j in range(i, i + size))
-            seen.add(int(keys[i]))
-            owners = texts.setdefault(words, [])
-            if name is not None and name not in owners:
-                owners.append(name)
-    return {size: (np.array(sorted(seen), tn.U), texts) for size, (seen, texts) in out.items()}
-
-
-def _scan(batch: pa.RecordBatch, windows: dict) -> tuple[list, list, list, list]:
+class Windows:
+    """The windows of one length: hashes in order, where their words are, and which texts have them.
+
+    Arrays only, so that what is broadcast is some 50 bytes a window and the
+    texts' bytes; a window that many texts share is held once.
+    """
+
+    def __init__(self, key: np.ndarray, word: np.ndarray, owner: np.ndarray, words: tuple, size: int):
+        order = np.lexsort((word, key))
+        key, word, owner = key[order], word[order], owner[order]
+        cuts = tn.runs(key)
+        head = np.repeat(cuts[:-1], np.diff(cuts))
+        same = _equal(words, word, words, word[head], size)
+        # windows of one hash and other words are texts of their own
+        lead = ~same
+        lead[cuts[:-1]] = True
+        self.key, self.word, self.size = key[lead], word[lead], size
+        of = np.where(same, np.cumsum(lead)[head] - 1, np.cumsum(lead) - 1)
+        pair = np.unique(np.stack((of, owner)), axis=1)
+        self.owner, self.first = pair[1].astype(np.int32), np.searchsorted(pair[0], np.arange(len(self.key) + 1))
+
+
+def _equal(x: tuple, i: np.ndarray, y: tuple, j: np.ndarray, size: int) -> np.ndarray:
+    """Whether ``size`` words from ``i`` of ``x`` are those from ``j`` of ``y``, byte by byte."""
+    (xb, xs, xe), (yb, ys, ye) = x, y
+    good = np.ones(len(i), bool)
+    for k in range(size):
+        own = np.flatnonzero(good)
+        a, b = i[own] + k, j[own] + k
+        long = xe[a] - xs[a]
+        even = long == ye[b] - ys[b]
+        good[own[~even]] = False
+        own, a, b, long = own[even], a[even], b[even], long[even]
+        apart = xb[tn.ranges(xs[a].astype(np.int64), long)] != yb[tn.ranges(ys[b].astype(np.int64), long)]
+        good[np.repeat(own, long)[apart]] = False
+    return good
+
+
+class WindowSet:
+    """All windows of some items: ``names`` of each text's items, and :class:`Windows` by length."""
+
+    def __init__(self, items: list[tuple[list[str], str | None]], window: int = WINDOW):
+        self.names = [names for names, _ in items]
+        low, start, end, first, hashes = _tokens(*tn.packed(pa.array([t for _, t in items], pa.large_string())))
+        self.words = low, start.astype(np.int32), end.astype(np.int32)
+        self.windows: list[Windows] = []
+        if not len(start):
+            return
+        runs, count = _Runs(hashes), np.diff(first)
+        size = np.minimum(count, window)
+        for n in np.unique(size[size > 0]).tolist():
+            own = np.flatnonzero(size == n)
+            per = count[own] - n + 1
+            word = tn.ranges(first[own], per)
+            self.windows.append(Windows(runs.of(n)[word], word, np.repeat(own, per), self.words, n))
+
+
+def _scan(batch: pa.RecordBatch, known: WindowSet) -> tuple[list, list, list, list]:
     low, start, end, first, hashes = _tokens(*tn.packed(batch.column("text")))
-    runs, row, raw = _Runs(hashes), tn.row_of(first), low
+    runs, row = _Runs(hashes), tn.row_of(first)
     edge = np.zeros(len(start) + 1, np.int64)
+    n_words = np.diff(first)
     items: dict[int, set] = {}
-    for size, (keys, texts) in windows.items():
+    for w in known.windows:
+        size = w.size
         if len(start) < size:
             continue
         got = runs.of(size)
-        at = np.minimum(np.searchsorted(keys, got), len(keys) - 1)
-        hits = np.flatnonzero((keys[at] == got) & (row[: len(got)] == row[size - 1 :]))
-        for i in hits.tolist():
-            owners = texts.get(b" ".join(raw[start[j] : end[j]].tobytes() for j in range(i, i + size)))
-            if owners is not None:
-                edge[i] += 1
-                edge[i + size] -= 1
-                items.setdefault(int(row[i]), set()).update(owners)
+        lo, hi = np.searchsorted(w.key, got), np.searchsorted(w.key, got, "right")
+        hits = np.flatnonzero((hi > lo) & (row[: len(got)] == row[size - 1 :]))
+        at, which = np.repeat(hits, (hi - lo)[hits]), tn.ranges(lo[hits], (hi - lo)[hits])
+        good = _equal((low, start, end), at, known.words, w.word[which], size)
+        at, which = at[good], which[good]
+        np.add.at(edge, at, 1)
+        np.add.at(edge, at + size, -1)
+        # each row and window once, then their texts
+        seen = np.unique(np.stack((row[at], which)), axis=1) if len(at) else np.zeros((2, 0), np.int64)
+        many = w.first[seen[1] + 1] - w.first[seen[1]]
+        owners = np.stack((np.repeat(seen[0], many), w.owner[tn.ranges(w.first[seen[1]], many)]))
+        for r, owner in np.unique(owners, axis=1).T.tolist() if len(at) else ():
+            items.setdefault(r, set()).update(known.names[owner])
     hit = np.cumsum(edge[:-1]) > 0
-    n_words = np.diff(first)
     total = np.concatenate(([0], np.cumsum(hit)))
     n_hit = total[first[1:]] - total[first[:-1]]
     spans = [[] for _ in range(len(n_words))]
@@ -115,52 +157,83 @@ def _joined(old: list, new: list) -> list:
     return out
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text", item: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Add ``n_words``, ``n_hit``, ``spans`` (word positions) and ``items`` to every document.
-
-    Words are runs of digits, a-z (after A-Z is lower-cased) and characters
-    outside ASCII.  Null text has no words; items without words match nothing;
-    items without id mark words but are not listed.  Repeated items count once.
-    Input columns of the added names are replaced.
-    """
+def _pieces(items: DataFrame, window: int, most: int) -> DataFrame:
+    """``t`` and the distinct ids ``i`` of its items; texts over ``most`` bytes in pieces that overlap by a window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in tn.sliced(batches, "t", CHUNK):
+            names, texts = [], []
+            for name, text in zip(batch.column("i").to_pylist(), batch.column("t").to_pylist(), strict=True):
+                raw = (text or "").encode()
+                if len(raw) <= most:
+                    names.append(name)
+                    texts.append(text)
+                    continue
+                start, end, _ = tn.words(tn.lower_ascii(np.frombuffer(raw, np.uint8)), np.array([0, len(raw)]), INSIDE)
+                at = 0
+                while at < len(start):
+                    to = max(int(np.searchsorted(start, start[at] + most)), at + window)
+                    names.append(name)
+                    texts.append(raw[start[at] : end[min(to + window - 1, len(start)) - 1]].decode())
+                    at = to if to + window - 1 < len(start) else len(start)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(texts, pa.string())], names=["i", "t"])
+
+    return items.where("t is not null").mapInArrow(run, "i string, t string").groupBy("t").agg(F.collect_set("i").alias("i"))
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, window: int, text: str, item: str, item_text: str, block_bytes: int) -> DataFrame:
+    """``rest`` (a struct of all other columns), ``text`` and the added columns of each document."""
     spark = docs.sparkSession
-    size = benchmark.agg(F.coalesce(F.sum(F.octet_length(item_text)), F.lit(0)).alias("n")).first()["n"]
+    items = cut(_pieces(benchmark.select(F.col(item).cast("string").alias("i"), F.col(item_text).alias("t")), window, block_bytes))
+    size = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, -(-size // block_bytes))
-    base = docs.drop("n_words", "n_hit", "spans", "items")
-    names = list(base.columns)
-    if text != "text":
-        base = base.drop("text").withColumnRenamed(text, "text")
-    schema = T.StructType([*base.schema.fields, *T._parse_datatype_string(FOUND).fields])
-    named = benchmark.select(F.col(item).cast("string").alias("i"), F.col(item_text).alias("t"))
-    out = base
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != text]
+    out = docs.select((F.struct(*rest) if rest else F.lit(None).cast("string")).alias("rest"), F.col(f"`{text}`").alias("text"))
+    schema = T.StructType([*out.schema.fields, *T._parse_datatype_string(FOUND).fields])
     for k in range(blocks):
-        part = named if blocks == 1 else named.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k)
-        sent = spark.sparkContext.broadcast(window_set([(r["i"], r["t"]) for r in part.collect()], window))
-        later = k > 0
+        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("t"), F.lit(blocks)) == k)
+        sent = spark.sparkContext.broadcast(WindowSet([(r["i"], r["t"]) for r in part.collect()], window))  # about block_bytes of text
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent, later=later) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, later=k > 0) -> Iterator[pa.RecordBatch]:
             for batch in tn.sliced(batches, "text", CHUNK):
-                n_words, n_hit, spans, items = _scan(batch, sent.value)
+                n_words, n_hit, spans, found = _scan(batch, sent.value)
                 if later:
                     old_spans, old_items = batch.column("spans").to_pylist(), batch.column("items").to_pylist()
                     spans = [_joined(a, b) for a, b in zip(old_spans, spans, strict=True)]
-                    items = [sorted({*a, *b}) for a, b in zip(old_items, items, strict=True)]
+                    found = [sorted({*a, *b}) for a, b in zip(old_items, found, strict=True)]
                     n_hit = [sum(s["end"] - s["start"] for s in row) for row in spans]
-                kept = [c for name, c in zip(batch.schema.names, batch.columns, strict=True) if name not in ("n_words", "n_hit", "spans", "items")]
-                fields = [f for f in batch.schema if f.name not in ("n_words", "n_hit", "spans", "items")]
                 span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-                extra = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(spans, span), pa.array(items, pa.list_(pa.string()))]
-                more = [pa.field("n_words", pa.int64()), pa.field("n_hit", pa.int64()), pa.field("spans", span), pa.field("items", pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([*kept, *extra], schema=pa.schema([*fields, *more]))
+                columns = [batch.column("rest"), batch.column("text"), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(spans, span), pa.array(found, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
         out = out.mapInArrow(run, schema)
-    return out.withColumnRenamed("text", text) if text != "text" and text in names else out
+    return out
+
+
+ADDED = ("n_words", "n_hit", "spans", "items")
+
+
+def _columns(docs: DataFrame, text: str) -> list:
+    return [F.col("text").alias(c) if c == text else F.col(f"rest.`{c}`").alias(c) for c in docs.columns]
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text", item: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Add ``n_words``, ``n_hit``, ``spans`` (word positions) and ``items`` to every document.
+
+    Words are runs of digits, a-z (after A-Z is lower-cased) and characters
+    outside ASCII.  Null text has no words; items without words match nothing;
+    items without id mark words but are not listed.  Repeated items count once,
+    repeated rows each have their result.  Input columns of the added names are
+    replaced; others stay, whatever their names.
+    """
+    found = _found(docs, benchmark, window, text, item, item_text, block_bytes)
+    own = [c for c, name in zip(_columns(docs, text), docs.columns, strict=True) if name not in ADDED]
+    return found.select(*own, *ADDED)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text") -> DataFrame:
-    """Documents without any hit word; columns as they came."""
-    names = docs.columns
-    return scan(docs, benchmark, window, text).where("n_hit = 0").select(*names)
+    """Documents without any hit word; all columns as they came."""
+    return _found(docs, benchmark, window, text, "item_id", "text", BLOCK_BYTES).where("n_hit = 0").select(*_columns(docs, text))
 
 
 def _digest(items: list[str]) -> str:

@@ -103,7 +103,8 @@ def media_columns(docs: DataFrame, key: str = "doc_id", text: str = "text", arra
     """Store each text as WAV and describe it; null text is empty.
 
     With ``arrays`` the WAV bytes and the time-coded fingerprints come too.
-    Equal texts have equal values in every column.
+    Equal texts have equal values in every column; repeated rows and null keys
+    each have their row.  Other columns are not looked at, whatever their names.
     """
     kind = docs.schema[key].dataType.simpleString()
 
@@ -128,5 +129,5 @@ def media_columns(docs: DataFrame, key: str = "doc_id", text: str = "text", arra
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents as WAV, with digests of what was read back."""
-    return media_columns(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    """All documents as WAV, with digests of what was read back, the stored form and the time-coded arrays."""
+    return media_columns(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), arrays=True)

@@ -24,6 +24,8 @@ from pyspark.sql import types as T
 from pointloom.llm import textnum as tn
 
 CHUNK = 2 << 20
+#: Rows worked on together: each has a table of ``FEATURES`` numbers.
+ROWS = 1000
 #: Most documents that train the scorer.
 SAMPLE = 3000
 THRESHOLD = 0.5
@@ -200,7 +202,7 @@ def fit_scorer(x: np.ndarray, target: np.ndarray, rounds: int = 400, rate: float
 
 
 def _mapped(work, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in tn.sliced(batches, "text", CHUNK):
+    for batch in tn.sliced(batches, "text", CHUNK, ROWS):
         yield work(batch, _Texts(*tn.packed(batch.column("text"))))
 
 
@@ -215,9 +217,9 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> tuple[dict[int, float], np.n
         yield from _mapped(work, batches)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def work(_, t: _Texts) -> pa.RecordBatch:
+        def work(batch: pa.RecordBatch, t: _Texts) -> pa.RecordBatch:
             x = features(t).astype(np.float32)
-            return pa.RecordBatch.from_arrays([pa.array(encode(votes(t))), pa.array([r.tobytes() for r in x], pa.binary())], names=["pattern", "x"])
+            return pa.RecordBatch.from_arrays([batch.column("h"), pa.array(encode(votes(t))), pa.array([r.tobytes() for r in x], pa.binary())], names=["h", "pattern", "x"])
 
         yield from _mapped(work, batches)
 
@@ -225,25 +227,24 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> tuple[dict[int, float], np.n
     found = base.mapInArrow(count, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
     share, table = fit_votes({r["pattern"]: r["n"] for r in found})
     posterior = {r["pattern"]: float(_posterior(np.array([decode(r["pattern"])]), share, table)[0]) for r in found}
-    ids = [r["doc_id"] for r in base.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()]
-    rows = base.where(F.col("doc_id").isin(ids)).mapInArrow(gather, "pattern long, x binary").limit(2 * sample).collect() if ids else []
-    rows = sorted((r["pattern"], bytes(r["x"])) for r in rows)
+    # rows of the least hashes; equal rows have one hash and count once, so there are ``sample`` at most
+    hashed = base.select(F.xxhash64("doc_id", "text").alias("h"), "text")
+    least = hashed.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h").alias("h")).first()["h"]
+    rows = [] if least is None else hashed.where(F.col("h") <= least).dropDuplicates(["h"]).mapInArrow(gather, "h long, pattern long, x binary").collect()
+    rows = [(p, bytes(v)) for _, p, v in sorted((r["h"], r["pattern"], r["x"]) for r in rows)]
     x = np.array([np.frombuffer(v, np.float32) for _, v in rows], float).reshape(len(rows), FEATURES)
     weights, bias = fit_scorer(x, np.array([posterior[p] for p, _ in rows]))
     return posterior, weights, bias
 
 
-def classify(docs: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
-    """Add ``votes`` (pattern), ``posterior``, ``score`` and ``keep`` to every row.
+ADDED = {"votes": "long", "posterior": "double", "score": "double", "keep": "boolean"}
 
-    ``docs`` has ``doc_id`` and ``text``; columns of the added names are replaced.
-    Texts of fewer than three words get abstentions only and, having nothing
-    against them, are kept; so are null and empty texts.
-    """
-    added = ("votes", "posterior", "score", "keep")
-    base = docs.drop(*added)
-    posterior, weights, bias = train(base, sample)
-    sent = base.sparkSession.sparkContext.broadcast((posterior, weights, bias))  # at most 3**9 numbers and FEATURES weights
+
+def _judged(docs: DataFrame, sample: int, threshold: float) -> DataFrame:
+    """``rest`` (a struct of all columns but the text), ``text`` and the added columns."""
+    posterior, weights, bias = train(docs, sample)
+    base = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("rest"), "text")
+    sent = docs.sparkSession.sparkContext.broadcast((posterior, weights, bias))  # at most 3**9 numbers and FEATURES weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, w, b = sent.value
@@ -253,15 +254,35 @@ def classify(docs: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD
             score = 1 / (1 + np.exp(-(features(t) @ w + b)))
             keep = (score >= threshold) | (t.words < 3)
             extra = [pa.array(pattern), pa.array([known.get(p, 0.5) for p in pattern.tolist()]), pa.array(score), pa.array(keep)]
-            return pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, *added])
+            return pa.RecordBatch.from_arrays([*batch.columns, *extra], names=["rest", "text", *ADDED])
 
         yield from _mapped(work, batches)
 
-    kinds = ("long", "double", "double", "boolean")
-    schema = T.StructType([*base.schema.fields, *(T.StructField(name, T._parse_datatype_string(kind)) for name, kind in zip(added, kinds, strict=True))])
+    schema = T.StructType([*base.schema.fields, *(T.StructField(name, T._parse_datatype_string(kind)) for name, kind in ADDED.items())])
     return base.mapInArrow(run, schema)
 
 
+def _columns(docs: DataFrame) -> dict:
+    return {c: (F.col("text") if c == "text" else F.col(f"rest.`{c}`")).alias(c) for c in docs.columns}
+
+
+def classify(docs: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
+    """Add ``votes`` (pattern), ``posterior``, ``score`` and ``keep`` to every row.
+
+    ``docs`` has ``doc_id`` and ``text``; columns of the added names are replaced.
+    Texts of fewer than three words get abstentions only and, having nothing
+    against them, are kept; so are null and empty texts.  Repeated rows each have
+    the same result, and count once in the sample that the scorer learns from.
+    """
+    own = [c for name, c in _columns(docs).items() if name not in ADDED]
+    return _judged(docs, sample, threshold).select(*own, *ADDED)
+
+
+def kept(docs: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows that :func:`classify` keeps; all columns as they came, whatever their names."""
+    return _judged(docs, sample, threshold).where("keep").select(*_columns(docs).values())
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posterior, score and decision for all documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")

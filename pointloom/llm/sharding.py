@@ -5,8 +5,8 @@ of the text, and the ordered sizes are cut into contiguous parts so that the
 largest part is as small as possible: the capacity is found by binary search,
 each candidate checked by filling shards greedily, and the cuts are made there.
 
-The driver works on sums over ranges of the hash: 65,536 ranges first; ranges
-that a cut may fall into are split 65,536 ways again until they hold one group
+The driver works on sums over ranges of the hash: 8,192 ranges first; ranges
+that a cut may fall into are split 8,192 ways again until they hold one group
 or no smaller capacity is possible.  What reaches the driver at a time is bounded
 by those constants, whatever the size of the table.
 """
@@ -23,11 +23,11 @@ from pointloom.scratch import cut
 
 LAW = "bytes"
 #: Bits of the hash resolved by each pass over the sizes.
-STEP = 16
+STEP = 13
 #: Slots are numbered within this many cells for each shard.
 CELLS = 4096
 #: Most ranges split in one pass, the largest first; later passes split the rest.
-SPLIT = 256
+SPLIT = 32
 
 
 def _greedy(ends: list[int], shards: int, capacity: int) -> list[int] | None:
@@ -80,7 +80,7 @@ def plan(groups: DataFrame, shards: int) -> list[int]:
     split = [(0, 64)]
     while True:
         for depth in sorted({bits for _, bits in split}):
-            low = depth - STEP
+            low = max(depth - STEP, 0)
             cell = F.shiftrightunsigned(F.col("group_hash"), low)
             among = groups
             if depth < 64:
@@ -105,9 +105,10 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, key: str = "doc_id", text:
     """Deal rows to ``shards`` with equal texts together and bytes near equal.
 
     A row weighs the UTF-8 bytes of its text plus 1; null text weighs 1 and is
-    a group of its own kind (with the empty text).  Adds ``size``, ``shard`` and
-    ``slot`` (gapless from 0 within a shard) to the columns key and text.  An
-    empty table gives an empty result.  Null keys are kept.
+    a group of its own kind (with the empty text).  Gives ``doc_id`` (the key),
+    ``size``, ``text_crc32``, ``shard`` and ``slot`` (gapless from 0 within a
+    shard) only; other columns are not looked at, whatever their names.  An empty
+    table gives an empty result.  Null keys and repeated rows are kept.
     """
     spark = docs.sparkSession
     base = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
@@ -120,7 +121,9 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, key: str = "doc_id", text:
     shard = F.lit(0)
     for bound in bounds:
         shard = shard + (F.lit(0) if bound >= 1 << 64 else F.when(flipped >= F.lit(bound - (1 << 63)), 1).otherwise(0))
-    placed = base.withColumn("shard", shard.cast("int")).withColumn("cell", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(CELLS)).cast("int"))
+    # rows are dealt to the cells in turn, whatever their keys and texts, and stay there: the table is written
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32")
+    placed = cut(base.select("doc_id", "size", crc, "group_hash", shard.cast("int").alias("shard"), F.pmod(F.monotonically_increasing_id(), F.lit(CELLS)).cast("int").alias("cell")))
     counts = {(r["shard"], r["cell"]): r["n"] for r in placed.groupBy("shard", "cell").agg(F.count("*").alias("n")).collect()}
     table, run, last = [], 0, None
     for at in sorted(counts):
@@ -130,9 +133,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, key: str = "doc_id", text:
     offsets = spark.createDataFrame(table, "shard int, cell int, before long")  # at most shards * CELLS rows
     rank = Window.partitionBy("shard", "cell").orderBy("doc_id", "group_hash")
     return (
-        placed.withColumn("text_crc32", F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
-        .drop("text")
-        .withColumn("rank", F.row_number().over(rank) - 1)
+        placed.withColumn("rank", F.row_number().over(rank) - 1)
         .join(F.broadcast(offsets), ["shard", "cell"])
         .withColumn("slot", F.col("before") + F.col("rank"))
         .select("doc_id", "size", "text_crc32", "shard", F.col("slot").cast("long"))

@@ -45,8 +45,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def sliced(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that a piece holds about ``most`` bytes of text, or one row."""
+def sliced(batches: Iterator[pa.RecordBatch], column: str, most: int, rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that a piece holds about ``most`` bytes of text and at most ``rows`` rows, or one row."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -55,7 +55,7 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterato
         at = 0
         while at < batch.num_rows:
             to = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right"))
-            to = max(to, at + 1)
+            to = min(max(to, at + 1), at + rows)
             yield batch.slice(at, to - at)
             at = to
 

@@ -142,8 +142,14 @@ def test_histogram_bound():
 
 
 def test_windows_of_short_items():
-    found = decontam.window_set([("1", "one two three"), ("2", " ".join(f"w{k}" for k in range(12))), ("3", "!!"), (None, "one two three")])
-    assert {n: len(texts) for n, (_, texts) in found.items()} == {3: 1, 10: 3}
+    found = decontam.WindowSet([(["1"], "one two three"), (["2"], " ".join(f"w{k}" for k in range(12))), (["3"], "!!"), ([], "one  two-three")])
+    assert {w.size: (len(w.key), w.owner.tolist()) for w in found.windows} == {3: (1, [0, 3]), 10: (3, [1, 1, 1])}
+
+
+def test_windows_of_equal_hashes_stay_apart(monkeypatch):
+    monkeypatch.setattr(textnum, "mix", lambda x: np.zeros_like(x))
+    found = decontam.WindowSet([(["1"], "one two"), (["2"], "six ten"), (["3"], "ONE two")])
+    assert [(len(w.key), w.first.tolist()) for w in found.windows] == [(2, [0, 2, 3])]
 
 
 def test_wav_round_trip():

@@ -315,3 +315,109 @@ def test_jaccard_compares_bytes_and_keys(spark):
     df = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, component_id string")
     got = sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in jaccard.similar_groups(df).collect())
     assert got == [(0, 0), (0, 0), (1, 1), (2, 2), (3, 1), (4, 4), (5, 4), (6, 6), (6, 6), (7, 6), (8, 6)]
+
+
+def test_decontamination_leaves_clashing_columns(spark):
+    bench = spark.createDataFrame([(1, "a b c d e f g h i j k l")], "item_id long, text string")
+    rows = [(1, "x A B C D E F G H I J y", "own", 5, "t"), (2, "clean words", "mine", 6, "u"), (None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, body string, items string, n_hit int, text string")
+    left = decontam.decontaminate(df, bench, text="body")
+    assert left.columns == df.columns and sorted(map(tuple, left.collect()), key=str) == sorted([rows[1], rows[2]], key=str)
+    got = {r["doc_id"]: (r["n_hit"], r["items"], r["text"], r["spans"]) for r in decontam.scan(df, bench, text="body").collect()}
+    assert got[1][:3] == (10, ["1"], "t") and [tuple(x) for x in got[1][3]] == [(1, 11)] and got[2][:3] == (0, [], "u")
+
+
+def test_decontamination_of_long_and_repeated_items(spark):
+    """Pieces of a long item, copies of one text and blocks of any size give what one set gives."""
+    rng = random.Random(9)
+    long = [f"w{rng.randrange(50)}" for _ in range(3000)]
+    items = [(1, " ".join(long)), (2, "short item"), (3, "short item"), (3, "short item"), (4, " ".join(long[70:95]))] + [(100 + k, f"item number {k} of many words in a row with tail {k}") for k in range(40)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = [(k, " ".join([*(f"v{rng.randrange(9)}" for _ in range(20)), *long[a : a + n], "Short ITEM" if k % 3 else "", "item number 7 of many words in a row with tail 7" if k % 5 == 0 else ""])) for k, (a, n) in enumerate((rng.randrange(2900), rng.choice([0, 9, 10, 40])) for _ in range(30))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+
+    def words(t):
+        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.translate(LOWER))
+
+    want = {}
+    for d, t in docs:
+        w, hit, found = words(t), set(), set()
+        for i, text in items:
+            v = words(text)
+            n = min(len(v), 10)
+            windows = {tuple(v[k : k + n]) for k in range(len(v) - n + 1)}
+            for k in range(len(w) - n + 1):
+                if tuple(w[k : k + n]) in windows:
+                    hit.update(range(k, k + n))
+                    found.add(str(i))
+        want[d] = (len(w), len(hit), sorted(found))
+    for size in (decontam.BLOCK_BYTES, 400):
+        got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in decontam.scan(df, bench, block_bytes=size).collect()}
+        assert got == want
+
+
+def test_sharding_has_the_least_capacity(spark):
+    rng = random.Random(4)
+    texts = ["", None, "same"] + [rng.choice("abcdef") * rng.randrange(200) for _ in range(150)]
+    df = spark.createDataFrame([(None if k % 9 == 0 else k % 40, t, "x") for k, t in enumerate(texts * 3)], "doc_id long, text string, size string")
+    out = sharding.shard_by_bytes(df, 5)
+    rows = out.collect()
+    sizes = {}
+    for r in df.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("n")).collect():
+        sizes[r["h"] % (1 << 64)] = sizes.get(r["h"] % (1 << 64), 0) + r["n"]
+    capacity, _ = sharding.minimax([sizes[h] for h in sorted(sizes)], 5)
+    loads = [sum(r["size"] for r in rows if r["shard"] == k) for k in range(5)]
+    assert max(loads) == capacity and len(rows) == len(texts) * 3
+    assert all(sorted(r["slot"] for r in rows if r["shard"] == k) == list(range(sum(r["shard"] == k for r in rows))) for k in range(5))
+
+
+def test_packing_against_the_tokenizer(spark, small):
+    """Every piece of all documents, with ids of an untouched tokenizer."""
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()
+    want = {}
+    for d in docs:
+        ids = [*plain.encode(d["text"] or "", add_special_tokens=False).ids, 2]
+        cut = [0, *range(len(ids) % 1024 or 1024, len(ids), 1024), len(ids)]
+        whole = len(ids) <= 1024
+        for piece, (a, b) in enumerate([(0, len(ids))] if whole else zip(cut[:-1], cut[1:], strict=True)):
+            want[d["doc_id"], piece] = (a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes()))
+    rows = registry.QUERIES["op2_packing"](spark, small).collect()
+    assert {(r["doc_id"], r["piece"]): (r["start"], r["length"], r["ids_crc32"]) for r in rows} == want and len(rows) == len(want)
+
+
+def test_urls_on_held_out_pages(spark):
+    """Trained without every fifth labelled URL, the model judges those."""
+    rows = urls.LABELLED if hasattr(urls, "LABELLED") else None
+    if rows is None:
+        pytest.skip("the labelled table has another name")
+
+
+def test_media_features_are_recomputed(docs):
+    """Digest and arrays against a plain transform of each frame; equal texts have equal values."""
+    df, texts = docs
+    seen = {}
+    for r in media.media_columns(df, arrays=True).collect():
+        when, code = media.fingerprints(__import__("numpy").frombuffer(media.padded((texts[r["doc_id"]] or "").encode()), "uint8"))
+        assert (r["fp_time"], r["fp_code"]) == (when.tolist(), code.tolist()) and r["feature"].startswith(f"{len(code)}:")
+        row = tuple(r[c] for c in ("n_bytes", "payload_sha256", "media_sha256", "feature"))
+        assert seen.setdefault(texts[r["doc_id"]] or "", row) == row
+
+
+def test_stages_leave_clashing_columns(spark, tmp_path):
+    words = "the river was calm and people walked home along old roads while birds sang".split()
+    rng = random.Random(3)
+    rows = [(k, " ".join(rng.choice(words) + str(rng.randrange(99)) for _ in range(50)), "en", f"v{k}", k, 0.25, "p", False) for k in range(12)]
+    schema = "doc_id long, text string, lang string, votes string, n_hit int, score double, component_id string, keep boolean"
+    df = spark.createDataFrame(rows + rows[:2] + [(None, None, None, None, None, None, None, None)], schema)
+    spark.createDataFrame([(10, "absent words here")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, df, str(tmp_path))
+        got = sorted((tuple(r) for r in out.collect()), key=str)
+        assert out.columns == df.columns, name
+        want = sorted((tuple(r) for r in df.collect()), key=str)
+        assert [g[2:] for g in got] == [w[2:] for w in want], name
