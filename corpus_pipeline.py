@@ -27,7 +27,7 @@ def _begin(spark: SparkSession, stage: str):
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps."""
     with _begin(spark, "quality"):
-        return quality.classify(docs).where("keep").select(*docs.columns)
+        return quality.kept(docs)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +38,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     with _begin(spark, "near_duplicates"):
         groups = jaccard.similar_groups(docs)
         losers = groups.where("doc_id <> component_id").select("doc_id").distinct()
-        return docs.join(losers, "doc_id", "left_anti").select(*docs.columns)
+        return docs.join(losers, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
