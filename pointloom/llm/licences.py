@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pointloom.llm import textnum as tn
 
 CHUNK = 2 << 20
-#: Least calibrated probability, and least share of a template's words in order.
+#: Least calibrated probability, and least share of a template's pairs of following words.
 SURE, ALIKE = 0.6, 0.7
 #: Words that a window may have besides a template's, and words around it that its class must agree with.
 SPARE, AROUND = 6, 2
@@ -53,6 +53,14 @@ TEMPLATES = {
     "all-rights-reserved": ["All rights reserved.", "Copyright 2020. All rights reserved.", "No part of this publication may be reproduced without prior written permission"],
 }
 
+#: Short identifiers of the families; a notice of each is a template too.
+IDENTIFIERS = {
+    "mit": "MIT", "apache-2.0": "Apache-2.0", "gpl-3.0": "GPL-3.0-or-later", "gpl-2.0": "GPL-2.0-only", "lgpl": "LGPL-2.1-or-later", "bsd": "BSD-3-Clause",
+    "mpl-2.0": "MPL-2.0", "cc-by-nc": "CC-BY-NC-4.0", "cc-by-sa": "CC-BY-SA-4.0", "cc-by": "CC-BY-4.0", "cc0": "CC0-1.0", "isc": "ISC",
+}
+for _family, _name in IDENTIFIERS.items():
+    TEMPLATES[_family].append(f"SPDX-License-Identifier: {_name}")
+
 #: Sentences with words of notices that grant nothing.
 PLAIN = [
     "The driver renewed the license of the car last week.",
@@ -240,7 +248,8 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", sure: float =
 
     Paragraphs are numbered from 0 by line; a wrapped notice has the number of its
     first line.  A paragraph has one entry for each of its families.  Null and empty
-    texts have none.
+    texts have none; repeated rows and null keys each have their row.  Other columns
+    are not looked at, whatever their names.
     """
     trained = model()
     sent = docs.sparkSession.sparkContext.broadcast(trained)  # some thousand n-grams
