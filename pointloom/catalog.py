@@ -433,6 +433,15 @@ def _hull(s, d):
 
 query("a9_convex_volume", None)(_hull)
 query("g4_f22_shrunken_hull", None)(lambda s, d: geometry.inside_shrunken(events(s, d), 2.0))
+_tets = " + ".join(f"(CASE {' + '.join(f'CAST(c{k} >= 11.5 AS INT)' for k in tet)} WHEN 0 THEN 0 WHEN 4 THEN 0 WHEN 2 THEN 2 ELSE 1 END)" for tet in geometry.TETRAHEDRA)
+_cube = ", ".join(f"coalesce(max(v) FILTER (WHERE k = {k}), 0) AS c{k}" for k in range(8))
+query(
+    "g6_triangles_by_cell",
+    f"{WITH_E}, {GRID}, s AS (SELECT CAST(ix - k % 2 AS INT) AS ix, CAST(iy - k // 2 % 2 AS INT) AS iy, CAST(iz - k // 4 AS INT) AS iz, k, v FROM g, range(8) t(k)), c AS (SELECT ix, iy, iz, {_cube} FROM s WHERE ix BETWEEN 0 AND 8 AND iy BETWEEN 0 AND 8 AND iz BETWEEN 0 AND 8 GROUP BY 1, 2, 3), n AS (SELECT ix, iy, iz, CAST({_tets} AS BIGINT) AS n FROM c) SELECT * FROM n WHERE n > 0",
+)(
+    # no value is at the level, so a triangle's centre lies within its cell
+    lambda s, d: geometry.isosurface(grid(s, d), SHAPE, 11.5).select(*(F.floor(sum((F.col(f"{p}{a}") for p in "bc"), F.col(f"a{a}")) / 3).cast("int").alias(f"i{a}") for a in "xyz")).groupBy("ix", "iy", "iz").agg(F.count("*").alias("n"))
+)
 query("g6_isosurface", None)(lambda s, d: geometry.isosurface(grid(s, d), SHAPE, 12.0))
 query("g7_a45_proximity", None)(
     lambda s, d: geometry.proximity_histogram(geometry.surface_distance(ranging.ranged(events(s, d), TABLE), cut(bins.soft_voxels(events(s, d), LOW, 5.0)), SHAPE, 12.0, LOW, 5.0, 6.0), 1.0, F.col("ion") == "A")

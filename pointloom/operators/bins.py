@@ -55,14 +55,14 @@ def normalise(hist: DataFrame, mode: str = "max", low: float | None = None, high
     return hist.join(F.broadcast(one)).withColumn("y", F.coalesce(F.col("n") / F.expr("nullif(_t, 0)"), F.lit(0.0))).drop("_t")
 
 
-def moving_deviation(plot: DataFrame, n: int = 4, order: str = "bin", y: str = "n") -> DataFrame:
+def moving_deviation(plot: DataFrame, n: int = 4, order: str = "bin", y: str = "n", by: tuple[str, ...] = ()) -> DataFrame:
     """Add ``mean`` and ``err``: over a window of ``n`` from half of it back, edge rows repeated.
 
     The rows repeated past an edge are counted with weights, so one window frame
-    does.  Plots are small (their bins are bounded).
+    does.  Series are told apart by the columns ``by``; one is small (its bins are bounded).
     """
-    w = Window.orderBy(order)
-    last = F.count("*").over(Window.partitionBy()) - 1
+    w = Window.partitionBy(*by).orderBy(order)
+    last = F.count("*").over(Window.partitionBy(*by)) - 1
     out = plot.withColumn("_i", F.row_number().over(w) - 1).withColumn("_last", last)
     terms = []
     for k in range(n):

@@ -215,3 +215,26 @@ def scan(spark: SparkSession, path: str, kind: str | None = None, limit: int | N
     if label is not None:
         own = own.withColumn("label", F.lit(label))
     return own if upstream is None else upstream.unionByName(own, allowMissingColumns=True)
+
+
+def scan_results(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """What a program left in a folder, by file name: points of each non-empty ``.pos`` file, pairs of ``.xy`` files.
+
+    A file of pairs gives ``series`` (the number of its column), ``x`` (its first
+    column) and ``y``; lines that are not all numbers are its header.
+    """
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(folder)
+    store = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out: dict[str, DataFrame] = {}
+    for status in store.listStatus(where) if store.exists(where) else ():
+        name, path = status.getPath().getName(), status.getPath().toString()
+        if status.isDirectory() or not status.getLen():
+            continue
+        if name.lower().endswith(".pos"):
+            out[name] = read_pos(spark, path)
+        elif name.lower().endswith(".xy"):
+            parts = spark.read.text(path).select(F.filter(F.split("value", "[\t ,]+"), lambda p: p != "").alias("p"))
+            numbers = parts.select(F.transform("p", lambda p: p.try_cast("double")).alias("p")).where("size(p) > 1 and not exists(p, v -> v is null)")
+            out[name] = numbers.select(F.col("p")[0].alias("x"), F.posexplode(F.slice("p", 2, F.size("p"))).alias("series", "y")).select("series", "x", "y")
+    return out

@@ -385,3 +385,44 @@ def test_scalars(spark):
     assert tuple(r["one"]) == (10, 255, 16, 255) and tuple(r["two"]) == (0, 0, 0, 128) and r["no"] is None and tuple(r["mid"]) == (5, 128, 8, 192)
     assert r["parts"] == ["a", "b", " c"] and (r["later"], r["same"]) == (1, 0) and (r["name"], r["folder"], r["ext"]) == ("y.tar.gz", "/x", "gz")
     assert r["flag"] is True and r["none"] is None and r["xml"] == "&lt;a &amp; &apos;b&apos;&gt;" and r["back"] == "<a & 'b'>" and (r["p"], r["byte"]) == ("007", 128)
+
+
+def test_frames_and_selections_are_written(spark, small, tmp_path):
+    from pointloom.plans import export
+
+    node = spec.load('{"op": "events", "children": [{"op": "crop_value", "params": {"low": 0, "high": 1}, "children": [{"op": "spectrum", "params": {"low": 0, "high": 10, "width": 1}}]}]}')
+    high = spec.frames([(0, 2.0), (4, 6.0)])
+    places = export.export_frames(spark, small, node, [("/events/0:crop_value", "high", high)], [0, 2], f"file://{tmp_path}/out")
+    total = lambda frame: sum(r["n"] for p in places[frame].values() for r in spark.read.parquet(p).collect())
+    events = spark.read.parquet(f"{small}/events.parquet")
+    for frame, most in ((0, 2.0), (2, 4.0)):
+        assert total(frame) == events.where((F.col("value") / 5 >= 0) & (F.col("value") / 5 < most)).count()
+    tables = spec.run(spark, small, node)
+    with pytest.raises(ValueError, match="no such"):
+        export.export(tables, f"file://{tmp_path}/other", selected=["nothing"])
+    assert len(export.export(tables, f"file://{tmp_path}/other", "plot")) == 1
+
+
+def test_results_of_a_program_and_watched_files(spark, tmp_path):
+    sinks.write_pos(table(spark, [(1, 2, 3, 4)]), f"file://{tmp_path}/one.pos")
+    (tmp_path / "none.pos").write_bytes(b"")
+    (tmp_path / "p.xy").write_text("x a b\n1 2 3\n2 4 5\n")
+    got = points_files.scan_results(spark, f"file://{tmp_path}")
+    assert sorted(got) == ["one.pos", "p.xy"] and got["one.pos"].count() == 1
+    assert sorted(map(tuple, got["p.xy"].collect())) == [(0, 1.0, 2.0), (0, 2.0, 4.0), (1, 1.0, 3.0), (1, 2.0, 5.0)]
+    assert points_files.scan_results(spark, f"file://{tmp_path}/absent") == {}
+    file = monitor.Watched(spark, f"file://{tmp_path}/w.txt")
+    assert [file.current()[1], file.current()[1]] == [True, False] and file.current()[0].count() == 0
+    (tmp_path / "w.txt").write_text("1 2 3 4\n2 3 4 5\n")
+    df, fresh = file.current()
+    assert fresh and df.count() == 2 and not file.current()[1]
+    (tmp_path / "w.txt").unlink()
+    assert file.current()[0].count() == 0
+
+
+def test_deviation_of_several_series(spark):
+    plot = spark.createDataFrame([(s, b, (b + 1) * (10 if s == "p" else 1)) for s in "pq" for b in range(6)], "series string, bin int, n long")
+    both = {(r["series"], r["bin"]): (r["mean"], r["err"]) for r in bins.moving_deviation(plot, by=("series",)).collect()}
+    for s in "pq":
+        alone = bins.moving_deviation(plot.where(F.col("series") == s)).collect()
+        assert {(s, r["bin"]): (r["mean"], r["err"]) for r in alone} == {k: v for k, v in both.items() if k[0] == s}
