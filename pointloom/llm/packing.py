@@ -182,11 +182,13 @@ def places(patterns: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.nd
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to pieces (doc_id, piece, start, length, ids_crc32).
 
-    Lengths must be from 1 to ``capacity``.  Repeated rows are packed as often as
-    they come; an empty table gives an empty result.
+    Lengths must be from 1 to ``capacity``.  Repeated rows and rows of a null key are
+    packed as often as they come; an empty table gives an empty result.  Other columns
+    are not looked at, whatever their names.
     """
-    chunk = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(CHUNKS)).cast("int")
-    # the table is read again for counts and ranks; hashing must not change between the two
+    # rows are dealt to chunks in turn, so that no key or copy gathers; written, as counts and ranks must see the same
+    chunk = F.pmod(F.monotonically_increasing_id(), F.lit(CHUNKS)).cast("int")
+    pieces = pieces.select("doc_id", "piece", "start", "length", "ids_crc32")
     pieces = cut(pieces.withColumn("chunk", chunk))
     counts = pieces.groupBy("length", "chunk").agg(F.count("*").alias("n"))
     before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))

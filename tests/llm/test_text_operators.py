@@ -461,3 +461,14 @@ def test_stages_leave_clashing_columns(spark, tmp_path):
         assert out.columns == df.columns, name
         want = sorted((tuple(r) for r in df.collect()), key=str)
         assert [g[2:] for g in got] == [w[2:] for w in want], name
+
+
+def test_packing_of_rows_without_key(spark):
+    """Copies without a key, of one length, fill sequences without gaps."""
+    df = spark.range(5000).select(F.lit(None).cast("long").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("same words here")).otherwise(F.lit(None)).alias("text"), F.lit("x").alias("rank"))
+    rows = packing.pack(packing.tokenize(df, 16), 16).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert len(rows) == 5000 and all([a for a, _ in sorted(v)] == [sum(n for _, n in sorted(v)[:k]) for k in range(len(v))] and sum(n for _, n in v) <= 16 for v in by.values())
+    assert len(by) <= -(-sum(r["length"] for r in rows) // 16) * 1.1 + 1
