@@ -476,18 +476,19 @@ def components(links: DataFrame) -> DataFrame:
     round is written to the shared folder.
     """
     edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    while True:  # each round halves the links' depth
+    state = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    before = state(edges)
+    while before[0]:  # each round halves the links' depth
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        following = cut(small)
-        measure = lambda e: e.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)).alias("h")).first()
-        done = measure(edges) == measure(following)
-        edges = following
-        if done:
+        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        edges = cut(small.where("u <> v").distinct())
+        after = state(edges)
+        if after == before:
             break
+        before = after
     return edges.select(F.col("u").alias("doc_id"), F.col("v").alias("component_id")).unionByName(edges.select(F.col("v").alias("doc_id"), F.col("v").alias("component_id"))).distinct()
 
 
@@ -590,19 +591,19 @@ def linked_rows(sets: Sets, rows: slice, a: int, within: bool, c: np.ndarray) ->
 
 
 def _compare(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Links among the sets of whole pairs of blocks."""
+    """Components that a link among the sets of whole pairs of blocks joins."""
     keys = [batch.column(k).to_numpy() for k in ("job", "i", "j")]
     fresh = np.ones(batch.num_rows, bool)
     fresh[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
     cuts = np.append(np.flatnonzero(fresh), batch.num_rows)
     sets = Sets(*tn.packed(batch.column("text")))
-    side, doc, c = (batch.column(k).to_numpy() for k in ("side", "doc_id", "c"))
+    side, c = (batch.column(k).to_numpy() for k in ("side", "c"))
     links = []
     for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
         a = int(np.searchsorted(side[lo:hi], 1))
         within = bool(keys[1][lo] == keys[2][lo])
         if a and (within or a < hi - lo):
-            links += [(doc[lo + p], doc[lo + q]) for p, q in linked_rows(sets, slice(lo, hi), a, within, c[lo:hi])]
+            links += [(c[lo + p], c[lo + q]) for p, q in linked_rows(sets, slice(lo, hi), a, within, c[lo:hi])]
     return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
@@ -634,7 +635,7 @@ def _whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def joining_links(members: DataFrame, classes: DataFrame, groups: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links (a, b) that join different components whose sets share a frequent signature.
+    """Pairs (a, b) of components that a link joins between sets that share a frequent signature.
 
     Sets meet in their jobs in blocks, where their overlaps are counted at once;
     only links that join components leave a block, so a group gives at most as
@@ -643,7 +644,7 @@ def joining_links(members: DataFrame, classes: DataFrame, groups: DataFrame, doc
     named = classes.select(F.col("print_a").alias("a"), "doc_id", "n").join(groups, "doc_id", "left").withColumn("c", F.coalesce("component_id", "doc_id")).drop("component_id")
     named = cut(named.join(named.groupBy("c").agg(F.count("*").alias("size")), "c"))
     places = _blocks(cut(_met(members, named)))
-    texts = places.join(docs.select("doc_id", "text"), "doc_id").select("job", "i", "j", "side", "doc_id", "c", "text")
+    texts = places.join(docs.select("doc_id", "text"), "doc_id").select("job", "i", "j", "side", "c", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from map(_compare, _whole_keys(batches))
@@ -674,11 +675,12 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         links = links.unionByName(known.join(repeated, "doc_id").join(of, name).select(F.col("doc_id").alias("a"), "b"))
     links = cut(links)
     groups = components(links)
+    named = classes.join(groups, "doc_id", "left").select(*(F.col(c).alias(f"_{c}") for c in name), F.coalesce("component_id", "doc_id").alias("component_id"))
     if met.where("kind = 1").limit(1).count():
         rest = cut(joining_links(met.where("kind = 1"), classes, groups, base))
-        if rest.limit(1).count():
-            groups = components(links.unionByName(rest))
-    named = classes.join(groups, "doc_id", "left").select(*(F.col(c).alias(f"_{c}") for c in name), F.coalesce("component_id", "doc_id").alias("component_id"))
+        if rest.limit(1).count():  # components of components, of which there are few
+            wider = components(rest).select(F.col("doc_id").alias("component_id"), F.col("component_id").alias("_wider"))
+            named = named.join(wider, "component_id", "left").withColumn("component_id", F.coalesce("_wider", "component_id")).drop("_wider")
     same = [F.col(c) == F.col(f"_{c}") for c in name]
     out = sets.join(named, [*same, F.col("n") > 0, F.col("doc_id").isNotNull()], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
