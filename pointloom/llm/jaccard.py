@@ -63,6 +63,8 @@ BUCKET = 1_500_000
 HELD, LEAST = 200_000, 100
 #: Tokens of at most so many sets are counted by pairs, others by products of so many columns at once.
 LIGHT, TILE = 16, 2048
+#: Shingles compared byte by byte at a time.
+COMPARED = 1 << 15
 #: Bytes that separate words.
 INSIDE = np.ones(256, bool)
 INSIDE[[32, 9, 10, 11, 12, 13]] = False
@@ -162,6 +164,13 @@ class Sets:
         x, y, pair = entry[met], entry[met + 1], pair[met]
         good = self.width[x] == self.width[y]
         x, y, pair = x[good], y[good], pair[good]
+        wrong = np.zeros(len(x), bool)
+        for at in range(0, len(x), COMPARED):  # places of all bytes are many times the text, so some at a time
+            wrong[at : at + COMPARED] = self._differ(x[at : at + COMPARED], y[at : at + COMPARED])
+        return np.bincount(pair[~wrong], minlength=len(i))
+
+    def _differ(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Whether shingles ``x`` and ``y`` of as many words differ in some byte of a word."""
         width = self.width[x]
         a, b, of = tn.ranges(self.word[x], width), tn.ranges(self.word[y], width), np.repeat(np.arange(len(x)), width)
         size = self.end[a] - self.start[a]
@@ -171,7 +180,7 @@ class Sets:
         a, b, of, size = a[own], b[own], of[own], size[own]
         apart = self.low[tn.ranges(self.start[a], size)] != self.low[tn.ranges(self.start[b], size)]
         wrong[np.repeat(of, size)[apart]] = True
-        return np.bincount(pair[~wrong], minlength=len(i))
+        return wrong
 
 
 def token_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -458,8 +467,8 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     two = one.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("other")), "b").select("a", "b", "text", "other")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for half in tn.sliced(batches, "text", CHUNK):
-            for batch in tn.sliced(iter([half]), "other", CHUNK):
+        for half in tn.sliced(batches, "text", CHUNK // 2):
+            for batch in tn.sliced(iter([half]), "other", CHUNK // 2):
                 both = pa.concat_arrays([batch.column(c).cast(pa.large_string()) for c in ("text", "other")])
                 sets, rows = Sets(*tn.packed(both)), np.arange(batch.num_rows)
                 other = rows + batch.num_rows
