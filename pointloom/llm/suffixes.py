@@ -41,7 +41,7 @@ from pointloom.scratch import cut
 
 LENGTH = 100
 GRAM = 24
-CHUNK = 1 << 20
+CHUNK = 2 << 20
 #: Positions are packed into this many bits beside the gram's hash.
 PLACE = 24
 #: Longer texts are worked on in pieces of this many bytes.
