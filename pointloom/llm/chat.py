@@ -148,7 +148,7 @@ def parse(formatted: Column) -> Column:
 
 
 def format_turns(df: DataFrame, turns: str = "turns", learn: str = "assistant") -> DataFrame:
-    """Add ``formatted`` and ``loss_spans``; null turns give an empty text without spans."""
+    """Add ``formatted`` and ``loss_spans``, or replace them; null turns give an empty text without spans."""
     known = F.coalesce(F.col(turns), F.array().cast(TURNS))
     return df.withColumn("formatted", render(known)).withColumn("loss_spans", loss_spans(known, learn))
 
@@ -159,12 +159,15 @@ def format_records(df: DataFrame, record: str = "record", mappings: list[Mapping
     Adds ``fingerprint``, ``turns`` (null where no mapping has the fingerprint or
     the JSON is malformed or null), ``formatted`` and ``loss_spans``.  A record of
     more than ``LONG`` characters that the parser refuses, for its size or as
-    malformed, is an error: it must not pass for an empty conversation.
+    malformed, is an error: it must not pass for an empty conversation.  Input
+    columns of the added names are replaced; others stay, whatever their names.
+    Repeated rows each have their result.
     """
+    parsed = "_" * (1 + max(map(len, df.columns)))  # longer than any column's name
     value = F.when(F.length(record) > LONG, F.parse_json(F.col(record))).otherwise(F.try_parse_json(F.col(record)))
-    out = df.withColumn("_v", value).withColumn("fingerprint", fingerprint(field_paths(F.col("_v"))))
-    out = out.withColumn("turns", turns_of(F.col("_v"), F.col("fingerprint"), mappings))
-    return format_turns(out.drop("_v"), "turns", learn)
+    out = df.withColumn(parsed, value).withColumn("fingerprint", fingerprint(field_paths(F.col(parsed))))
+    out = out.withColumn("turns", turns_of(F.col(parsed), F.col("fingerprint"), mappings))
+    return format_turns(out.drop(parsed), "turns", learn)
 
 
 def turns_of_messages(messages: Column, fields: tuple[str, ...], mappings: list[Mapping] | None = None) -> tuple[Column, Column]:

@@ -7,7 +7,7 @@ Pieces above one third of the capacity are matched greedily, at most two to a
 sequence: the longest with the longest that still fits.  Smaller ones, longest
 first, go where the remaining gap is smallest.  A piece then finds its place by
 its rank among the pieces of its length; ranks come from counts by (length,
-chunk of the key hash), so no length gathers in one task.
+chunk), and rows are dealt to chunks in turn, so no length gathers in one task.
 """
 
 from __future__ import annotations
@@ -77,7 +77,11 @@ def pieces_of(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def tokenize(docs: DataFrame, capacity: int = CAPACITY, end: int = END, vocabulary: str = VOCABULARY, ranks: str | None = RANKS) -> DataFrame:
-    """Pieces of every document (``doc_id``, ``text``); null text is empty."""
+    """Pieces of every document (``doc_id``, ``text``); null text is empty.
+
+    Repeated rows and null keys each have their pieces, an empty table has none.
+    Other columns are not looked at, whatever their names.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = int(end).to_bytes(4, "little")

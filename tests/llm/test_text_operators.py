@@ -233,6 +233,31 @@ def test_chat_layouts(spark):
     assert got[5] == got[6] == got[7] == []
 
 
+def test_chat_records_leave_clashing_columns(spark):
+    """Columns of other names stay, those of the added names are replaced; repeated, null and no rows."""
+    record = '{"prompt":"p","response":"r"}'
+    rows = [(1, record, "v", "w", "f"), (1, record, "v", "w", "f"), (None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "id int, record string, _v string, __v string, turns string")
+    out = chat.format_records(df)
+    assert out.columns == ["id", "record", "_v", "__v", "turns", "fingerprint", "formatted", "loss_spans"]
+    got = sorted((r["id"] or 0, r["_v"], r["__v"], [t["text"] for t in r["turns"] or ()], r["formatted"], len(r["loss_spans"])) for r in out.collect())
+    text = "<|role|>user\np<|end|>\n<|role|>assistant\nr<|end|>\n"
+    assert got == [(0, None, None, [], "", 0)] + [(1, "v", "w", ["p", "r"], text, 1)] * 2
+    assert chat.format_records(df.where("id > 9")).count() == 0
+
+
+def test_empty_tables(spark, docs, tmp_path):
+    """Media columns, URLs, chats and every stage of the pipeline give an empty result for an empty table."""
+    none = empty(docs[0])
+    assert media.media_columns(none, arrays=True).count() == 0
+    assert urls.filter_urls(spark.createDataFrame([], "page_id long, url string"), urls.train(spark)).count() == 0
+    assert chat.format_rows(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+    spark.createDataFrame([(1, "absent words here")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, none, str(tmp_path))
+        assert out.count() == 0 and (name == "packing" or out.columns == none.columns), name
+
+
 def test_chat_long_texts(spark, tmp_path):
     """Texts over the JSON parser's limit of 20 million characters come through whole, or fail."""
     long = F.concat(F.lit("<"), F.repeat(F.lit("a\\"), 10_050_000), F.lit("b"))
