@@ -3,19 +3,21 @@
 All go through :mod:`pointloom.operators.blocks`: counts, bins and nearest
 neighbours are made where the points of a cell meet, so pairs become rows only
 where pairs are the result.  Nearest neighbours come from a search whose radius
-doubles for the sources that found too few.
+doubles for the sources that found too few, and from trees where targets are far.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import and_
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pointloom.operators import blocks
+from pointloom.operators import blocks, far
 from pointloom.points import AXES, Vec, bounds
 from pointloom.scratch import cut
 
@@ -67,7 +69,8 @@ def knn_join(sources: DataFrame, targets: DataFrame, k: int, radius: float | Non
     """The ``k`` nearest targets of each source (fewer if there are fewer): ``rank`` from 1, ties by key.
 
     With ``beyond``, only targets farther than that count (a dead zone around
-    the source).  Rounds stop once the radius passes the diagonal of all bounds.
+    the source).  Rounds go on while they serve half of the sources left; those
+    that have no targets near get theirs by :mod:`pointloom.operators.far`.
     """
     schema = _pair_schema(sources, targets, False, source_columns, target_columns)
     sources, targets = blocks.sound(sources), blocks.sound(targets)
@@ -77,24 +80,34 @@ def knn_join(sources: DataFrame, targets: DataFrame, k: int, radius: float | Non
     r = radius or max(first_radius(targets, k), beyond or 0.0)
     whole = math.dist([min(p, q) for p, q in zip(a[0], b[0], strict=True)], [max(p, q) for p, q in zip(a[1], b[1], strict=True)]) * (1 + 1e-9) + 1e-9
     order = Window.partitionBy("s_point_id").orderBy("d2", "t_point_id")
-    left, done, all_of = sources, [], sources.count()
-    while True:
-        parts = blocks.meet(left, targets, r, blocks.nearest(k, schema), schema, False, False, source_columns, target_columns, beyond, bool(done))
+    done: list[DataFrame] = []
+    # beyond the targets' bounds grown by the radius, a search within it finds nothing
+    grown = [(c, low - r * (1 + 1e-6), high + r * (1 + 1e-6)) for c, low, high in zip(AXES, *b, strict=True)]
+    inside = reduce(and_, (F.col(c).between(F.lit(float(low)), F.lit(float(high))) for c, low, high in grown))
+    seen = sources.agg(F.count("*").alias("n"), F.count(F.when(inside, 1)).alias("i")).first()
+    left, rest = sources, seen["n"]
+    near = sources.where(inside) if seen["i"] < rest else sources
+    while seen["i"]:
+        parts = blocks.meet(near if not done else left, targets, r, blocks.nearest(k, schema), schema, False, False, source_columns, target_columns, beyond, bool(done))
         # blocks give k rows of a source each; only the k least of these count
         best = parts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         if r > whole:
             done.append(best)
+            rest = 0
             break
         best = cut(best)
         # the k-th lies within the radius, so nothing nearer was missed
         full = best.where(F.col("rank") == k).select(F.col("s_point_id").alias("point_id"))
         done.append(best.join(full.withColumnRenamed("point_id", "s_point_id"), "s_point_id", "left_semi").select(*best.columns) if k > 1 else best)
-        left = cut(left.join(full, "point_id", "left_anti").select(*sources.columns))
+        left, before = cut(left.join(full, "point_id", "left_anti").select(*sources.columns)), rest
         rest = left.count()
-        if not rest:
+        # a round that found less than half shows that targets are far
+        if not rest or 2 * rest > before:
             break
-        # few that are left lie where targets are rare, so a larger step finds few more
-        r *= 2 if 4 * rest > all_of else 4
+        r *= 2
+    if rest:
+        found, parted = far.nearest(left, targets, rest, k, schema, source_columns, target_columns, beyond)
+        done.append(found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k) if parted else found)
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
