@@ -24,10 +24,14 @@ from pyspark.sql import types as T
 from pointloom.points import AXES
 from pointloom.scratch import cut
 
-#: A cell's edge in radii.
-EDGE = 4
-#: Points of one side that meet in one place at most, about.
-BLOCK = 8192
+#: A cell's edge in radii; where cells are crowded, and work is by tiles.
+EDGE, CLOSE = 4, 2
+#: Points of one side that meet in one place at most, about; the same by tiles.
+BLOCK, WIDE = 8192, 1 << 19
+#: Sources of a tile, about; its distances.
+GROUP, TILE = 128, 1 << 17
+#: Share of the squared radius within which single precision does not decide; some ten times its error.
+DOUBT = 2e-5
 #: Rows worked on together, if they are of several cells; pairs tried at once.
 ROWS, PAIRS = 1 << 16, 1 << 21
 #: Relative slack of the search, far above rounding; distances are compared exactly.
@@ -44,7 +48,7 @@ class Near:
 
     def __init__(self, batch: pa.RecordBatch, radius: float, edge: float, inclusive: bool, keep_self: bool, beyond: float | None):
         self.batch, self.limit, self.inclusive, self.keep_self = batch, radius * radius, inclusive, keep_self
-        self.beyond = None if beyond is None else beyond * beyond
+        self.radius, self.beyond = radius, None if beyond is None else beyond * beyond
         self.id = batch.column("point_id").to_numpy()
         self.at = [batch.column(a).to_numpy() for a in AXES]
         self.target = batch.column("_t").to_numpy(zero_copy_only=False)
@@ -100,6 +104,92 @@ class Near:
             good &= self.id[s] != self.id[t]
         return s[good], t[good], d2[good]
 
+    def tiles(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Sources, targets, and their squared distances over the squared radius, in single precision.
+
+        All targets within the radius of a source are in its tiles, once; what is
+        not to be paired with it is at infinity.  For a radius above zero.
+        """
+        targets, sources = np.flatnonzero(self.target), np.flatnonzero(~self.target)
+        if not len(targets) or not len(sources):
+            return
+        radius = self.reach
+        at = np.stack(self.at, 1)
+        # sub-cells of some dozens of sources, half a radius wide at most and a tenth at least
+        own = at[sources]
+        room = np.prod(np.maximum(np.ptp(own, axis=0), radius / 10))
+        width = float(np.clip((GROUP * room / len(own)) ** (1 / 3), radius / 10, radius / 2))
+        steps = int(np.ceil(radius / width * (1 + SLACK))) + 1
+        low = at.min(0) - (steps + 1) * width
+        seat = np.floor((at - low) / width).astype(np.int64)
+        side = seat.max(0) + steps + 2
+        place = (((self.cell * side[0] + seat[:, 0]) * side[1]) + seat[:, 1]) * side[2] + seat[:, 2]
+        targets = targets[np.argsort(place[targets], kind="stable")]
+        there, keys = [np.ascontiguousarray(at[targets, c] / self.radius) for c in range(3)], place[targets]
+        held = np.empty(TILE + 8 * len(sources), np.float32)
+        sources = sources[np.argsort(place[sources], kind="stable")]
+        mine = place[sources]
+        heads = np.append(np.flatnonzero(np.diff(mine, prepend=-1)), len(mine))
+        # columns of sub-cells that a sphere around a sub-cell reaches, and how far along z
+        d = np.arange(-steps, steps + 1)
+        gap = np.maximum(np.abs(d) - 1, 0) * width
+        flat = gap[:, None] ** 2 + gap[None, :] ** 2
+        i, j = np.nonzero(flat <= (radius * (1 + SLACK)) ** 2)
+        up = np.floor(np.sqrt(np.maximum((radius * (1 + SLACK)) ** 2 - flat[i, j], 0)) / width * (1 + SLACK)).astype(np.int64) + 1
+        offset = (d[i] * side[1] + d[j]) * side[2]
+        # where targets with a source's own key are
+        same_s, same_t = self._same(sources, targets) if not self.keep_self else (np.zeros(0, np.int64),) * 2
+        for a, b in zip(heads[:-1], heads[1:], strict=True):
+            begin = np.searchsorted(keys, mine[a] + offset - up)
+            size = np.searchsorted(keys, mine[a] + offset + up, "right") - begin
+            begin, size = begin[size > 0], size[size > 0]
+            if not len(size):
+                continue
+            before = np.cumsum(size) - size
+            rows = np.arange(int(size.sum())) + np.repeat(begin - before, size)
+            centre = low + (seat[sources[a]] + 0.5) * width
+            # points at infinity fill up to eight, for counts by words
+            right = np.zeros((5, -(-len(rows) // 8) * 8), np.float32)
+            for c in range(3):
+                t = there[c][rows]
+                t -= centre[c] / self.radius
+                right[c, : len(rows)] = t
+            x, y, z = right[:3]
+            right[3], right[4] = x * x + y * y + z * z, 1
+            right[3, len(rows) :] = np.inf
+            s, t = sources[a:b], targets[rows]
+            p = (at[s] - centre) / self.radius
+            left = np.empty((len(s), 5), np.float32)
+            left[:, :3], left[:, 3], left[:, 4] = -2 * p, 1, (p * p).sum(1)
+            f, g = np.searchsorted(same_s, [a, b])
+            order = np.searchsorted(begin, same_t[f:g], "right") - 1
+            inside = (order >= 0) & (same_t[f:g] < (begin + size)[order])
+            order, own_t, own_s = order[inside], same_t[f:g][inside], same_s[f:g][inside] - a
+            column = before[order] + own_t - begin[order]
+            step = max(8, TILE // len(s) // 8 * 8)
+            for k in range(0, right.shape[1], step):
+                wide = min(step, right.shape[1] - k)
+                near = np.matmul(left, right[:, k : k + step], out=held[: len(s) * wide].reshape(len(s), wide))
+                here = (column >= k) & (column < k + step)
+                near[own_s[here], column[here] - k] = np.inf
+                yield s, t[k : k + step], near
+
+    def _same(self, sources: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in ``sources`` and ``targets`` of rows with equal keys, by source."""
+        order = np.argsort(self.id[targets], kind="stable")
+        keys = self.id[targets][order]
+        begin = np.searchsorted(keys, self.id[sources])
+        size = np.searchsorted(keys, self.id[sources], "right") - begin
+        s = np.repeat(np.arange(len(sources)), size)
+        return s, order[np.arange(len(s)) + np.repeat(begin - (np.cumsum(size) - size), size)]
+
+    def exact(self, s: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Squared distances, and which are within the radius."""
+        x, y, z = self.at
+        dx, dy, dz = x[s] - x[t], y[s] - y[t], z[s] - z[t]
+        d2 = dx * dx + dy * dy + dz * dz
+        return d2, d2 <= self.limit if self.inclusive else d2 < self.limit
+
 
 Reducer = Callable[[Iterator[Near]], Iterator[pa.RecordBatch]]
 
@@ -113,14 +203,20 @@ def _seat(values: Column, edge: float) -> Column:
     return F.floor(values / F.lit(edge))
 
 
-def meet(sources: DataFrame, targets: DataFrame, radius: float, reduce: Reducer, schema: T.StructType, inclusive: bool = False, keep_self: bool = False, source_columns: tuple[str, ...] = (), target_columns: tuple[str, ...] = (), beyond: float | None = None, few: bool = False) -> DataFrame:
+def meet(sources: DataFrame, targets: DataFrame, radius: float, reduce: Reducer, schema: T.StructType, inclusive: bool = False, keep_self: bool = False, source_columns: tuple[str, ...] = (), target_columns: tuple[str, ...] = (), beyond: float | None = None, few: bool = False, tiles: bool = False) -> DataFrame:
     """Rows that ``reduce`` makes of the near pairs; see :class:`Near` for the conditions.
 
     Further columns are there as ``s_`` and ``t_`` and their name.  With ``few``
-    sources, targets of cells without any stay where they are.
+    sources, targets of cells without any stay where they are.  Reducers that work
+    by ``tiles`` get smaller and fuller cells where points are dense.
     """
     radius = float(radius)
-    edge = EDGE * radius if radius > 0 else 1.0
+    edge, block = EDGE * radius if radius > 0 else 1.0, BLOCK
+    if tiles and radius > 0:
+        block = WIDE
+        per = sound(sources).groupBy(*(_seat(F.col(a), edge).alias(c) for a, c in zip(AXES, CELL, strict=True))).agg(F.count("*").alias("n"))
+        if (per.agg(F.max("n").alias("n")).first()["n"] or 0) > BLOCK:
+            edge = CLOSE * radius
     reach = radius * (1 + SLACK)
     extra = {f"{p}{c}": df.schema[c].dataType for p, df, names in (("s_", sources, source_columns), ("t_", targets, target_columns)) for c in names}
 
@@ -139,7 +235,7 @@ def meet(sources: DataFrame, targets: DataFrame, radius: float, reduce: Reducer,
         there = there.join(cut(here.select(*CELL).distinct()), list(CELL), "left_semi").select(*here.columns)
     rows = here.unionByName(there)
     counts = rows.groupBy(*CELL).agg(F.sum(F.when(F.col("_t"), 0).otherwise(1)).alias("_ns"), F.sum(F.when(F.col("_t"), 1).otherwise(0)).alias("_nt"))
-    crowded = cut(counts.where(F.greatest("_ns", "_nt") > BLOCK).select(*CELL, *(F.ceil(F.greatest(n, F.lit(1)) / F.lit(BLOCK)).cast("int").alias(n) for n in ("_ns", "_nt"))))
+    crowded = cut(counts.where(F.greatest("_ns", "_nt") > block).select(*CELL, *(F.ceil(F.greatest(n, F.lit(1)) / F.lit(block)).cast("int").alias(n) for n in ("_ns", "_nt"))))
     if crowded.limit(1).count():
         seat = F.xxhash64("point_id", *AXES)
         ns, nt = F.coalesce("_ns", F.lit(1)), F.coalesce("_nt", F.lit(1))
@@ -154,7 +250,9 @@ def meet(sources: DataFrame, targets: DataFrame, radius: float, reduce: Reducer,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from reduce(Near(b, radius, edge, inclusive, keep_self, beyond) for b in _whole(batches))
 
-    return rows.repartition(*PLACE).sortWithinPartitions(*PLACE).mapInArrow(run, schema)
+    # tiles are much work on few bytes, so their tasks may not be merged by size
+    tasks = (max(200, 8 * rows.sparkSession.sparkContext.defaultParallelism),) if edge == CLOSE * radius and tiles else ()
+    return rows.repartition(*tasks, *PLACE).sortWithinPartitions(*PLACE).mapInArrow(run, schema)
 
 
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,16 +311,67 @@ def listed(schema: T.StructType) -> Reducer:
 COUNTED = T.StructType([T.StructField("point_id", T.LongType()), T.StructField("n", T.LongType())])
 
 
+def _tally(near: Near, n: np.ndarray, least: np.ndarray | None) -> None:
+    """Add the numbers of targets to ``n``; lower ``least`` to the least squared distance."""
+    for s, t, d2 in near.tiles():
+        sure, maybe = d2 < 1 - DOUBT, d2 < 1 + DOUBT
+        n[s] += _true(sure)
+        i, j = _places(np.not_equal(maybe, sure, out=maybe))
+        if len(i):
+            np.add.at(n, s[i], near.exact(s[i], t[j])[1])
+        if least is not None:
+            low = d2.min(1, keepdims=True)
+            i, j = _places(d2 <= np.where(low < 1 + DOUBT, low + DOUBT, -1))
+            found, good = near.exact(s[i], t[j])
+            np.minimum.at(least, s[i[good]], found[good])
+
+
+def _true(found: np.ndarray) -> np.ndarray:
+    """Numbers of true values by row; rows are whole words."""
+    return np.bitwise_count(found.view(np.uint64)).sum(1, dtype=np.int64)
+
+
+def _places(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the few true values; rows are whole words."""
+    words = np.flatnonzero(found.reshape(-1).view(np.uint64))
+    at = (words[:, None] * 8 + np.arange(8)).reshape(-1)
+    return np.divmod(at[found.reshape(-1)[at]], found.shape[1])
+
+
+def _dense(near: Near) -> bool:
+    return near.radius > 0 and near.beyond is None and 2 * np.count_nonzero(near.target) > BLOCK * (near.cell[-1] + 1)
+
+
 def counted(cells: Iterator[Near]) -> Iterator[pa.RecordBatch]:
     """Numbers of targets of each source that has any."""
     for near in cells:
         n = np.zeros(len(near.id), np.int64)
-        for s, _, _ in near.pairs():
-            n += np.bincount(s, minlength=len(n))
+        if _dense(near):
+            _tally(near, n, None)
+        else:
+            for s, _, _ in near.pairs():
+                n += np.bincount(s, minlength=len(n))
         own = np.flatnonzero(n)
         yield _batch(COUNTED, [near.id[own], n[own]])
 
 
+SUMMED = T.StructType([*COUNTED, T.StructField("d2", T.DoubleType())])
+
+
+def summed(cells: Iterator[Near]) -> Iterator[pa.RecordBatch]:
+    """Numbers of targets of each source that has any, and the least squared distance."""
+    for near in cells:
+        n, least = np.zeros(len(near.id), np.int64), np.full(len(near.id), np.inf)
+        if _dense(near):
+            _tally(near, n, least)
+        else:
+            for s, _, d2 in near.pairs():
+                n += np.bincount(s, minlength=len(n))
+                np.minimum.at(least, s, d2)
+        own = np.flatnonzero(n)
+        yield _batch(SUMMED, [near.id[own], n[own], least[own]])
+
+
 BINNED = T.StructType([T.StructField("bin", T.LongType()), T.StructField("n", T.LongType())])
 
 
@@ -241,6 +390,46 @@ def binned(bins: int, bin_of: Callable[[Near, np.ndarray, np.ndarray, np.ndarray
     return work
 
 
+def distances(bins: int) -> Reducer:
+    """Numbers of pairs by ``bins`` equal parts of the radius."""
+
+    def of(near: Near, d2: np.ndarray) -> np.ndarray:
+        return np.floor(np.sqrt(d2) / near.radius * bins)
+
+    def work(cells: Iterator[Near]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(bins, np.int64)
+        for near in cells:
+            if not _dense(near) or bins > 200:
+                for _, _, d2 in near.pairs():
+                    b = of(near, d2)
+                    n += np.bincount(b[b < bins].astype(np.int64), minlength=bins)
+                continue
+            for s, t, d2 in near.tiles():
+                # the least and the largest squared distance in doubt give bins; where they differ, the pair is compared exactly
+                low, high = (np.sqrt(np.clip(d2 + d, 0, 1.5, dtype=np.float32)) for d in (np.float32(-DOUBT), np.float32(DOUBT)))
+                low *= np.float32(bins * (1 - 1e-6))
+                high *= np.float32(bins * (1 + 1e-6))
+                low, high = low.astype(np.uint8), high.astype(np.uint8)
+                doubt = low != high
+                low[doubt] = 255
+                n += _by_value(low)[:bins]
+                i, j = _places(doubt)
+                found, good = near.exact(s[i], t[j])
+                b = of(near, found[good])
+                n += np.bincount(b[b < bins].astype(np.int64), minlength=bins)
+        own = np.flatnonzero(n)
+        yield _batch(BINNED, [own, n[own]])
+
+    return work
+
+
+def _by_value(of: np.ndarray) -> np.ndarray:
+    """Numbers of the bytes' values, two bytes at a time; their number is even."""
+    of = of.reshape(-1)
+    two = np.bincount(of.view(np.uint16), minlength=1 << 16).reshape(256, 256)
+    return two.sum(0) + two.sum(1)
+
+
 def nearest(k: int, schema: T.StructType) -> Reducer:
     """The ``k`` nearest targets of each source among those of its block, ties by key."""
 

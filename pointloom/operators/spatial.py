@@ -43,10 +43,16 @@ def radius_join(sources: DataFrame, targets: DataFrame, radius: float, inclusive
 
 def neighbour_counts(sources: DataFrame, targets: DataFrame, radius: float, inclusive: bool = False, keep_self: bool = False) -> DataFrame:
     """``point_id`` and number ``n`` of targets within the radius, for sources that have any."""
-    parts = blocks.meet(sources, targets, radius, blocks.counted, blocks.COUNTED, inclusive, keep_self)
+    parts = blocks.meet(sources, targets, radius, blocks.counted, blocks.COUNTED, inclusive, keep_self, tiles=True)
     return parts.groupBy("point_id").agg(F.sum("n").alias("n"))
 
 
+def neighbour_summary(sources: DataFrame, targets: DataFrame, radius: float, inclusive: bool = False, keep_self: bool = False) -> DataFrame:
+    """As :func:`neighbour_counts`, with the least squared distance ``d2``: a join by radius without its pairs."""
+    parts = blocks.meet(sources, targets, radius, blocks.summed, blocks.SUMMED, inclusive, keep_self, tiles=True)
+    return parts.groupBy("point_id").agg(F.sum("n").alias("n"), F.min("d2").alias("d2"))
+
+
 def first_radius(targets: DataFrame, k: int) -> float:
     """Radius that holds about ``k`` targets if they fill evenly those cells of a coarse grid that have any.
 
@@ -165,12 +171,20 @@ def local_concentration(pairs: DataFrame, sources: DataFrame, numerator: Column,
     return sources.join(counts, "point_id", "left").withColumn("concentration", value).drop("_n", "_d")
 
 
+def radius_concentration(points: DataFrame, targets: DataFrame, radius: float, numerator: Column, denominator: Column) -> DataFrame:
+    """:func:`local_concentration` of the targets within the radius, by counts; the conditions are on the targets' columns."""
+    out = points
+    for name, chosen in (("_n", numerator), ("_d", denominator)):
+        out = out.join(neighbour_counts(points, targets.where(chosen), radius).withColumnRenamed("n", name), "point_id", "left")
+    n, d = (F.coalesce(F.col(c), F.lit(0)) for c in ("_n", "_d"))
+    return out.withColumn("concentration", F.coalesce(F.when(n + d > 0, n * 100.0 / (n + d)), F.lit(-1.0))).drop("_n", "_d")
+
+
 def radial_distribution(sources: DataFrame, targets: DataFrame, radius: float, n: int) -> DataFrame:
     """Histogram of pair distances below ``radius``."""
     from pointloom.operators.bins import densify
 
-    scale = float(radius)
-    counts = blocks.meet(sources, targets, radius, blocks.binned(n, lambda near, s, t, d2: np.floor(np.sqrt(d2) / scale * n)), blocks.BINNED)
+    counts = blocks.meet(sources, targets, radius, blocks.distances(n), blocks.BINNED, tiles=True)
     counts = counts.groupBy(F.col("bin").cast("int").alias("bin")).agg(F.sum("n").alias("n"))
     return densify(counts, n).withColumn("x", F.col("bin") / F.lit(float(n)) * F.lit(float(radius)))
 
