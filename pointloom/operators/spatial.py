@@ -184,7 +184,7 @@ def radial_distribution(sources: DataFrame, targets: DataFrame, radius: float, n
     """Histogram of pair distances below ``radius``."""
     from pointloom.operators.bins import densify
 
-    counts = blocks.meet(sources, targets, radius, blocks.distances(n), blocks.BINNED, tiles=True)
+    counts = blocks.meet(sources, targets, radius, blocks.distances(n), blocks.BINNED, tiles=True, once=True)
     counts = counts.groupBy(F.col("bin").cast("int").alias("bin")).agg(F.sum("n").alias("n"))
     return densify(counts, n).withColumn("x", F.col("bin") / F.lit(float(n)) * F.lit(float(radius)))
 
