@@ -526,9 +526,9 @@ def _tally(near: Near) -> np.ndarray:
 
 
 def _lowest(near: Near, n: np.ndarray) -> np.ndarray:
-    """The least squared distance of the rows that have targets: most have one in a small part of the radius."""
+    """The least squared distance of the rows that have targets: most have one in a small part of the radius, where tiles are still full."""
     least, left = np.full(len(n), np.inf), np.flatnonzero(n)
-    radius = near.radius * (16 / max(16.0, float(n[left].mean()))) ** (1 / 3) if len(left) else near.radius
+    radius = near.radius * (512 / max(512.0, float(n[left].mean()))) ** (1 / 3) if len(left) else near.radius
     while len(left):
         some = near.narrowed(radius) if radius < near.radius else near
         for s, t, d2 in some.tiles(None, left):
