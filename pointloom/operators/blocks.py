@@ -307,7 +307,7 @@ def meet(sources: DataFrame, targets: DataFrame, radius: float, reduce: Reducer,
         rows = rows.select("*", F.lit(0).alias("_i"), F.lit(0).alias("_j"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from reduce(Near(b, radius, edge, inclusive, keep_self, beyond) for b in _whole(batches))
+        yield from reduce(Near(b, radius, edge, inclusive, keep_self, beyond) for b in whole(batches))
 
     return rows.repartition(*PLACE).sortWithinPartitions(*PLACE).mapInArrow(run, schema)
 
@@ -455,14 +455,14 @@ def _unpacked(batches: Iterator[pa.RecordBatch], half: bool) -> Iterator[tuple[p
         yield made()
 
 
-def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def whole(batches: Iterator[pa.RecordBatch], place: tuple[str, ...] = PLACE) -> Iterator[pa.RecordBatch]:
     """Batches of whole cells: of ``ROWS`` rows about, or one cell."""
     held: list[pa.RecordBatch] = []
     size, last = 0, None
     for batch in batches:
         if not batch.num_rows:
             continue
-        places = np.stack([batch.column(c).to_numpy() for c in PLACE])
+        places = np.stack([batch.column(c).to_numpy() for c in place])
         ends = np.flatnonzero((places[:, 1:] != places[:, :-1]).any(0)) + 1
         if last is not None and (places[:, 0] != last).any():
             ends = np.concatenate(([0], ends))

@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from pointloom.operators import blocks
 from pointloom.operators.ranging import RangeTable, ranged
+from pointloom.scratch import cut
 
 #: Rows that a report of bad points lists.
 REPORT = 200
+#: Regions of a cell whose pairs one task makes; pairs made at once.
+CROWD, PAIRS = 1 << 13, 1 << 18
 
 
 def collate(streams: dict[str, DataFrame], label: str = "stream") -> DataFrame:
@@ -65,15 +73,62 @@ def spectrum_regions(spectrum: DataFrame, table: RangeTable) -> DataFrame:
 def overlapping(regions: DataFrame, cell: float) -> DataFrame:
     """Pairs ``a < b`` of regions (``id, low, high``) that have an open interval in common.
 
-    Regions go to the cells they reach into and meet there; a pair counts in the
-    cell of its larger lower end only, so it comes once.
+    Regions go to the cells they reach into and meet there as arrays, by their lower
+    ends: what begins within a region follows it, so nothing is tried in vain.  A pair
+    comes in the cell of its larger lower end, once.  Where a cell has more than
+    ``CROWD`` regions, the first of each pair are dealt to several tasks.
     """
     at = lambda c: F.floor(F.col(c) / F.lit(float(cell)))
-    spread = regions.where("low < high").select("id", "low", "high", F.explode(F.sequence(at("low"), at("high"))).alias("_cell"))
-    a = spread.select(F.col("id").alias("a"), F.col("low").alias("al"), F.col("high").alias("ah"), "_cell")
-    b = spread.select(F.col("id").alias("b"), F.col("low").alias("bl"), F.col("high").alias("bh"), "_cell")
-    pairs = a.join(b, "_cell").where((F.col("a") < F.col("b")) & (F.col("al") < F.col("bh")) & (F.col("bl") < F.col("ah")))
-    return pairs.where(F.col("_cell") == F.floor(F.greatest("al", "bl") / F.lit(float(cell)))).select("a", "b")
+    spread = regions.where("id is not null and low < high").select("id", "low", "high", F.explode(F.sequence(at("low"), at("high"))).alias("_cell"))
+    spread = spread.withColumn("_own", at("low") == F.col("_cell"))
+    crowded = cut(spread.groupBy("_cell").agg(F.count("*").alias("_n")).where(F.col("_n") > CROWD))
+    parts = F.coalesce(F.ceil(F.col("_n") / F.lit(CROWD)), F.lit(1)).cast("long")
+    rows = spread.join(crowded, "_cell", "left").withColumn("_parts", parts).drop("_n").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)))
+    kind = regions.schema["id"].dataType
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks.whole(batches, ("_cell", "_part")):
+            yield from _begun(batch)
+
+    # pairs are many of few regions, so tasks may not be merged by size
+    tasks = max(200, 8 * regions.sparkSession.sparkContext.defaultParallelism)
+    rows = rows.repartition(tasks, "_cell", "_part").sortWithinPartitions("_cell", "_part", "low", "id", "high")
+    return rows.mapInArrow(pairs, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
+
+
+def _begun(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The pairs of whole cells, sorted by lower ends: a region and those that begin later, but within it."""
+    cells, part, parts = (batch.column(c).to_numpy() for c in ("_cell", "_part", "_parts"))
+    low, high, own = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("low", "high", "_own"))
+    ids = batch.column("id")
+    order = ids.to_numpy() if pa.types.is_integer(ids.type) else np.unique(ids.to_numpy(zero_copy_only=False), return_inverse=True)[1]
+    fresh = np.ones(len(low), bool)
+    fresh[1:] = (cells[1:] != cells[:-1]) | (part[1:] != part[:-1])
+    heads, group = np.flatnonzero(fresh), np.cumsum(fresh) - 1
+    row = np.arange(len(low))
+    # how many lower ends of the cells up to this one come before the upper end
+    upper = np.repeat((True, False), len(low))
+    merged = np.lexsort((~upper, np.concatenate((high, low)), np.tile(group, 2)))
+    end = np.empty(len(low), np.int64)
+    is_upper = upper[merged]
+    end[merged[is_upper]] = np.cumsum(~is_upper)[is_upper]
+    begin = np.maximum(row + 1, (heads + np.add.reduceat((~own).astype(np.int64), heads))[group])
+    mine = np.flatnonzero((end > begin) & ((row - heads[group]) % parts == part))
+    begin, size = begin[mine], (end - begin)[mine]
+    ends, at = np.cumsum(size), 0
+    while at < len(mine):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
+        a = np.repeat(mine[at:to], size[at:to])
+        b = np.arange(len(a)) + np.repeat(begin[at:to] - (ends[at:to] - size[at:to]) + (ends[at - 1] if at else 0), size[at:to])
+        p, q = order[a], order[b]
+        if pa.types.is_integer(ids.type):
+            a, b, apart = np.minimum(p, q), np.maximum(p, q), p != q
+            a, b = (pa.array(c if apart.all() else c[apart]) for c in (a, b))
+        else:
+            a, b = np.where(p < q, a, b)[p != q], np.where(p < q, b, a)[p != q]
+            a, b = ids.take(pa.array(a)), ids.take(pa.array(b))
+        yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"])
+        at = to
 
 
 def report(points: DataFrame, bad: Column, limit: int = REPORT) -> DataFrame:
