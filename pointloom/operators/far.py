@@ -4,13 +4,15 @@ Two k-d trees, split by bounded samples, deal sources and targets to leaves; the
 leaves' bounds come from all points.  Bounds give each leaf of sources a distance
 within which its ``k``-th neighbours lie for certain, and so the leaves of targets
 that may hold one.  Leaves of sources form blocks, and each block gets those
-targets (in parts of ``PART`` rows, if there are more).  There, groups of sources
-are halved, and at each step the targets that cannot be near enough to any point of
-the group go; what remains is compared exactly.  Samples decide on work, not on results.
+targets (in parts of ``PART`` rows, if there are more); points travel as arrays, one
+row for those of a batch that go to one block.  There, groups of sources are halved,
+and at each step the targets that cannot be near enough to any point of the group's
+box go; what remains is compared exactly.  Samples decide on work, not on results.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pointloom.operators.blocks import PACK, ROWS, _joined
 from pointloom.points import AXES
 
 #: Points that split a tree; leaves of a tree at most; sources and targets of a block, about.
@@ -140,44 +143,73 @@ def nearest(sources: DataFrame, targets: DataFrame, n_sources: int, k: int, sche
     wants = [np.flatnonzero(need[:, leaf]) for leaf in range(need.shape[1])]
     lengths, flat = np.array([len(w) for w in wants]), np.concatenate(wants)
     begins = np.cumsum(lengths) - lengths
-    extra = {f"{p}{c}": df.schema[c].dataType for p, df, names in (("s_", sources, source_columns), ("t_", targets, target_columns)) for c in names}
+    ranked = T.StructType([*schema.fields, T.StructField("rank", T.IntegerType())])
 
     def copies(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rows = np.repeat(np.arange(len(counts)), counts)
         return rows, np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts)
 
-    def sent(batch: pa.RecordBatch, rows: np.ndarray, to: np.ndarray) -> pa.RecordBatch:
-        out = batch.take(pa.array(rows))
-        return pa.RecordBatch.from_arrays([pa.array(to), *out.columns], names=["_b", *out.schema.names])
-
-    def deal_sources(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            b = block_of[own_tree.leaf(_at(batch))]
-            rows, j = copies(parts[b])
-            yield sent(batch, rows, first[b][rows] + j)
-
-    def deal_targets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            leaf = other_tree.leaf(_at(batch))
-            rows, j = copies(lengths[leaf])
-            b = flat[begins[leaf][rows] + j]
-            seat = batch.column("_seat").to_numpy()[rows]
-            yield sent(batch, rows, first[b] + seat % parts[b])
-
-    def side(df: DataFrame, prefix: str, names: tuple[str, ...], deal) -> DataFrame:
-        mine = {f"{prefix}{c}": F.col(c) for c in names}
-        seat = F.pmod(F.xxhash64("point_id", *AXES), F.lit(1 << 31)).alias("_seat")
-        rows = df.select("point_id", *AXES, F.lit(prefix == "t_").alias("_t"), seat, *(mine.get(c, F.lit(None)).cast(kind).alias(c) for c, kind in extra.items()))
-        return rows.mapInArrow(deal, T.StructType([T.StructField("_b", T.LongType()), *rows.schema.fields]))
-
-    ranked = T.StructType([*schema.fields, T.StructField("rank", T.IntegerType())])
-
-    def work(table: pa.Table) -> pa.Table:
-        return _block(table.combine_chunks(), k, enough, dead, ranked)
-
-    rows = side(sources, "s_", source_columns, deal_sources).unionByName(side(targets, "t_", target_columns, deal_targets))
-    tasks = int(min(parts.sum(), max(200, spark.sparkContext.defaultParallelism * 4)))
-    return rows.repartition(tasks, "_b").groupBy("_b").applyInArrow(work, ranked), bool((parts > 1).any())
+    def places_of_source(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        b = block_of[own_tree.leaf(_at(batch))]
+        rows, j = copies(parts[b])
+        return rows, first[b][rows] + j
+
+    def places_of_target(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        at = _at(batch)
+        leaf = other_tree.leaf(at)
+        rows, j = copies(lengths[leaf])
+        b = flat[begins[leaf][rows] + j]
+        seat = (batch.column("point_id").to_numpy() ^ at[:, 0].view(np.int64)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
+        return rows, first[b] + seat.astype(np.int64)[rows] % parts[b]
+
+    def side(df: DataFrame, prefix: str, names: tuple[str, ...], places) -> DataFrame:
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in _merged(batches):
+                rows, to = places(batch)
+                order = np.argsort(to, kind="stable")
+                rows, to = rows[order], to[order]
+                heads = np.flatnonzero(np.diff(to, prepend=-1)).tolist()
+                for b, begin, end in zip(to[heads].tolist(), heads, [*heads[1:], len(to)], strict=True):
+                    blobs = [_blob(batch.take(pa.array(rows[k : min(k + PACK, end)]))) for k in range(begin, end, PACK)]
+                    yield pa.RecordBatch.from_arrays([pa.array([b] * len(blobs)), pa.array([prefix == "t_"] * len(blobs)), pa.array(blobs, pa.binary())], names=["_b", "_t", "_points"])
+
+        rows = df.select("point_id", *AXES, *(F.col(c).alias(f"{prefix}{c}") for c in names if c not in AXES))
+        return rows.mapInArrow(deal, "_b long, _t boolean, _points binary")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blobs = (row for batch in batches for row in zip(*(batch.column(c) for c in ("_b", "_t", "_points")), strict=True))
+        for _, group in itertools.groupby(blobs, key=lambda row: row[0].as_py()):
+            sides: tuple[list[pa.Table], list[pa.Table]] = [], []
+            for _, target, points in group:
+                sides[target.as_py()].append(pa.ipc.open_stream(points.as_buffer()).read_all())
+            if all(sides):
+                both = [pa.concat_tables(side) for side in sides]
+                both = [t.append_column("_t", pa.array(np.full(t.num_rows, kind))) for t, kind in zip(both, (False, True), strict=True)]
+                yield from _block(pa.concat_tables(both, promote_options="default").combine_chunks(), k, enough, dead, ranked).to_batches(ROWS)
+
+    # blocks are of unlike work, so hashing should put few of them together
+    tasks = int(min(4 * parts.sum(), max(200, spark.sparkContext.defaultParallelism * 16)))
+    rows = side(sources, "s_", source_columns, places_of_source).unionByName(side(targets, "t_", target_columns, places_of_target))
+    return rows.repartition(tasks, "_b").sortWithinPartitions("_b").mapInArrow(run, ranked), bool((parts > 1).any())
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of ``2 * ROWS`` rows about, so that a block's points of a batch are some hundreds."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= 2 * ROWS:
+            yield _joined(held)
+            held = []
+    if sum(b.num_rows for b in held):
+        yield _joined(held)
+
+
+def _blob(batch: pa.RecordBatch) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, batch.schema) as stream:
+        stream.write_batch(batch)
+    return out.getvalue().to_pybytes()
 
 
 def _block(table: pa.Table, k: int, enough: int, beyond: float, ranked: T.StructType) -> pa.Table:
@@ -204,24 +236,38 @@ def _groups(at: np.ndarray, mine: np.ndarray, others: np.ndarray, enough: int, b
             continue
         p = at[group]
         low, high = p.min(0), p.max(0)
-        centre = (low + high) / 2
-        spread = np.sqrt(((p - centre) ** 2).sum(1).max()) * (1 + SLACK)
-        d2 = _square(there, centre[:, None])
-        # a point's k-th lies within the centre's k-th and the spread
-        sure = d2 if beyond < 0 else d2[d2 * (1 - SLACK) > (beyond + spread) ** 2]
+        near2, far2 = _to_box(there, low, high)
+        # farther than so many targets are from all of the group's box, none is needed; the dead zone may hold some of these
+        sure = far2 if beyond < 0 else far2[near2 * (1 - SLACK) > beyond * beyond]
+        kept = np.ones(len(some), bool)
         if len(sure) >= enough:
-            bound = np.sqrt(np.partition(sure, enough - 1)[enough - 1]) + 2 * spread
-            kept = np.flatnonzero(d2 * (1 - SLACK) <= bound * bound)
-            if len(kept) < len(some):
-                some, there = some[kept], np.ascontiguousarray(there[:, kept])
-        if len(group) <= GROUP or spread == 0 or len(group) * len(some) <= TILE // 8:
+            kept &= near2 * (1 - SLACK) <= np.partition(sure, enough - 1)[enough - 1] * (1 + SLACK)
+        first = int(np.argmin(far2))
+        toward = np.abs(there[:, first] - (low + high) / 2)
+        if not kept.all():
+            some, there = some[kept], np.ascontiguousarray(there[:, kept])
+        if len(group) <= GROUP or (low == high).all() or len(group) * len(some) <= TILE // 8:
             yield group, some, there
             continue
-        axis = int(np.argmax(high - low))
+        # depth toward the targets widens the bounds in full, width across them by its square
+        wide = high - low
+        axis = int(np.argmax(wide * (toward + wide)))
         order = np.argpartition(p[:, axis], len(group) // 2)
         todo += [(group[half], some, there) for half in (order[: len(group) // 2], order[len(group) // 2 :])]
 
 
+def _to_box(there: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least and largest squared distances from the points of a box."""
+    near2, far2 = np.zeros(there.shape[1]), np.zeros(there.shape[1])
+    for v, a, b in zip(there, low, high, strict=True):
+        over, under = v - a, b - v
+        gap = np.minimum(np.minimum(over, under), 0.0)
+        near2 += np.multiply(gap, gap, out=gap)
+        wide = np.maximum(over, under, out=over)
+        far2 += np.multiply(wide, wide, out=wide)
+    return near2, far2
+
+
 def _square(there: np.ndarray, here: np.ndarray) -> np.ndarray:
     """Squared distances by the terms and the order of the joins by radius."""
     d2, q = here[0] - there[0], here[1] - there[1]
