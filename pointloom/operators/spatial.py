@@ -93,7 +93,8 @@ def knn_join(sources: DataFrame, targets: DataFrame, k: int, radius: float | Non
     seen = sources.agg(F.count("*").alias("n"), F.count(F.when(inside, 1)).alias("i")).first()
     left, rest = sources, seen["n"]
     near = sources.where(inside) if seen["i"] < rest else sources
-    while seen["i"]:
+    # with less than half inside, the first round would be the last one
+    while 2 * seen["i"] >= rest:
         parts = blocks.meet(near if not done else left, targets, r, blocks.nearest(k, schema), schema, False, False, source_columns, target_columns, beyond, bool(done))
         # blocks give k rows of a source each; only the k least of these count
         best = parts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
