@@ -239,7 +239,8 @@ def _groups(at: np.ndarray, mine: np.ndarray, others: np.ndarray, enough: int, b
         near2, far2 = _to_box(there, low, high)
         # farther than so many targets are from all of the group's box, none is needed; the dead zone may hold some of these
         sure = far2 if beyond < 0 else far2[near2 * (1 - SLACK) > beyond * beyond]
-        kept = np.ones(len(some), bool)
+        # a target that lies in the dead zone of the whole box is none's neighbour
+        kept = far2 * (1 + SLACK) > beyond * beyond if beyond >= 0 else np.ones(len(some), bool)
         if len(sure) >= enough:
             kept &= near2 * (1 - SLACK) <= np.partition(sure, enough - 1)[enough - 1] * (1 + SLACK)
         first = int(np.argmin(far2))

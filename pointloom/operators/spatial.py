@@ -53,12 +53,12 @@ def neighbour_summary(sources: DataFrame, targets: DataFrame, radius: float, inc
     return parts.groupBy("point_id").agg(F.sum("n").alias("n"), F.min("d2").alias("d2"))
 
 
-def first_radius(targets: DataFrame, k: int) -> float:
+def first_radius(targets: DataFrame, k: int, found: tuple[Vec, Vec] | None = None) -> float:
     """Radius that holds about ``k`` targets if they fill evenly those cells of a coarse grid that have any.
 
     Flat targets count as a plane or a line; so few that ``k`` needs all of them give their diagonal.
     """
-    found = bounds(targets)
+    found = found or bounds(targets)
     if found is None:
         return 1.0
     sides = [b - a for a, b in zip(*found, strict=True)]
@@ -83,7 +83,7 @@ def knn_join(sources: DataFrame, targets: DataFrame, k: int, radius: float | Non
     a, b = bounds(sources), bounds(targets)
     if a is None or b is None:
         return blocks.meet(sources, targets, 1.0, blocks.nearest(k, schema), schema, False, False, source_columns, target_columns).withColumn("rank", F.lit(1))
-    r = radius or max(first_radius(targets, k), beyond or 0.0)
+    r = radius or max(first_radius(targets, k, b), beyond or 0.0)
     whole = math.dist([min(p, q) for p, q in zip(a[0], b[0], strict=True)], [max(p, q) for p, q in zip(a[1], b[1], strict=True)]) * (1 + 1e-9) + 1e-9
     order = Window.partitionBy("s_point_id").orderBy("d2", "t_point_id")
     done: list[DataFrame] = []
