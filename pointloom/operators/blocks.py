@@ -127,13 +127,15 @@ class Near:
         radius.  Given ``sure``, targets of sub-cells that lie within the radius as a
         whole are added to it by number and are in no tile.  Of all sources, or of those
         given; for a radius above zero.  Where pairs with other cells are held once,
-        those within a cell come once too, and a point's with itself does not come.
+        those within a cell come once too, and a point's with itself does not come; then
+        ``sure`` gets the sources of such targets as well, when all tiles are done.
         """
         targets, sources = np.flatnonzero(self.target), np.flatnonzero(~self.target) if sources is None else sources
         if not len(targets) or not len(sources):
             return
         radius = self.reach
-        at = np.stack(self.at, 1)
+        # places in the own cell, so that cells far apart have sub-cells as small and as few as one
+        at = np.stack(self.local, 1)
         # sub-cells of some dozens of sources, half a radius wide at most and a tenth at least
         own = at[sources]
         room = np.prod(np.maximum(np.ptp(own, axis=0), radius / 10)) * (self.cell[-1] + 1)
@@ -159,6 +161,8 @@ class Near:
             first = finder(place[targets])
         else:
             first, other = (finder(place[half]) for half in halves)
+        # where targets begin and end to be counted as a whole
+        passed = np.zeros(len(targets) + 1, np.int64)
         held = np.empty(TILE + 8 * len(sources), np.float32)
         sources = sources[np.argsort(place[sources], kind="stable")]
         mine = place[sources]
@@ -177,17 +181,24 @@ class Near:
         for a, b in zip(heads[:-1], heads[1:], strict=True):
             begin, end = mine[a] + offset - up, mine[a] + offset + up + 1
             s = sources[a:b]
+            if len(whole):
+                base = mine[a] + offset[whole]
+                head, tail = base - inner[whole], base + inner[whole] + 1
+                begin, end = np.concatenate((begin, tail)), np.concatenate((end, end[whole]))
+                end[whole] = head
             if self.halo is None:
                 begin, end = first(begin), first(end)
             else:  # of the cell's own points: those of this sub-cell, and those of later ones
                 later = np.flatnonzero(end > mine[a] + 1)
                 begin, end = (np.concatenate(([p], first(np.maximum(c[later], mine[a] + 1)), other(c) + len(halves[0]))) for p, c in ((first(mine[a]), begin), (first(mine[a] + 1), end)))
             if len(whole):
-                base = mine[a] + offset[whole]
-                head, tail = first(base - inner[whole]), first(base + inner[whole] + 1)
+                if self.halo is None:
+                    head, tail = first(head), first(tail)
+                else:
+                    head, tail = (np.concatenate((first(np.maximum(c, mine[a] + 1)), other(c) + len(halves[0]))) for c in (head, tail))
+                    np.add.at(passed, head, len(s))
+                    np.subtract.at(passed, tail, len(s))
                 sure[s] += int((tail - head).sum())
-                begin, end = np.concatenate((begin, tail)), np.concatenate((end, end[whole]))
-                end[whole] = head
             some = np.flatnonzero(end > begin)
             begin, size = begin[some], (end - begin)[some]
             if not len(size):
@@ -209,7 +220,10 @@ class Near:
             kept[:own_rows] = True
             if sure is not None and wide < 1:
                 within = d2 < (1 - wide) ** 2 - 4 * DOUBT
+                within[:own_rows] = False
                 sure[s] += np.count_nonzero(within)
+                if self.halo is not None:
+                    sure[targets[rows[within]]] += len(s)
                 kept &= ~within
             kept = np.flatnonzero(kept)
             if not len(kept):
@@ -228,6 +242,8 @@ class Near:
                     column = np.arange(k, min(k + wide, own_rows))
                     near[:, : len(column)][column <= np.arange(len(s))[:, None]] = 2
                 yield s, t[k : k + step], near
+        if sure is not None and self.halo is not None:
+            sure[targets] += np.cumsum(passed)[:-1]
 
     def same(self) -> Found:
         """The pairs within the radius that have one key."""
@@ -512,15 +528,29 @@ COUNTED = T.StructType([T.StructField("point_id", T.LongType()), T.StructField("
 
 
 def _tally(near: Near) -> np.ndarray:
-    """Numbers of targets of each row, by tiles."""
+    """Numbers of targets of each row, by tiles; where pairs are held once, of both points of a pair."""
     n = np.zeros(len(near.id), np.int64)
     for s, t, d2 in near.tiles(n):
         sure, maybe = d2 < 1 - DOUBT, d2 < 1 + DOUBT
         n[s] += _true(sure)
         i, j = _places(np.not_equal(maybe, sure, out=maybe))
-        if len(i):
-            np.add.at(n, s[i], near.exact(s[i], t[j])[1])
-    if not near.keep_self:
+        good = near.exact(s[i], t[j])[1] if len(i) else i
+        np.add.at(n, s[i], good)
+        if near.halo is not None:
+            n[t] += sure.view(np.uint8).sum(0, dtype=np.uint8 if len(s) < 256 else np.int64)[: len(t)]
+            np.add.at(n, t[j], good)
+    if near.halo is not None:
+        s, t, _ = near.same()
+        other = near.row[s] != near.row[t]
+        np.subtract.at(n, s[other], 1)
+        np.subtract.at(n, t[near.halo[t]], 1)
+        # what the cell's own points have as targets goes to them as sources
+        own, twice = np.flatnonzero(~near.target), np.flatnonzero(near.target & ~near.halo)
+        seat = np.empty(len(n), np.int64)
+        seat[near.row[own]] = own
+        n[seat[near.row[twice]]] += n[twice]
+        n[twice] = 0
+    elif not near.keep_self:
         np.subtract.at(n, near.same()[0], 1)
     return n
 
@@ -557,7 +587,11 @@ def _places(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _dense(near: Near) -> bool:
-    return near.radius > 0 and near.beyond is None and 2 * np.count_nonzero(near.target) > BLOCK * (near.cell[-1] + 1)
+    if near.radius <= 0 or near.beyond is not None:
+        return False
+    # targets that a source's cell has; about half of them where pairs are held once
+    n, m = (np.bincount(near.cell[side], minlength=near.cell[-1] + 1) for side in (~near.target, near.target))
+    return (2 if near.halo is None else 4) * int((n * m).sum()) > BLOCK * int(n.sum())
 
 
 def counted(cells: Iterator[Near]) -> Iterator[pa.RecordBatch]:
@@ -567,8 +601,10 @@ def counted(cells: Iterator[Near]) -> Iterator[pa.RecordBatch]:
             n = _tally(near)
         else:
             n = np.zeros(len(near.id), np.int64)
-            for s, _, _ in near.pairs():
+            for s, t, _ in near.pairs():
                 n += np.bincount(s, minlength=len(n))
+                if near.halo is not None:
+                    n += np.bincount(t[near.halo[t]], minlength=len(n))
         own = np.flatnonzero(n)
         yield _batch(COUNTED, [near.id[own], n[own]])
 

@@ -43,7 +43,7 @@ def radius_join(sources: DataFrame, targets: DataFrame, radius: float, inclusive
 
 def neighbour_counts(sources: DataFrame, targets: DataFrame, radius: float, inclusive: bool = False, keep_self: bool = False) -> DataFrame:
     """``point_id`` and number ``n`` of targets within the radius, for sources that have any."""
-    parts = blocks.meet(sources, targets, radius, blocks.counted, blocks.COUNTED, inclusive, keep_self, tiles=True)
+    parts = blocks.meet(sources, targets, radius, blocks.counted, blocks.COUNTED, inclusive, keep_self, tiles=True, once=True)
     return parts.groupBy("point_id").agg(F.sum("n").alias("n"))
 
 
