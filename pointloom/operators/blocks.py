@@ -37,6 +37,8 @@ GROUP, TILE, SEATS = 32, 1 << 17, 1 << 22
 DOUBT = 5e-6
 #: Rows worked on together, if they are of several cells; pairs tried at once; points that travel as one row.
 ROWS, PAIRS, PACK = 1 << 16, 1 << 21, 1 << 12
+#: Cells that are named to the tasks that send points, at most.
+NAMED = 1 << 15
 #: Relative slack of the search, far above rounding; distances are compared exactly.
 SLACK = 1e-6
 CELL = ("_cx", "_cy", "_cz")
@@ -349,9 +351,16 @@ def _meet_packed(sources: DataFrame, targets: DataFrame, radius: float, reduce:
     crowded = {tuple(r[c] for c in CELL): (max(1, -(-r["_ns"] // WIDE)), max(1, -(-r["_nt"] // WIDE))) for r in found.where(F.greatest("_ns", "_nt") > WIDE).collect()}
     if crowded and half:  # blocks of a cell meet as sources and targets
         return _meet_packed(sources, targets, radius, reduce, schema, inclusive, keep_self, False)
+    # cells of one side only have no pairs; their points stay, unless there are too many cells to name
+    served = found.where("_ns > 0 and _nt > 0").select(*CELL).limit(NAMED + 1).collect()
+    if not served:
+        return points.sparkSession.createDataFrame([], schema)
+    named = {tuple(r) for r in served} if len(served) <= NAMED else None
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cells, ids, at, kind in _packs(batches, edge, reach, half):
+            if named is not None and tuple(cells) not in named:
+                continue
             ns, nt = crowded.get(tuple(cells), (1, 1))
             seat = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
             places, blobs = [], []
