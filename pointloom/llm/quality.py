@@ -171,13 +171,18 @@ def _posterior(patterns: np.ndarray, share: float, table: np.ndarray) -> np.ndar
 
 def features(t: _Texts) -> np.ndarray:
     """Hashed features of each row, of length 1 (all zero for an empty text)."""
-    kind = _classes[t.data]
     out = np.zeros(t.rows * FEATURES)
-    if len(kind) >= 3:
-        tri = kind[:-2] * 100 + kind[1:-1] * 10 + kind[2:]
-        row = np.repeat(np.arange(t.rows), np.diff(t.offsets))
-        same = row[:-2] == row[2:]
-        out += np.bincount(row[:-2][same] * FEATURES + tri[same], minlength=len(out))
+    grid = out.reshape(t.rows, FEATURES)
+    a = 0
+    while a < t.rows:  # rows of some bytes at a time
+        b = max(a + 1, int(np.searchsorted(t.offsets, t.offsets[a] + tn.STEP, "right")) - 1)
+        kind = _classes[t.data[t.offsets[a] : t.offsets[b]]]
+        if len(kind) >= 3:
+            tri = kind[:-2] * 100 + kind[1:-1] * 10 + kind[2:]
+            row = np.repeat(np.arange(b - a), np.diff(t.offsets[a : b + 1]))
+            same = row[:-2] == row[2:]
+            grid[a:b] += np.bincount(row[:-2][same] * FEATURES + tri[same], minlength=(b - a) * FEATURES).reshape(b - a, FEATURES)
+        a = b
     word = (t.hash % tn.U(WORDS)).astype(np.int64)
     out += np.bincount(t.row * FEATURES + TRIGRAMS + word, minlength=len(out))
     table = np.sqrt(out.reshape(t.rows, FEATURES) / np.maximum(t.words, 1)[:, None])

@@ -42,6 +42,8 @@ from pointloom.scratch import cut
 LENGTH = 100
 GRAM = 24
 CHUNK = 2 << 20
+#: Windows of a chunk whose anchors are found at once.
+BLOCK = 1 << 15
 #: Positions are packed into this many bits beside the gram's hash.
 PLACE = 24
 #: Longer texts are worked on in pieces of this many bytes.
@@ -182,8 +184,30 @@ def _sliding_least(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def contexts(data: np.ndarray, offsets: np.ndarray):
-    """(anchor, hash, row, start in the row, windows) of each context of a buffer."""
+def contexts(data: np.ndarray, offsets: np.ndarray, block: int = BLOCK):
+    """(anchor, hash, row, start in the row, windows) of each context of a buffer.
+
+    Windows are met in blocks of ``block``, as each takes some 80 bytes of memory.
+    A block has one window before its own, so that a context from the block before
+    is not begun again, and those after it that its last context may reach.
+    """
+    n = len(data)
+    found = []
+    for at in range(0, max(n - LENGTH + 1, 1), block):
+        low, high = max(at - 1, 0), min(at + block + 2 * LENGTH - GRAM, n)
+        head = int(np.searchsorted(offsets, low, "right")) - 1 if n else 0
+        tail = int(np.searchsorted(offsets, high)) if n else len(offsets) - 1
+        own = np.clip(offsets[head : tail + 1], low, high) - low
+        anchor, content, row, first, windows = _contexts(data[low:high], own)
+        begun = (first >= at - low) & (first < at + block - low)
+        anchor, content, row, first, windows = (c[begun] for c in (anchor, content, row, first, windows))
+        row = row + head
+        found.append((anchor, content, row, first + low - offsets[row], windows))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def _contexts(data: np.ndarray, offsets: np.ndarray):
+    """:func:`contexts` of a block, with starts in the block."""
     n = len(data)
     none = np.zeros(0, np.int64)
     if n < LENGTH:
@@ -205,7 +229,7 @@ def contexts(data: np.ndarray, offsets: np.ndarray):
     windows = np.diff(np.concatenate((at, [len(start)])))
     first, anchor, row = start[at], anchor[at], row[at]
     content = tn.mix(sums.spans(first, first + windows + LENGTH - 1) + (anchor - first).astype(tn.U))
-    return gram[anchor], content, row, first - offsets[row], windows
+    return gram[anchor], content, row, first, windows
 
 
 def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:

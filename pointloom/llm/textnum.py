@@ -16,6 +16,8 @@ import pyarrow as pa
 U = np.uint64
 #: Spans of more bytes have a cryptographic hash.
 LONG = 256
+#: Bytes worked on at once where each takes many bytes of memory.
+STEP = 1 << 15
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _rng = np.random.default_rng(20240501)
@@ -89,7 +91,10 @@ class Sums:
         up, self.down = powers(len(data) + 1)
         self.data = data
         self.sums = np.zeros(len(data) + 1, U)
-        np.cumsum(BYTE_CODE[data] * up[: len(data)], out=self.sums[1:])
+        for at in range(0, len(data), STEP):
+            own = self.sums[at + 1 : at + STEP + 1]
+            np.cumsum(BYTE_CODE[data[at : at + STEP]] * up[at : at + len(own)], out=own)
+            own += self.sums[at]
 
     def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hashes of ``[start, end)``; equal bytes, equal hash, wherever they are.
