@@ -7,18 +7,20 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pointloom.operators import blocks
 from pointloom.operators.ranging import RangeTable, ranged
 from pointloom.scratch import cut
 
 #: Rows that a report of bad points lists.
 REPORT = 200
-#: Regions of a cell whose pairs one task makes; pairs made at once.
-CROWD, PAIRS = 1 << 13, 1 << 18
+#: Regions of a chunk; regions begun before that meet it in one task.
+CROWD, BEGUN = 1 << 13, 1 << 15
+#: Pairs made at once; lower ends of a tile.
+PAIRS, TILE = 1 << 18, 1 << 8
 
 
 def collate(streams: dict[str, DataFrame], label: str = "stream") -> DataFrame:
@@ -70,67 +72,195 @@ def spectrum_regions(spectrum: DataFrame, table: RangeTable) -> DataFrame:
     return out.withColumn("ion", F.lit(None).cast("string") if names is None else F.get(names, F.col("region")))
 
 
-def overlapping(regions: DataFrame, cell: float) -> DataFrame:
+def overlapping(regions: DataFrame, cell: float | None = None) -> DataFrame:
     """Pairs ``a < b`` of regions (``id, low, high``) that have an open interval in common.
 
-    Regions go to the cells they reach into and meet there as arrays, by their lower
-    ends: what begins within a region follows it, so nothing is tried in vain.  A pair
-    comes in the cell of its larger lower end, once.  Where a cell has more than
-    ``CROWD`` regions, the first of each pair are dealt to several tasks.
+    Regions sorted by their lower ends are cut into chunks of at most ``CROWD``.  A region
+    goes to the chunks that begin within it, and by its number alone to those that end
+    there too; a pair comes in the chunk of its later region, once.  So rows sent grow
+    with the chunks that regions reach.  Where more than ``BEGUN`` regions reach a chunk
+    they are dealt to several tasks.  Widths of cells need not be known: ``cell`` is
+    not used.
     """
-    at = lambda c: F.floor(F.col(c) / F.lit(float(cell)))
-    spread = regions.where("id is not null and low < high").select("id", "low", "high", F.explode(F.sequence(at("low"), at("high"))).alias("_cell"))
-    spread = spread.withColumn("_own", at("low") == F.col("_cell"))
-    crowded = cut(spread.groupBy("_cell").agg(F.count("*").alias("_n")).where(F.col("_n") > CROWD))
-    parts = F.coalesce(F.ceil(F.col("_n") / F.lit(CROWD)), F.lit(1)).cast("long")
-    rows = spread.join(crowded, "_cell", "left").withColumn("_parts", parts).drop("_n").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)))
-    kind = regions.schema["id"].dataType
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks.whole(batches, ("_cell", "_part")):
-            yield from _begun(batch)
+    spark, crowd = regions.sparkSession, CROWD
+    kind, ends = regions.schema["id"].dataType, [regions.schema[c].dataType for c in ("low", "high")]
+    fields = [T.StructField(n, t) for n, t in zip(("id", "low", "high"), (kind, *ends), strict=True)]
+    pair = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
 
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, part = 0, TaskContext.get().partitionId() << 32
+        for batch in batches:
+            number = part + np.arange(at, at + batch.num_rows) // crowd
+            at += batch.num_rows
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(number)], names=["id", "low", "high", "_chunk"])
+
+    rows = regions.where("id is not null and low < high").select("id", "low", "high")
+    rows = rows.repartitionByRange(8 * spark.sparkContext.defaultParallelism, "low", "id", "high").sortWithinPartitions("low", "id", "high")
+    rows = cut(rows.mapInArrow(numbered, T.StructType([*fields, T.StructField("_chunk", T.LongType())])))
+    chunks = rows.groupBy("_chunk").agg(F.min("low").alias("low"), F.count("*").alias("n")).toArrow().sort_by("_chunk")
+    numbers, lows, sizes = (chunks.column(c).to_numpy() for c in ("_chunk", "low", "n"))
+    if not len(numbers):
+        return spark.createDataFrame([], pair)
+
+    def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, n = np.unique(_last(lows, batch.column("high")), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n)], names=["at", "n"])
+
+    ended = np.zeros(len(numbers), np.int64)
+    for row in rows.select("high").mapInArrow(last, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+        ended[row["at"]] = row["n"]
+    before = np.cumsum(sizes - ended) - (sizes - ended)
+    parts = np.maximum(1, -(-before // BEGUN))
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from _sent(batch, numbers, lows, parts)
+
+    lists = [T.StructField(f.name, T.ArrayType(f.dataType)) for f in fields]
+    place = [T.StructField(c, T.LongType()) for c in ("_chunk", "_part")]
     # pairs are many of few regions, so tasks may not be merged by size
-    tasks = max(200, 8 * regions.sparkSession.sparkContext.defaultParallelism)
-    rows = rows.repartition(tasks, "_cell", "_part").sortWithinPartitions("_cell", "_part", "low", "id", "high")
-    return rows.mapInArrow(pairs, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
-
-
-def _begun(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """The pairs of whole cells, sorted by lower ends: a region and those that begin later, but within it."""
-    cells, part, parts = (batch.column(c).to_numpy() for c in ("_cell", "_part", "_parts"))
-    low, high, own = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("low", "high", "_own"))
-    ids = batch.column("id")
-    order = ids.to_numpy() if pa.types.is_integer(ids.type) else np.unique(ids.to_numpy(zero_copy_only=False), return_inverse=True)[1]
-    fresh = np.ones(len(low), bool)
-    fresh[1:] = (cells[1:] != cells[:-1]) | (part[1:] != part[:-1])
-    heads, group = np.flatnonzero(fresh), np.cumsum(fresh) - 1
-    row = np.arange(len(low))
-    # how many lower ends of the cells up to this one come before the upper end
-    upper = np.repeat((True, False), len(low))
-    merged = np.lexsort((~upper, np.concatenate((high, low)), np.tile(group, 2)))
-    end = np.empty(len(low), np.int64)
-    is_upper = upper[merged]
-    end[merged[is_upper]] = np.cumsum(~is_upper)[is_upper]
-    begin = np.maximum(row + 1, (heads + np.add.reduceat((~own).astype(np.int64), heads))[group])
-    mine = np.flatnonzero((end > begin) & ((row - heads[group]) % parts == part))
-    begin, size = begin[mine], (end - begin)[mine]
+    tasks = min(2 * int(parts.sum()), 20_000)
+    met = rows.mapInArrow(sent, T.StructType([*place, *lists])).repartition(tasks, "_chunk", "_part").sortWithinPartitions("_chunk", "_part")
+    return met.mapInArrow(_met, pair)
+
+
+def _last(lows: np.ndarray, high: pa.Array) -> np.ndarray:
+    """The last chunk that begins below each upper end."""
+    return np.searchsorted(lows, high.to_numpy(zero_copy_only=False), "left") - 1
+
+
+def _counted(size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each position ``size`` times, and 0, 1 ... within it."""
+    row = np.repeat(np.arange(len(size)), size)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+
+
+def _slices(size: np.ndarray) -> Iterator[slice]:
+    """Neighbours of ``PAIRS`` in all, or one."""
     ends, at = np.cumsum(size), 0
-    while at < len(mine):
+    while at < len(size):
         to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
-        a = np.repeat(mine[at:to], size[at:to])
-        b = np.arange(len(a)) + np.repeat(begin[at:to] - (ends[at:to] - size[at:to]) + (ends[at - 1] if at else 0), size[at:to])
-        p, q = order[a], order[b]
-        if pa.types.is_integer(ids.type):
-            a, b, apart = np.minimum(p, q), np.maximum(p, q), p != q
-            a, b = (pa.array(c if apart.all() else c[apart]) for c in (a, b))
-        else:
-            a, b = np.where(p < q, a, b)[p != q], np.where(p < q, b, a)[p != q]
-            a, b = ids.take(pa.array(a)), ids.take(pa.array(b))
-        yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"])
+        yield slice(at, to)
         at = to
 
 
+def _sent(batch: pa.RecordBatch, numbers: np.ndarray, lows: np.ndarray, parts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Regions as lists by chunk and part: a chunk's own with their lower ends, and others that end within it with their upper ends."""
+    own, last = np.searchsorted(numbers, batch.column("_chunk").to_numpy()), _last(lows, batch.column("high"))
+
+    def lists(row: np.ndarray, chunk: np.ndarray, part: np.ndarray, *with_: str) -> Iterator[pa.RecordBatch]:
+        if not len(row):
+            return
+        order = np.lexsort((part, chunk))
+        row, chunk, part = row[order], chunk[order], part[order]
+        heads = np.flatnonzero(np.concatenate(([True], (chunk[1:] != chunk[:-1]) | (part[1:] != part[:-1]))))
+        ends, none = pa.array([*heads.tolist(), len(row)], pa.int32()), pa.array(np.zeros(len(heads) + 1, np.int32))
+        take = pa.array(row)
+        columns = [pa.ListArray.from_arrays(ends, batch.column(c).take(take)) if c in ("id", *with_) else pa.ListArray.from_arrays(none, batch.column(c).slice(0, 0)) for c in ("id", "low", "high")]
+        yield pa.RecordBatch.from_arrays([pa.array(chunk[heads]), pa.array(part[heads]), *columns], names=["_chunk", "_part", "id", "low", "high"])
+
+    for at in _slices(parts[own]):
+        row, part = _counted(parts[own[at]])
+        row += at.start
+        head = part == 0  # the chunk's own meet there
+        yield from lists(row[head], own[row[head]], part[head], "low", "high")
+        yield from lists(row[~head], own[row[~head]], part[~head], "low")
+    for at in _slices(last - own):
+        row, chunk = _counted((last - own)[at])
+        row += at.start
+        chunk += own[row] + 1
+        part, over = own[row] % parts[chunk], last[row] > chunk
+        yield from lists(row[over], chunk[over], part[over])
+        yield from lists(row[~over], chunk[~over], part[~over], "high")
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs of whole chunks and parts."""
+    held: list[tuple[pa.Array, pa.Array, pa.Array]] = []
+    place = None
+    for batch in batches:
+        places = zip(*(batch.column(c).to_pylist() for c in ("_chunk", "_part")), strict=True)
+        for k, now in enumerate(places):
+            if now != place and held:
+                yield from _paired(held)
+                held = []
+            place = now
+            held.append(tuple(batch.column(c)[k].values for c in ("id", "low", "high")))
+    if held:
+        yield from _paired(held)
+
+
+def _paired(held: list[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.RecordBatch]:
+    """Pairs of the regions of a chunk with those begun before, a tile of lower ends at a time.
+
+    Within a tile and beside each other the same numbers recur in the same order, which
+    the writers of columns keep in little.
+    """
+    held = [*(h for h in held if len(h[1])), *(h for h in held if not len(h[1]))]
+    n = sum(len(h[1]) for h in held)
+    ids = pa.concat_arrays([h[0] for h in held])
+    low = np.concatenate([h[1].to_numpy(zero_copy_only=False) for h in held if len(h[1])])
+    codes, named = ids.to_numpy(zero_copy_only=False), None
+    if not pa.types.is_integer(ids.type):
+        _, at, codes = np.unique(codes, return_index=True, return_inverse=True)
+        named = ids.take(pa.array(at))
+    order = np.argsort(low, kind="stable")
+    low, own, others = low[order], codes[:n][order], codes[n:]
+    reach = lambda h: np.searchsorted(low, h[2].to_numpy(zero_copy_only=False), "left")
+    ends = [reach(h) if len(h[2]) else np.full(len(h[0]), n) for h in held if not len(h[1])]
+    begin, end, first = [np.zeros(len(others), np.int64)], ends, [others]
+    if any(len(h[1]) and len(h[2]) for h in held):
+        begin, first = [*begin, np.arange(1, n + 1)], [*first, own]
+        end = [*end, np.concatenate([reach(h) for h in held if len(h[1])])[order]]
+    if not end:
+        return
+    begin, end, first = np.concatenate(begin), np.concatenate(end), np.concatenate(first)
+    order = np.argsort(first, kind="stable")
+    begin, end, first = begin[order], end[order], first[order]
+    made: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+    for a, b in _tiles(begin, end, first, own):
+        if size + len(a) > PAIRS and made:
+            yield _named(made, named)
+            made, size = [], 0
+        made.append((a, b))
+        size += len(a)
+    if made:
+        yield _named(made, named)
+
+
+def _named(made: list[tuple[np.ndarray, np.ndarray]], named: pa.Array | None) -> pa.RecordBatch:
+    columns = [pa.array(np.concatenate(c) if len(c) > 1 else c[0]) for c in zip(*made, strict=True)]
+    return pa.RecordBatch.from_arrays(columns if named is None else [named.take(c) for c in columns], names=["a", "b"])
+
+
+def _tiles(begin: np.ndarray, end: np.ndarray, first: np.ndarray, own: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of each of ``first``, in order, with the regions at ``begin`` to ``end``."""
+    for k in range(0, len(own), TILE):
+        to = min(k + TILE, len(own))
+        over = (begin <= k) & (end >= to)
+        some = np.flatnonzero(~over & (end > k) & (begin < to) & (end > begin))
+        tile, whole = np.sort(own[k:to]), first[over]
+        after = np.searchsorted(tile, whole, "right")
+        for at in _slices(to - k - after):
+            row, b = _counted((to - k - after)[at])
+            b += after[at][row]
+            yield whole[at][row], tile[b]
+        until = np.searchsorted(tile, whole, "left")
+        for at in _slices(until):
+            row, a = _counted(until[at])
+            yield tile[a], whole[at][row]
+        start = np.maximum(begin[some], k)
+        size = np.minimum(end[some], to) - start
+        for at in _slices(size):
+            row, q = _counted(size[at])
+            p, q = first[some[at]][row], own[q + start[at][row]]
+            apart = p != q
+            a, b = np.minimum(p, q), np.maximum(p, q)
+            yield (a, b) if apart.all() else (a[apart], b[apart])
+
+
 def report(points: DataFrame, bad: Column, limit: int = REPORT) -> DataFrame:
     """At most ``limit`` of the points that a condition holds for, as a message shows them."""
     return points.where(bad).limit(limit)
