@@ -176,26 +176,42 @@ def _sent(batch: pa.RecordBatch, numbers: np.ndarray, lows: np.ndarray, parts: n
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs of whole chunks and parts."""
+    """The pairs of whole chunks and parts, all but the last batch by eights."""
     held: list[tuple[pa.Array, pa.Array, pa.Array]] = []
+    rest: list[pa.RecordBatch] = []
     place = None
+
+    def even(made: Iterator[tuple[bool, pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
+        nonlocal rest
+        for by_eights, batch in made:
+            if by_eights:
+                yield batch
+                continue
+            rest.append(batch)
+            if (n := sum(b.num_rows for b in rest)) >= PAIRS:
+                whole = pa.concat_batches(rest)
+                yield whole.slice(0, n - n % 8)
+                rest = [whole.slice(n - n % 8)]
+
     for batch in batches:
         places = zip(*(batch.column(c).to_pylist() for c in ("_chunk", "_part")), strict=True)
         for k, now in enumerate(places):
             if now != place and held:
-                yield from _paired(held)
+                yield from even(_paired(held))
                 held = []
             place = now
             held.append(tuple(batch.column(c)[k].values for c in ("id", "low", "high")))
     if held:
-        yield from _paired(held)
+        yield from even(_paired(held))
+    yield from rest
 
 
-def _paired(held: list[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.RecordBatch]:
+def _paired(held: list[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[tuple[bool, pa.RecordBatch]]:
     """Pairs of the regions of a chunk with those begun before, a tile of lower ends at a time.
 
-    Within a tile and beside each other the same numbers recur in the same order, which
-    the writers of columns keep in little.
+    Beside each other the same numbers of a tile recur in the same order, mostly in lists
+    of eights: Parquet packs numbers by eight, so their bytes recur too and take little.
+    With each batch goes whether it has such lists only.
     """
     held = [*(h for h in held if len(h[1])), *(h for h in held if not len(h[1]))]
     n = sum(len(h[1]) for h in held)
@@ -218,16 +234,17 @@ def _paired(held: list[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Reco
     begin, end, first = np.concatenate(begin), np.concatenate(end), np.concatenate(first)
     order = np.argsort(first, kind="stable")
     begin, end, first = begin[order], end[order], first[order]
-    made: list[tuple[np.ndarray, np.ndarray]] = []
-    size = 0
-    for a, b in _tiles(begin, end, first, own):
-        if size + len(a) > PAIRS and made:
-            yield _named(made, named)
-            made, size = [], 0
-        made.append((a, b))
-        size += len(a)
-    if made:
-        yield _named(made, named)
+    made: dict[bool, list[tuple[np.ndarray, np.ndarray]]] = {True: [], False: []}
+    size = {True: 0, False: 0}
+    for by_eights, a, b in _tiles(begin, end, first, own):
+        if size[by_eights] + len(a) > PAIRS and made[by_eights]:
+            yield by_eights, _named(made[by_eights], named)
+            made[by_eights], size[by_eights] = [], 0
+        made[by_eights].append((a, b))
+        size[by_eights] += len(a)
+    for by_eights, pairs in made.items():
+        if pairs:
+            yield by_eights, _named(pairs, named)
 
 
 def _named(made: list[tuple[np.ndarray, np.ndarray]], named: pa.Array | None) -> pa.RecordBatch:
@@ -235,30 +252,35 @@ def _named(made: list[tuple[np.ndarray, np.ndarray]], named: pa.Array | None) ->
     return pa.RecordBatch.from_arrays(columns if named is None else [named.take(c) for c in columns], names=["a", "b"])
 
 
-def _tiles(begin: np.ndarray, end: np.ndarray, first: np.ndarray, own: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of each of ``first``, in order, with the regions at ``begin`` to ``end``."""
+def _tiles(begin: np.ndarray, end: np.ndarray, first: np.ndarray, own: np.ndarray) -> Iterator[tuple[bool, np.ndarray, np.ndarray]]:
+    """Pairs of each of ``first``, in order, with the regions at ``begin`` to ``end``; and whether they are lists of eights."""
     for k in range(0, len(own), TILE):
         to = min(k + TILE, len(own))
         over = (begin <= k) & (end >= to)
         some = np.flatnonzero(~over & (end > k) & (begin < to) & (end > begin))
         tile, whole = np.sort(own[k:to]), first[over]
-        after = np.searchsorted(tile, whole, "right")
-        for at in _slices(to - k - after):
-            row, b = _counted((to - k - after)[at])
-            b += after[at][row]
-            yield whole[at][row], tile[b]
-        until = np.searchsorted(tile, whole, "left")
-        for at in _slices(until):
-            row, a = _counted(until[at])
-            yield tile[a], whole[at][row]
+        after, until = (np.searchsorted(tile, whole, side) for side in ("right", "left"))
+        odd = (to - k - after) % 8
+        for by_eights, start, size in ((True, after + odd, to - k - after - odd), (False, after, odd)):
+            for at in _slices(size):
+                row, b = _counted(size[at])
+                a, b = whole[at][row], b + start[at][row]
+                order = slice(None) if by_eights else np.argsort(b, kind="stable")
+                yield by_eights, a[order], tile[b[order]]
+        odd = until % 8
+        for by_eights, start, size in ((True, np.zeros_like(until), until - odd), (False, until - odd, odd)):
+            for at in _slices(size):
+                row, a = _counted(size[at])
+                a, b = a + start[at][row], whole[at][row]
+                order = slice(None) if by_eights else np.argsort(a, kind="stable")
+                yield by_eights, tile[a[order]], b[order]
         start = np.maximum(begin[some], k)
         size = np.minimum(end[some], to) - start
         for at in _slices(size):
             row, q = _counted(size[at])
             p, q = first[some[at]][row], own[q + start[at][row]]
-            apart = p != q
-            a, b = np.minimum(p, q), np.maximum(p, q)
-            yield (a, b) if apart.all() else (a[apart], b[apart])
+            yield False, p[p < q], q[p < q]
+            yield False, q[p > q], p[p > q]
 
 
 def report(points: DataFrame, bad: Column, limit: int = REPORT) -> DataFrame:
